@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrow.llm import pieces
-from barrow.session import table
+from barrow.llm import packing, pieces
+from barrow.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +53,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field in its ordered pieces; a repeated row counts once."""
     return _pieces(spark, sf_dir, once=True)
+
+
+@query()
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in containers of 2,048 tokens: doc_id, part_no, start, n, container_id."""
+    sized = cut(table(spark, sf_dir, "documents").select("doc_id", packing.count_tokens(F.col("text")).alias("n_tokens")))
+    return packing.pack(sized, ["doc_id"], "n_tokens")
