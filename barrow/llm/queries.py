@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrow.llm import packing, pieces
+from barrow.llm import leaks, packing, pieces
 from barrow.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,17 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in containers of 2,048 tokens: doc_id, part_no, start, n, container_id."""
     sized = cut(table(spark, sf_dir, "documents").select("doc_id", packing.count_tokens(F.col("text")).alias("n_tokens")))
     return packing.pack(sized, ["doc_id"], "n_tokens")
+
+
+@query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items of which they hold twelve consecutive words."""
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.where("exact").select("doc_id", "item_id").distinct()
+
+
+@query()
+def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document that follows the test set: items leaked, and templates repeated with other values."""
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.countDistinct(F.when(~F.col("exact"), F.col("template"))).alias("n_templates_again"))
