@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrow.llm import leaks, packing, pieces
+from barrow.llm import leaks, packing, pieces, stuffing
 from barrow.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,15 @@ def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document that follows the test set: items leaked, and templates repeated with other values."""
     found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.countDistinct(F.when(~F.col("exact"), F.col("template"))).alias("n_templates_again"))
+
+
+@query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents most of whose text is keywords, links or tags."""
+    return stuffing.scored(table(spark, sf_dir, "documents")).where("stuffed").select("doc_id").distinct()
+
+
+@query()
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank-frequency fit of every document and its distance from prose."""
+    return stuffing.scored(table(spark, sf_dir, "documents")).select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("slope", "residual", "top", "z", "rest", "mass")], "stuffed")
