@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrow.llm import leaks, packing, pieces, stuffing
+from barrow.llm import addresses, leaks, packing, pieces, stuffing
 from barrow.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rank-frequency fit of every document and its distance from prose."""
     return stuffing.scored(table(spark, sf_dir, "documents")).select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("slope", "residual", "top", "z", "rest", "mass")], "stuffed")
+
+
+#: The free descriptions of places of problem 2, with the prefix of their records.
+PLACES = (("acts", "place", "acts"), ("archaeological_heritage_sites", "district", "sites"), ("identified_archaeological_heritage_sites", "address", "identified"))
+
+
+@query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records that denote the same building or spot."""
+    parts = [table(spark, sf_dir, name).where("id is not null").select(F.concat(F.lit(f"{prefix}:"), F.col("id").cast("string")).alias("rec"), F.col(field).alias("text")) for name, field, prefix in PLACES]
+    return addresses.same_places(reduce(DataFrame.unionByName, parts))
