@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barrow.llm import spelling
 from barrow.llm.words import TO_CYRILLIC
 from barrow.session import cut
 
@@ -149,9 +149,8 @@ def _place(tokens: list[str], used: list[bool], i: int) -> str:
 _FIELDS = ("kind", "district", "settlement", "settlement_type", "street", "street_type", "house", "letter", "block", "metres", "degrees")
 _SCHEMA = "rec string, raw string, kind string, district string, settlement string, settlement_type string, street string, street_type string, house string, letter string, block string, metres int, degrees int"
 
-#: A name is a plausible reading of another one slip away if it is at least this many times as frequent; a settlement
-#: within one district needs less.
-RATIO, RATIO_WITHIN = 4.0, 1.5
+#: A settlement within one district is a plausible reading of another one slip away at this ratio of frequencies.
+RATIO_WITHIN = 1.5
 #: A district has a settlement if it is named with at least this share of the settlement's records that name a district.
 SHARE = 0.05
 #: Records of one location that a task pairs with another such block.
@@ -179,48 +178,21 @@ def components(records: DataFrame) -> DataFrame:
     return records.select("rec", "text").mapInPandas(run, _SCHEMA)
 
 
-def _slips(name: Column) -> Column:
-    """A name and its forms with one letter left out: names one slip apart share at least one."""
-    at = F.sequence(F.lit(1), F.length(name))
-    left_out = F.transform(at, lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
-    return F.array_distinct(F.concat(F.array(name), left_out))
-
-
-def readings(names: DataFrame, context: list[str], ratio: float = RATIO) -> DataFrame:
-    """(context, name, reading): each name with the more frequent names one slip away in the same context, and itself.
-
-    names has context columns, name and n (how often). Every pair comes from an equi-join on a shared form; the vocabulary
-    is aggregated first, so the work grows with distinct spellings, not with records.
-    """
-    opened = names.select(*context, "name", "n", F.explode(_slips(F.col("name"))).alias("slip"))
-    a, b = opened.alias("a"), opened.alias("b")
-    on = [F.col("a.slip") == F.col("b.slip"), *[F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in context], F.col("b.n") >= F.col("a.n") * ratio, F.length("a.name") > 3]
-    near = a.join(b, reduce(lambda x, y: x & y, on)).where(F.levenshtein("a.name", "b.name") <= 2)
-    near = near.select(*[F.col(f"a.{c}").alias(c) for c in context], F.col("a.name").alias("name"), F.col("b.name").alias("reading")).distinct()
-    return near.unionByName(names.select(*context, "name", F.col("name").alias("reading")))
-
-
-def _best(readings_: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """The most frequent reading of each name, ties to the smaller."""
-    counted = readings_.join(names.select(*keys, F.col("name").alias("reading"), F.col("n").alias("m")), [*keys, "reading"])
-    return counted.groupBy(*keys, "name").agg(F.max_by("reading", F.struct("m", F.col("reading"))).alias("reading"))
-
-
 def forms(parsed: DataFrame) -> DataFrame:
     """(rec, form, letter, block): the hash of every plausible normalised form of each record's address."""
     places = parsed.where("raw is null")
     streets = places.where("street is not null").groupBy(F.col("street").alias("name")).agg(F.count("*").alias("n"))
     districts = places.where("district is not null").groupBy(F.col("district").alias("name")).agg(F.count("*").alias("n"))
-    street_of = _best(readings(streets, []), streets, []).withColumnsRenamed({"name": "street", "reading": "street_read"})
-    district_of = _best(readings(districts, []), districts, []).withColumnsRenamed({"name": "district", "reading": "district_read"})
+    street_of = spelling.best(streets).withColumnsRenamed({"name": "street", "reading": "street_read"})
+    district_of = spelling.best(districts).withColumnsRenamed({"name": "district", "reading": "district_read"})
     # Names of streets and districts are few and common: their best reading replaces them. A settlement keeps its own
     # spelling beside every reading, within its district, where small places live beside large ones.
     read = cut(places.join(street_of, "street", "left").join(district_of, "district", "left").withColumns({"street": F.coalesce("street_read", "street"), "district": F.coalesce("district_read", "district")}).drop("street_read", "district_read"))
     settled = read.where("district is not null").groupBy("district", F.col("settlement").alias("name")).agg(F.count("*").alias("n"))
-    within = readings(settled, ["district"], RATIO_WITHIN).withColumnsRenamed({"name": "settlement", "reading": "settlement_read"})
+    within = spelling.readings(settled, ["district"], RATIO_WITHIN).withColumnsRenamed({"name": "settlement", "reading": "settlement_read"})
     known = read.where("district is not null").join(within, ["district", "settlement"])
     anywhere = read.groupBy(F.col("settlement").alias("name")).agg(F.count("*").alias("n"))
-    lost = read.where("district is null").drop("district").join(readings(anywhere, []).withColumnsRenamed({"name": "settlement", "reading": "settlement_read"}), "settlement")
+    lost = read.where("district is null").drop("district").join(spelling.readings(anywhere, []).withColumnsRenamed({"name": "settlement", "reading": "settlement_read"}), "settlement")
     # Districts that have a settlement of that name and, where both state one, of that type.
     has = read.where("district is not null").groupBy("settlement", "settlement_type", "district").agg(F.count("*").alias("n"))
     has = has.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("settlement")))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrow.llm import addresses, leaks, packing, pieces, stuffing
+from barrow.llm import addresses, leaks, names, packing, pieces, stuffing
 from barrow.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records that denote the same building or spot."""
     parts = [table(spark, sf_dir, name).where("id is not null").select(F.concat(F.lit(f"{prefix}:"), F.col("id").cast("string")).alias("rec"), F.col(field).alias("text")) for name, field, prefix in PLACES]
     return addresses.same_places(reduce(DataFrame.unionByName, parts))
+
+
+#: The hand-typed names of problem 1.
+NAMES = (("person", "acts", "expert"), ("person", "scientific_reports", "author"), ("organization", "acts", "executioner"), ("organization", "scientific_reports", "organization"))
+
+
+@query()
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of stored values that name the same person or organisation."""
+    parts = [table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(field).alias("name")) for kind, name, field in NAMES]
+    return names.same_names(reduce(DataFrame.unionByName, parts))
