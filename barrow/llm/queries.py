@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrow.llm import addresses, leaks, names, packing, pieces, stuffing
+from barrow.llm import addresses, leaks, names, packing, pieces, scans, stuffing
 from barrow.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,24 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of stored values that name the same person or organisation."""
     parts = [table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(field).alias("name")) for kind, name, field in NAMES]
     return names.same_names(reduce(DataFrame.unionByName, parts))
+
+
+#: The scanned fields of problem 3.
+SCANNED = (("acts", "exp_facts"), ("acts", "conclusion"), ("scientific_reports", "introduction"))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, name).select(F.lit(name).alias("table_name"), "id", F.lit(field).alias("field"), F.col(field).alias("text")) for name, field in SCANNED]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of noise in each scanned field."""
+    return scans.noise(_scanned(spark, sf_dir), ["table_name", "id", "field"])
+
+
+@query()
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scanned field as continuous paragraphs."""
+    return scans.repaired(_scanned(spark, sf_dir), ["table_name", "id", "field"])
