@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from barrow.operators import snapshots
+from barrow.functions import geo, text
+from barrow.operators import changes, extraction, layout, matching, register, retrieval, snapshots, spatial
+from barrow.operators.register import Register, Request, respond
 from barrow.session import table
+from barrow.sources import files as sources
+from barrow.sources import sinks
+from barrow.streaming import crawl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +47,532 @@ WHERE old.k IS NULL OR new.k IS NULL OR old.n <> new.n OR old.x <> new.x"""
 )
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.register_changes(table(spark, sf_dir, "heritage_site_snapshots"))
+
+
+# --- registers -------------------------------------------------------------------------------------------------------
+
+ACTS = Register(
+    columns=("id", "year", "finish_date", "type", "name_number", "place", "customer", "area", "expert", "executioner", "open_list", "username", "date_uploaded"),
+    searchable=("year", "finish_date", "type", "name_number", "place", "customer", "area", "expert", "executioner", "open_list", "username", "date_uploaded"),
+    orderable=("year", "finish_date", "name_number", "place", "date_uploaded"),
+    named={k: (k,) for k in ("year", "finish_date", "type", "name_number", "place", "customer", "area", "expert", "executioner", "open_list", "conclusion", "border_objects", "upload_source", "date_uploaded")} | {"owner": ("username",), "source": ("upload_source",)},
+)
+SITES = Register(
+    columns=("id", "doc_name", "district", "document", "register_num", "is_excluded", "card_name", "card_owner"),
+    searchable=("doc_name", "district", "document", "register_num", "card_name", "card_address"),
+    orderable=("doc_name", "register_num"),
+    named={"doc_name": ("doc_name",), "district": ("district",), "document": ("document",), "register_num": ("register_num",), "name": ("doc_name",), "address": ("card_address",), "object_type": ("card_object_type",), "description": ("card_description",), "owner": ("card_owner",), "compiler": ("card_compiler",)},
+)
+
+
+def _users(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "users").select(F.col("id").alias("user_id"), "username", "email", "is_superuser")
+
+
+def _acts(spark: SparkSession, d: str) -> DataFrame:
+    """Acts that are not being processed, once each, with their users (JOI-01, FLT-01)."""
+    return table(spark, d, "acts").where(~F.coalesce("is_processing", F.lit(False))).dropDuplicates(["id"]).join(_users(spark, d), "user_id")
+
+
+def _sites(spark: SparkSession, d: str) -> DataFrame:
+    """Registered sites with their cards and the cards' owners, where there are any (JOI-02)."""
+    cards = table(spark, d, "object_account_cards").dropDuplicates(["id"]).select(F.col("id").alias("account_card_id"), F.col("user_id").alias("card_user"), F.col("name").alias("card_name"), F.col("address").alias("card_address"), F.col("object_type").alias("card_object_type"), F.col("description").alias("card_description"), F.col("compiler").alias("card_compiler"))
+    owners = _users(spark, d).select(F.col("user_id").alias("card_user"), F.col("username").alias("card_owner"))
+    return table(spark, d, "archaeological_heritage_sites").dropDuplicates(["id"]).join(cards, "account_card_id", "left").join(owners, "card_user", "left")
+
+
+ONE_ACT = """(SELECT DISTINCT ON (a.id) a.*, u.username, u.email, u.is_superuser, strftime(a.date_uploaded AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS uploaded
+ FROM acts a JOIN users u ON a.user_id = u.id WHERE NOT coalesce(a.is_processing, false) ORDER BY a.id)"""
+ONE_SITE = """(SELECT DISTINCT ON (s.id) s.*, c.name AS card_name, c.address AS card_address, c.object_type AS card_object_type, c.description AS card_description, c.compiler AS card_compiler, u.username AS card_owner
+ FROM archaeological_heritage_sites s LEFT JOIN (SELECT DISTINCT ON (id) * FROM object_account_cards ORDER BY id) c ON s.account_card_id = c.id LEFT JOIN users u ON c.user_id = u.id ORDER BY s.id)"""
+_ANY = " OR ".join(f"contains(lower(coalesce(cast({c} AS varchar), '')), lower('гридардева'))" for c in (*ACTS.searchable[:-1], "uploaded"))
+FLAGSHIP = Request(search="Гридардева", named={"place": "район"}, order="finish_date", descending=True, start=5, length=20)
+
+
+@query(f"""SELECT id, year, finish_date, type, name_number, place, customer, area, expert, executioner, open_list, username, date_uploaded AT TIME ZONE 'UTC' AS date_uploaded
+FROM {ONE_ACT} WHERE ({_ANY}) AND contains(lower(place), 'район') ORDER BY finish_date DESC NULLS FIRST, id LIMIT 20 OFFSET 5""")
+def register_search(spark: SparkSession, d: str) -> DataFrame:
+    """The whole register query: search, filter, order, page (FLT-02, 04, JOI-01, SRT-01, LIM-01)."""
+    return respond(_acts(spark, d), ACTS, FLAGSHIP, "id")
+
+
+@query(f"SELECT id, username FROM {ONE_ACT} WHERE {_ANY}")
+def register_global_search(spark: SparkSession, d: str) -> DataFrame:
+    return register.global_search(_acts(spark, d), ACTS.searchable, "Гридардева").select("id", "username")
+
+
+@query(f"SELECT id, place, expert FROM {ONE_ACT} WHERE contains(lower(place), 'верхнесойский') AND contains(lower(expert), 'прок')")
+def register_column_search(spark: SparkSession, d: str) -> DataFrame:
+    return register.column_search(_acts(spark, d), ACTS, {"5": "верхнесойский", "8": "ПРОК", "x": "никто", "99": "никто"}).select("id", "place", "expert")
+
+
+@query(f"SELECT id, doc_name, card_owner FROM {ONE_SITE} WHERE contains(lower(doc_name), 'о') AND contains(lower(card_owner), 'user00') AND contains(lower(card_address), 'район')")
+def register_named_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Named filters on the register's own and the joined card's columns (FLT-04, JOI-02, JOI-03)."""
+    return register.named_filters(_sites(spark, d), SITES, {"name": "О", "owner": "user00", "address": "район", "unknown": "x", "document": ""}).select("id", "doc_name", "card_owner")
+
+
+@query(f"SELECT id, is_public, user_id FROM {ONE_ACT} WHERE coalesce(is_public, false) OR user_id = 5")
+def register_visibility(spark: SparkSession, d: str) -> DataFrame:
+    return register.visible_any(_acts(spark, d), 5).select("id", "is_public", "user_id")
+
+
+@query(f"SELECT id FROM {ONE_ACT} WHERE NOT coalesce(is_public, false) AND user_id = 5")
+def register_private(spark: SparkSession, d: str) -> DataFrame:
+    return register.visible(_acts(spark, d), "private", 5).select("id")
+
+
+@query(f"SELECT id, register_num FROM {ONE_SITE} WHERE account_card_id IS NOT NULL AND NOT coalesce(is_excluded, false)")
+def register_fk_null(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-06, FLT-07."""
+    return register.without_excluded(register.with_card(_sites(spark, d), "available"), show_excluded=False).select("id", "register_num")
+
+
+@query(f"SELECT id, doc_name FROM {ONE_SITE} ORDER BY doc_name ASC NULLS LAST, id LIMIT 50 OFFSET 100")
+def register_page(spark: SparkSession, d: str) -> DataFrame:
+    return register.page(register.ordered(_sites(spark, d), SITES, Request(order="doc_name"), "id"), 100, 50).select("id", "doc_name")
+
+
+@query(f"SELECT count(*) AS records_total, count(*) FILTER (WHERE {_ANY}) AS records_filtered FROM {ONE_ACT}")
+def register_counts(spark: SparkSession, d: str) -> DataFrame:
+    return register.counts(_acts(spark, d), ACTS, Request(search="Гридардева"))
+
+
+@query(f"""SELECT coalesce(year, '') AS "Год", coalesce(place, '') AS "Место", CASE WHEN is_public THEN 'Да' WHEN NOT is_public THEN 'Нет' ELSE '' END AS "Открыт", coalesce(uploaded, '') AS "Загружен" FROM {ONE_ACT}""")
+def register_cells(spark: SparkSession, d: str) -> DataFrame:
+    return register.cells(_acts(spark, d), {"Год": "year", "Место": "place", "Открыт": "is_public", "Загружен": "date_uploaded"})
+
+
+@query("SELECT type AS kind, count(*) AS n FROM (SELECT DISTINCT * FROM acts) WHERE type IS NULL OR type NOT IN ('ГИКЭ', 'гикэ') GROUP BY type")
+def not_in_keeps_nulls(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-10, AGG-02."""
+    return register.not_in(table(spark, d, "acts").distinct(), "type", ["ГИКЭ", "гикэ"]).groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT id, json_extract_string(upload_source, '$.link') AS link FROM acts WHERE user_id IN (SELECT id FROM users WHERE is_superuser) AND json_extract_string(upload_source, '$.source') <> 'Пользовательский файл'")
+def tasks_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-09, FLT-12, JOI-04: crawled acts of superusers, by a semi join."""
+    crawled = table(spark, d, "acts").where(F.get_json_object("upload_source", "$.source") != "Пользовательский файл")
+    admins = table(spark, d, "users").where("is_superuser").select(F.col("id").alias("user_id"))
+    return crawled.join(admins, "user_id", "left_semi").select("id", F.get_json_object("upload_source", "$.link").alias("link")).distinct()
+
+
+@query("SELECT user_id, max(date_uploaded) AT TIME ZONE 'UTC' AS last_upload, arg_max(id, (date_uploaded, id)) AS id FROM acts GROUP BY user_id")
+def top1_per_key(spark: SparkSession, d: str) -> DataFrame:
+    """LIM-02: each user's newest act, by one aggregate."""
+    return table(spark, d, "acts").groupBy("user_id").agg(F.max("date_uploaded").alias("last_upload"), F.max_by("id", F.struct("date_uploaded", "id")).alias("id"))
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS kinds, count(*) AS n FROM events GROUP BY user_id")
+def chat_ordered_messages(spark: SparkSession, d: str) -> DataFrame:
+    """JOI-05, AGG-09, AGG-10: ordered histories by one aggregate."""
+    told = retrieval.histories(table(spark, d, "events"), "user_id", "ts", ["event_id", "event_type"])
+    return told.select("user_id", F.array_join(F.transform("messages", lambda m: m["event_type"]), ",").alias("kinds"), F.size("messages").cast("long").alias("n"))
+
+
+@query("""SELECT c.id, coalesce('identified:' || i.i, 'site:' || s.i) AS owner FROM (SELECT DISTINCT id FROM object_account_cards) c
+LEFT JOIN (SELECT account_card_id AS k, min(id) AS i FROM identified_archaeological_heritage_sites GROUP BY 1) i ON i.k = c.id
+LEFT JOIN (SELECT account_card_id AS k, min(id) AS i FROM archaeological_heritage_sites GROUP BY 1) s ON s.k = c.id""")
+def coalesce_precedence_join(spark: SparkSession, d: str) -> DataFrame:
+    """JOI-06, LIM-03: the site of each card, identified sites first."""
+    first = lambda name, label: table(spark, d, name).where("account_card_id is not null").groupBy(F.col("account_card_id").alias("id")).agg(F.concat(F.lit(f"{label}:"), F.min("id").cast("string")).alias(label))
+    cards = table(spark, d, "object_account_cards").select("id").distinct()
+    return cards.join(first("identified_archaeological_heritage_sites", "identified"), "id", "left").join(first("archaeological_heritage_sites", "site"), "id", "left").select("id", F.coalesce("identified", "site").alias("owner"))
+
+
+@query("""SELECT c.id AS card_id, min(s.id) AS site_id FROM object_account_cards c JOIN archaeological_heritage_sites s ON c.name = s.doc_name GROUP BY c.id""")
+def exact_name_link(spark: SparkSession, d: str) -> DataFrame:
+    """JOI-07: cards and sites of equal names, the first site of each."""
+    sites = table(spark, d, "archaeological_heritage_sites").where("doc_name is not null").groupBy(F.col("doc_name").alias("name")).agg(F.min("id").alias("site_id"))
+    return table(spark, d, "object_account_cards").select(F.col("id").alias("card_id"), "name").join(sites, "name").groupBy("card_id").agg(F.min("site_id").alias("site_id"))
+
+
+@query("""WITH f AS (SELECT a.id, regexp_replace(json_extract_string(e.value, '$.path'), '/[^/]*$', '') AS dir FROM (SELECT id, source FROM acts UNION ALL SELECT id, source FROM scientific_reports) a, json_each(a.source) e)
+SELECT dir, min(id) AS first_id, count(DISTINCT id) AS n FROM f WHERE dir IS NOT NULL GROUP BY dir""")
+def folder_files(spark: SparkSession, d: str) -> DataFrame:
+    """JOI-08: files by the folder they lie in."""
+    both = table(spark, d, "acts").select("id", "source").unionByName(table(spark, d, "scientific_reports").select("id", "source"))
+    return matching.files_of(both, "id").groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.min("id").alias("first_id"), F.countDistinct("id").alias("n")).where("dir is not null")
+
+
+# --- files and matching ----------------------------------------------------------------------------------------------
+
+FILES = "(SELECT a.id, json_extract_string(e.value, '$.path') AS path, json_extract_string(e.value, '$.origin_filename') AS origin_filename, json_extract_string(e.value, '$.file_hash') AS file_hash FROM acts a, json_each(a.source) e)"
+
+
+@query(f"SELECT file_hash, min(id) AS kept, count(DISTINCT id) AS copies FROM {FILES} WHERE file_hash IS NOT NULL GROUP BY file_hash HAVING count(DISTINCT id) > 1")
+def hash_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return matching.duplicates(matching.files_of(table(spark, d, "acts"), "id"), "file_hash", "id")
+
+
+@query("SELECT sha256(text) AS digest, min(doc_id) AS kept, count(DISTINCT doc_id) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
+def document_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    return matching.duplicates(docs, "digest", "doc_id")
+
+
+@query(f"""SELECT DISTINCT path, file_hash FROM {FILES} f WHERE id % 2 = 0 AND file_hash IS NOT NULL
+AND path NOT IN (SELECT path FROM {FILES} WHERE id % 2 = 1 AND path IS NOT NULL) AND file_hash NOT IN (SELECT file_hash FROM {FILES} WHERE id % 2 = 1 AND file_hash IS NOT NULL)""")
+def anti_join_new_files(spark: SparkSession, d: str) -> DataFrame:
+    """MAT-04, MAT-05, SET-03, SET-04: files of one half of the acts that the other half lacks, by path, then by hash."""
+    files = matching.files_of(table(spark, d, "acts"), "id")
+    return matching.new_files(files.where("id % 2 = 0").select("path", "file_hash"), files.where("id % 2 = 1")).select("path", "file_hash").distinct()
+
+
+@query(f"SELECT count(*) AS files, count(file_hash) AS hashed, count(DISTINCT origin_filename) AS names FROM {FILES}")
+def file_counts(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-04, MAT-07: counts over the files of all acts."""
+    return matching.files_of(table(spark, d, "acts"), "id").agg(F.count("*").alias("files"), F.count("file_hash").alias("hashed"), F.countDistinct("origin_filename").alias("names"))
+
+
+@query(f"""SELECT path, name, extension FROM (SELECT *, row_number() OVER (PARTITION BY extension ORDER BY path) AS n FROM (
+SELECT DISTINCT path, regexp_extract(path, '([^/]*)$', 1) AS name, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS extension FROM {FILES} WHERE path IS NOT NULL)
+WHERE extension IN ('.pdf', '.docx') AND substr(name, 1, 1) NOT IN ('~', '.') AND NOT contains(lower(name), 'приказ') AND NOT contains(lower(name), 'решение')) WHERE n <= 25""")
+def per_group_limit(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-03, LIM-05: discovery with a limit for each extension."""
+    files = matching.files_of(table(spark, d, "acts"), "id").select("path").where("path is not null").distinct()
+    return sources.discovered(files, [".pdf", ".docx"], 25).select("path", "name", "extension")
+
+
+KEYS = ["doc_name", "district", "document", "register_num"]
+_STORED = "SELECT doc_name, district, document, register_num, max(coalesce(is_excluded, false)) AS old, true AS s FROM archaeological_heritage_sites GROUP BY ALL"
+_LISTED = "SELECT DISTINCT doc_name, district, document, register_num, true AS n FROM heritage_site_snapshots WHERE snapshot_no = (SELECT max(snapshot_no) FROM heritage_site_snapshots)"
+_SAME = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in KEYS)
+_BOTH = ", ".join(f"CASE WHEN a.s THEN a.{k} ELSE b.{k} END AS {k}" for k in KEYS)
+_RECONCILED = f"SELECT {_BOTH}, CASE WHEN b.n IS NULL THEN true WHEN a.s IS NULL THEN false ELSE %s END AS is_excluded FROM ({_STORED}) a FULL JOIN ({_LISTED}) b ON {_SAME}"
+
+
+def _last_list(spark: SparkSession, d: str) -> DataFrame:
+    snaps = table(spark, d, "heritage_site_snapshots")
+    return snaps.join(snaps.agg(F.max("snapshot_no").alias("snapshot_no")), "snapshot_no", "left_semi")
+
+
+@query(_RECONCILED % "false")
+def snapshot_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.reconcile(table(spark, d, "archaeological_heritage_sites"), _last_list(spark, d), KEYS, "is_excluded")
+
+
+@query(_RECONCILED % "a.old")
+def snapshot_reconcile_sticky(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.reconcile(table(spark, d, "archaeological_heritage_sites"), _last_list(spark, d), KEYS, "is_excluded", sticky=True)
+
+
+@query("SELECT p_partkey, CASE WHEN n = 1 THEN p_brand ELSE p_brand || '_' || (n - 1) END AS key_name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)")
+def key_suffixing(spark: SparkSession, d: str) -> DataFrame:
+    return matching.suffixed(table(spark, d, "part"), ["p_brand"], "p_partkey").select("p_partkey", "key_name")
+
+
+@query()
+def fuzzy_best_match(spark: SparkSession, d: str) -> DataFrame:
+    """MAT-08..11: acts uploaded by superusers against the other acts as a registry. No SQL has this similarity."""
+    acts = table(spark, d, "acts").dropDuplicates(["id"])
+    admins = table(spark, d, "users").where("is_superuser").select(F.col("id").alias("user_id"))
+    dated = F.col("finish_date").isNotNull() & (F.trim("finish_date") != "") & (text.year(F.col("year")) != "")
+    return matching.best_matches(acts.where(dated).join(admins, "user_id", "left_semi"), acts.where(dated).join(admins, "user_id", "left_anti"), "id", "id")
+
+
+# --- text ------------------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT DISTINCT id, CASE WHEN lower(trim(coalesce(finish_date, ''))) IN ('', 'nan') THEN '' ELSE regexp_replace(trim(coalesce(finish_date, '')), '^(\d{4})-(\d{1,2})-(\d{1,2})(?:[ T].*)?$', '\3.\2.\1') END AS dotted,
+CASE WHEN lower(trim(coalesce(year, ''))) = 'nan' THEN '' ELSE regexp_replace(trim(coalesce(year, '')), '\.0+$', '') END AS plain_year FROM acts""")
+def date_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """STR-07, MAT-13."""
+    return table(spark, d, "acts").select("id", text.dotted_date(F.col("finish_date")).alias("dotted"), text.year(F.col("year")).alias("plain_year")).distinct()
+
+
+_MONTHS = ", ".join(f"('{m}', '{k:02d}')" for k, m in enumerate(text.MONTHS, 1))
+
+
+@query(rf"""WITH w AS (SELECT DISTINCT id, start_date, regexp_extract(start_date, '([а-яА-ЯёЁ]+)', 1) AS word, regexp_extract(start_date, '(?:^|\D)(\d{{1,2}})(?:\D|$)', 1) AS day, regexp_extract(start_date, '(\d{{4}})', 1) AS y FROM acts WHERE start_date IS NOT NULL),
+m AS (SELECT * FROM (VALUES {_MONTHS}) t(name, no)),
+best AS (SELECT word, arg_min(no, (levenshtein(lower(word), name), no)) AS no, min(levenshtein(lower(word), name)) AS dist FROM (SELECT DISTINCT word FROM w WHERE word <> '') CROSS JOIN m GROUP BY word)
+SELECT id, coalesce(nullif(CASE WHEN day = '' THEN '' ELSE lpad(day, 2, '0') END, ''), '-') || '.' || CASE WHEN word = '' THEN '-' WHEN dist <= 4 THEN no ELSE word END || '.' || CASE WHEN y = '' THEN '-' ELSE y END AS dots,
+coalesce(regexp_matches(start_date, '«*(\d{{1,2}})»* *([а-яА-ЯёЁ]+) (\d{{4}})(?:\D|$)') AND lower(word) IN (SELECT name FROM m) AND try_cast(regexp_extract(start_date, '«*(\d+)»* *([а-яА-ЯёЁ]+) (\d+)', 1) AS int) <= 31 AND try_cast(regexp_extract(start_date, '«*(\d+)»* *([а-яА-ЯёЁ]+) (\d+)', 3) AS int) BETWEEN 1980 AND 2099, false) AS worded
+FROM w LEFT JOIN best USING (word)""")
+def levenshtein_month(spark: SparkSession, d: str) -> DataFrame:
+    """STR-08, STR-09, MAT-19."""
+    return table(spark, d, "acts").where("start_date is not null").select("id", text.date_to_dots(F.col("start_date")).alias("dots"), text.is_worded_date(F.col("start_date")).alias("worded")).distinct()
+
+
+@query(r"""SELECT DISTINCT id, trim(regexp_extract(document, '^(\D+?) от ', 1)) AS order_name, regexp_extract(document, '(№\s+\d+-*\d*)', 1) AS order_number, regexp_extract(document, '(\d{2}\.\d{2}\.\d{4})', 1) AS order_date FROM archaeological_heritage_sites WHERE document IS NOT NULL""")
+def order_citation_parse(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "archaeological_heritage_sites").where("document is not null").select("id", *[c.alias(n) for n, c in text.citation(F.col("document")).items()]).distinct()
+
+
+_MADE_NAME = "coalesce(finish_date, '') || ' ' || coalesce(expert, '') || ', ' || coalesce(place, '') || ' НПД.pdf'"
+
+
+@query(rf"""SELECT DISTINCT id, d AS file_date, regexp_extract(d, '(\d{{4}})', 1) AS file_year, trim(regexp_extract(stem, '\d{{1,2}}\.\d{{1,2}}\.\d{{4}}\s+([^,]+),', 1)) AS file_expert, trim(regexp_extract(stem, ',\s*(.+)$', 1)) AS file_place,
+CASE WHEN contains(upper(stem), 'ЗУ') THEN 'ЗУ' WHEN contains(upper(stem), 'НПД') THEN 'НПД' ELSE '' END AS file_kind
+FROM (SELECT id, stem, regexp_extract(stem, '(\d{{1,2}}\.\d{{1,2}}\.\d{{4}})', 1) AS d FROM (SELECT id, regexp_replace(regexp_replace({_MADE_NAME}, '^.*/', ''), '(?i)\.[a-zа-я0-9]{{2,4}}$', '') AS stem FROM acts WHERE NOT contains({_MADE_NAME}, chr(10))))""")
+def filename_parse(spark: SparkSession, d: str) -> DataFrame:
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    name = F.concat(blank("finish_date"), F.lit(" "), blank("expert"), F.lit(", "), blank("place"), F.lit(" НПД.pdf"))
+    named = table(spark, d, "acts").select("id", name.alias("name")).where(~F.contains("name", F.lit("\n")))
+    return named.select("id", *[c.alias(n) for n, c in text.file_parts(F.col("name")).items()]).distinct()
+
+
+@query(r"""SELECT DISTINCT id, trim(regexp_replace(name_number, '[^a-zA-Zа-яА-Я0-9 \-,«».()]', '', 'g'), ' .') AS component,
+CASE WHEN length(s) > 40 THEN rtrim(substr(s, 1, 40), ' ._') ELSE s END AS file_name
+FROM (SELECT id, name_number, regexp_replace(regexp_replace(translate(name_number, '<>:"/\|?*', '_________'), '\s+', ' ', 'g'), '_+', '_', 'g') AS s FROM acts WHERE name_number IS NOT NULL)""")
+def clean_names(spark: SparkSession, d: str) -> DataFrame:
+    """STR-01, STR-02."""
+    return table(spark, d, "acts").where("name_number is not null").select("id", text.path_component(F.col("name_number")).alias("component"), text.file_name(F.col("name_number"), 40).alias("file_name")).distinct()
+
+
+@query(r"SELECT doc_id, array_to_string(regexp_split_to_array(trim(text), '[ \t\n\x0B\f\r]+')[1:40], ' ') AS head FROM documents")
+def truncate_words(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.first_words(F.col("text"), 40).alias("head"))
+
+
+@query()
+def chunk_text(spark: SparkSession, d: str) -> DataFrame:
+    """STR-05 over all documents."""
+    return extraction.chunks(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("""SELECT DISTINCT id, replace(replace(upper(open_list), 'О', '0'), 'З', '3') AS list_number, translate(open_list, '/!|Г[ОЗбБ', '111110366') AS digits FROM acts WHERE open_list IS NOT NULL AND NOT contains(open_list, '()')""")
+def scanner_confusions(spark: SparkSession, d: str) -> DataFrame:
+    """STR-21."""
+    return table(spark, d, "acts").where("open_list is not null").where(~F.contains("open_list", F.lit("()"))).select("id", text.scanned_list_number(F.col("open_list")).alias("list_number"), text.scanned_number(F.col("open_list")).alias("digits")).distinct()
+
+
+@query(r"SELECT id, regexp_matches(email, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$') IS TRUE AS good FROM users")
+def email_check(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "users").select("id", text.is_email(F.col("email")).alias("good"))
+
+
+@query(r"""SELECT DISTINCT id, regexp_extract(name, '(?i)отч[её]т\s+об?\s+(\pL+)', 1) AS work, trim(regexp_extract(name, '(?i)\s(?:у|на|в)\s+(.+?)(?:,\s*\d{4})?\s*$', 1)) AS object, regexp_extract(name, '(\d{4})\D*$', 1) AS title_year FROM scientific_reports WHERE name IS NOT NULL""")
+def title_page(spark: SparkSession, d: str) -> DataFrame:
+    """STR-17."""
+    return table(spark, d, "scientific_reports").where("name is not null").select("id", *[c.alias(n) for n, c in extraction.title_parts(F.col("name")).items()]).distinct()
+
+
+@query(r"""SELECT DISTINCT id, CASE WHEN contains(lower(name_number), 'заключение') THEN 'заключение' WHEN contains(lower(name_number), 'акт') THEN 'акт' ELSE '' END AS act_kind, regexp_extract(name_number, '№\s*(\d+[-/]\d+)', 1) AS act_number, trim(regexp_extract(name_number, '«(.+)»', 1)) AS act_object FROM acts WHERE name_number IS NOT NULL""")
+def act_names(spark: SparkSession, d: str) -> DataFrame:
+    """STR-14."""
+    return table(spark, d, "acts").where("name_number is not null").select("id", *[c.alias(n) for n, c in extraction.act_parts(F.col("name_number")).items()]).distinct()
+
+
+@query(r"""SELECT DISTINCT id, try_cast(replace(replace(nullif(regexp_extract(conclusion, '(?is)площад[\pL\pN_]*.{0,80}?(\d+(?: \d{3})*(?:,\d+)?)\s+(га|кв\. м)', 1), ''), ' ', ''), ',', '.') AS double) AS area, nullif(regexp_extract(conclusion, '(?is)площад[\pL\pN_]*.{0,80}?(\d+(?: \d{3})*(?:,\d+)?)\s+(га|кв\. м)', 2), '') AS area_unit
+FROM acts WHERE conclusion IS NOT NULL""")
+def stated_areas(spark: SparkSession, d: str) -> DataFrame:
+    """STR-13."""
+    parts = text.measured(F.col("conclusion"))
+    return table(spark, d, "acts").where("conclusion is not null").select("id", parts["area"].alias("area"), parts["area_unit"].alias("area_unit")).distinct()
+
+
+@query()
+def section_split(spark: SparkSession, d: str) -> DataFrame:
+    """STR-11, AGG-09: acts put together as pages with headings, taken apart again."""
+    acts = table(spark, d, "acts").dropDuplicates(["id"])
+    head = F.concat(F.lit("Акт\nДата начала экспертизы: "), F.coalesce("start_date", F.lit("")), F.lit("\nДата окончания экспертизы: "), F.coalesce("finish_date", F.lit("")), F.lit("\n4. Место проведения экспертизы: "), F.coalesce("place", F.lit("")))
+    body = F.concat(F.lit("Сведения о проведенных исследованиях:\n"), F.coalesce("exp_info", F.lit("")), F.lit("\nФакты и сведения, выявленные в результате исследований:\n"), F.coalesce("exp_facts", F.lit("")))
+    tail = F.concat(F.lit("Вывод экспертизы:\n"), F.coalesce("conclusion", F.lit("")))
+    pages = acts.select(F.col("id").alias("doc_id"), F.posexplode(F.array(head, body, tail)).alias("page_no", "text"))
+    return extraction.sections(pages)
+
+
+
+
+@query(r"""WITH items AS (SELECT doc_id, text AS title, url || '/upload/' || coalesce(doc_type, 'x') || CASE WHEN doc_id % 7 = 0 THEN '.png' ELSE '.pdf' END AS href FROM documents),
+x AS (SELECT *, regexp_extract(title, '(\d{2}\.\d{2}\.\d{4})', 1) AS dt, regexp_extract(href, '([^/]*)$', 1) AS file_name, lower(title || ' ' || href) AS low FROM items),
+y AS (SELECT *, try_strptime(dt, '%d.%m.%Y')::date AS day FROM x)
+SELECT doc_id, file_name, coalesce(r, 'Добавлен в очередь скачивания') AS reason, CASE WHEN r IS NULL THEN 'в очереди на скачивание' ELSE 'пропущен' END AS status FROM (SELECT doc_id, file_name,
+CASE WHEN contains(title, 'Впервые сведения') OR contains(title, 'The inventory lists') THEN 'Исключение по фильтру' WHEN dt = '' THEN 'Не подходит по дате (дата не найдена)' WHEN day IS NULL THEN 'Ошибка парсинга даты' WHEN NOT (day BETWEEN DATE '2012-01-01' AND DATE '2022-12-31') THEN 'Не подходит по дате'
+WHEN NOT contains(href, '/upload/') THEN 'Не найдена подходящая ссылка' WHEN NOT (contains(low, 'акт') OR contains(low, 'гикэ')) THEN 'Не является актом ГИКЭ' WHEN file_name = 'letter.pdf' THEN 'Файл уже скачан' WHEN regexp_matches(file_name, '\.(sig|png|jpg|bmp|tiff)$') THEN 'У файла неподходящий формат' END AS r FROM y)""")
+def status_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-14..17: documents as the items of a crawl."""
+    href = F.concat("url", F.lit("/upload/"), F.coalesce("doc_type", F.lit("x")), F.when(F.col("doc_id") % 7 == 0, ".png").otherwise(".pdf"))
+    items = table(spark, d, "documents").select("doc_id", F.col("text").alias("title"), href.alias("href"))
+    known = spark.range(1).select(F.lit("letter.pdf").alias("file_name"))
+    return sources.status_cascade(items, known, ["Впервые сведения", "The inventory lists"], "2012-01-01", "2022-12-31").select("doc_id", "file_name", "reason", "status")
+
+
+@query()
+def crawl_report(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-03 over the cascade."""
+    return sinks.status_counts(status_cascade(spark, d))
+
+
+# --- geography -------------------------------------------------------------------------------------------------------
+
+POINTS = """(SELECT DISTINCT c.id, g.key AS grp, json_extract_string(g.value, '$.coordinate_system') AS coord_system, p.key AS point_name, cast(json_extract(p.value, '$[0]') AS double) AS lat, cast(json_extract(p.value, '$[1]') AS double) AS lon
+FROM object_account_cards c, json_each(c.coordinates) g, json_each(g.value) p WHERE p.key NOT IN ('coordinate_system', 'area') AND json_array_length(p.value) = 2)"""
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return register.coordinate_points(table(spark, d, "object_account_cards").dropDuplicates(["id"]), "id")
+
+
+@query(f"SELECT id, grp, coord_system, point_name, lat, lon FROM {POINTS}")
+def json_flatten_points(spark: SparkSession, d: str) -> DataFrame:
+    return _points(spark, d).select("id", "grp", "coord_system", "point_name", "lat", "lon")
+
+
+@query(f"SELECT id, point_name, CASE WHEN lat BETWEEN 50 AND 60 AND lon >= 76.5 AND lon < 106.5 THEN 'мск' || cast(floor((lon - 76.5) / 3) + 162 AS int) WHEN lon >= 78 AND lon < 114 THEN 'мск24зона' || cast(floor((lon - 78) / 6) + 1 AS int) ELSE 'wgs84' END AS zone FROM {POINTS}")
+def zone_select(spark: SparkSession, d: str) -> DataFrame:
+    return _points(spark, d).select("id", "point_name", geo.zone(F.col("lat"), F.col("lon")).alias("zone"))
+
+
+@query(f"""WITH p AS (SELECT *, cast(point_name AS int) AS pos FROM {POINTS}), f AS (SELECT *, first_value(lat) OVER w AS lat0, first_value(lon) OVER w AS lon0 FROM p WINDOW w AS (PARTITION BY id, grp ORDER BY pos)),
+xy AS (SELECT *, (lon - lon0) / 360 * 2 * pi() * 6378137 * cos(radians(lat)) AS x, (lat - lat0) / 360 * 2 * pi() * 6378137 AS y FROM f), e AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, count(*) OVER (PARTITION BY id, grp) AS n FROM xy WINDOW w AS (PARTITION BY id, grp ORDER BY pos))
+SELECT id, grp, round(CASE WHEN max(n) < 3 THEN 0.0 ELSE sum(coalesce(y * x2 - x * y2, 0)) / 2 END, 2) AS area FROM e GROUP BY id, grp""")
+def polygon_area(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-06, AGG-06, AGG-18."""
+    return register.rings(_points(spark, d), "id").select("id", "grp", F.round(geo.ring_area(F.col("ring")), 2).alias("area"))
+
+
+@query(f"""WITH p AS (SELECT *, cast(point_name AS int) AS pos FROM {POINTS}), e AS (SELECT *, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS lat2, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS lon2, count(*) OVER (PARTITION BY id, grp) AS n FROM p WINDOW w AS (PARTITION BY id, grp ORDER BY pos)),
+c AS (SELECT id, avg(lat) AS lat, avg(lon) AS lon FROM p GROUP BY id)
+SELECT c.id AS point_id, e.id AS polygon_id FROM c JOIN e ON e.n > 2 GROUP BY c.id, e.id, e.grp, c.lat, c.lon HAVING sum(CASE WHEN (e.lat > c.lat) <> (e.lat2 > c.lat) AND c.lon < (e.lon2 - e.lon) * (c.lat - e.lat) / (e.lat2 - e.lat) + e.lon THEN 1 ELSE 0 END) % 2 = 1""")
+def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-13: centres of the cards' coordinates in the cards' polygons."""
+    points = _points(spark, d)
+    polygons = register.rings(points, "id").select(F.col("id").alias("polygon_id"), "ring")
+    centres = points.groupBy(F.col("id").alias("point_id")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    return spatial.points_in_polygons(centres, polygons)
+
+
+@query(f"""WITH c AS (SELECT id, avg(lat) AS lat, avg(lon) AS lon FROM {POINTS} GROUP BY id), t AS (SELECT id, lat, lon FROM {POINTS}),
+m AS (SELECT c.id AS point_id, t.id AS target_id, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(t.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - c.lon) / 2), 2)))) AS km FROM c JOIN t ON c.id < t.id)
+SELECT point_id, arg_min(target_id, (round(km, 6), target_id)) AS target_id, round(min(km), 6) AS km FROM m WHERE km <= 25 GROUP BY point_id""")
+def nearest_distance(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-14, AGG-05: the nearest later card of each card."""
+    points = _points(spark, d)
+    centres = points.groupBy(F.col("id").alias("point_id")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    targets = points.select(F.col("id").alias("target_id"), "lat", "lon")
+    rounded = lambda *c: F.round(geo.haversine(*c), 6)
+    return spatial.nearest(centres, targets, cell=0.5, farthest_km=25.0, metric=rounded, later=True)
+
+
+@query()
+def geodesic_perimeters(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-14: lengths of the catalogues' edges on the ellipsoid."""
+    w = Window.partitionBy("id", "grp").orderBy("pos")
+    edges = _points(spark, d).select("id", "grp", "lat", "lon", F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2")).where("lat2 is not null")
+    return edges.withColumn("km", geo.geodesic(*[F.col(c) for c in ("lat", "lon", "lat2", "lon2")])).groupBy("id", "grp").agg(F.round(F.sum("km"), 6).alias("km"))
+
+
+@query()
+def regional_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-04, GEO-05: points in metres of their regional system."""
+    placed = _points(spark, d).withColumn("zone", geo.zone(F.col("lat"), F.col("lon"))).withColumn("p", geo.projected(F.col("lat"), F.col("lon"), F.col("zone")))
+    return placed.select("id", "point_name", "zone", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+
+
+@query(f"SELECT id, point_name, round(radians(lon) * 6378137.0, 3) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0, 3) AS y FROM {POINTS}")
+def web_mercator(spark: SparkSession, d: str) -> DataFrame:
+    x, y = geo.web_mercator(F.col("lat"), F.col("lon"))
+    return _points(spark, d).select("id", "point_name", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+
+
+@query("SELECT n_nationkey, round((40 + n_nationkey + n_nationkey * 2 / 60.0 + (n_nationkey + 0.25) / 3600.0) * CASE WHEN n_nationkey % 3 = 0 THEN -1 ELSE 1 END, 9) AS degrees FROM nation")
+def dms_parse(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-01..03 on coordinates made of nation keys."""
+    k = F.col("n_nationkey")
+    made = F.concat((k + 40).cast("string"), F.lit("°"), (k * 2).cast("string"), F.lit("'"), (k + F.lit(0.25)).cast("string"), F.lit('"'), F.when(k % 3 == 0, "S").otherwise("N"))
+    return table(spark, d, "nation").select("n_nationkey", F.round(geo.dms(made), 9).alias("degrees"))
+
+
+@query("""WITH q AS (SELECT o_orderkey, o_orderkey % 7 AS ax, o_orderkey % 5 AS ay, o_orderkey % 11 AS bx, o_orderkey % 13 AS by_, o_custkey % 7 AS cx, o_custkey % 5 AS cy, o_custkey % 11 AS dx, o_custkey % 13 AS dy FROM orders),
+t AS (SELECT o_orderkey, ((dy - ay) * (cx - ax) > (cy - ay) * (dx - ax)) AS acd, ((dy - by_) * (cx - bx) > (cy - by_) * (dx - bx)) AS bcd, ((cy - ay) * (bx - ax) > (by_ - ay) * (cx - ax)) AS abc, ((dy - ay) * (bx - ax) > (by_ - ay) * (dx - ax)) AS abd FROM q)
+SELECT o_orderkey, acd <> bcd AND abc <> abd AS crossed FROM t""")
+def segment_intersect(spark: SparkSession, d: str) -> DataFrame:
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, d, "orders").select("o_orderkey", geo.crosses((o % 7, o % 5), (o % 11, o % 13), (c % 7, c % 5), (c % 11, c % 13)).alias("crossed"))
+
+
+@query("SELECT DISTINCT id, grp, CASE WHEN contains(grp, 'фотофиксации') THEN 'photos' WHEN contains(grp, 'Каталог') THEN 'catalog' WHEN contains(grp, 'Шурфы') THEN 'pits' WHEN contains(grp, 'Центр') THEN 'center' END AS style FROM (SELECT c.id, g.key AS grp FROM object_account_cards c, json_each(c.coordinates) g)")
+def group_styles(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-10."""
+    cards = table(spark, d, "object_account_cards").select("id", F.explode(F.map_keys(F.from_json("coordinates", "map<string,string>"))).alias("grp"))
+    return cards.select("id", "grp", register.group_style(F.col("grp")).alias("style")).distinct()
+
+
+@query("SELECT DISTINCT id, 'https://archive.example/acts/' || id || '/' AS url, coalesce(json_extract_string(source, '$[0].origin_filename'), name_number) AS shown FROM acts")
+def object_names(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-05, PRJ-08."""
+    return table(spark, d, "acts").select("id", register.object_url("https://archive.example", F.lit("act"), F.col("id")).alias("url"), F.coalesce(F.get_json_object("source", "$[0].origin_filename"), "name_number").alias("shown")).distinct()
+
+
+# --- layout, sets, changes, vectors, streams -------------------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber AS block_id, l_partkey % 100 AS y1, l_partkey % 100 + l_quantity AS y2, l_suppkey % 50 AS x1, l_suppkey % 50 + 10 AS x2 FROM lineitem),
+h AS (SELECT o_orderkey AS page, s AS section, (o_custkey * s) % 120 AS y1, (o_custkey * s) % 120 + 15 AS y2, 20 * s AS x1, 20 * s + 10 AS x2 FROM orders, (VALUES (1), (2)) v(s)),
+c AS (SELECT b.page, b.block_id, h.section, CASE WHEN NOT (h.y2 < b.y1 OR h.y1 > b.y2) THEN 0 WHEN b.y1 - h.y2 BETWEEN 0 AND 200 THEN 1 END AS k, CASE WHEN NOT (h.y2 < b.y1 OR h.y1 > b.y2) THEN greatest(0, h.x1 - b.x2, b.x1 - h.x2) ELSE b.y1 - h.y2 END AS dist FROM b LEFT JOIN h USING (page))
+SELECT page, block_id, coalesce(arg_min(cast(section AS varchar), (k, dist, cast(section AS varchar))) FILTER (WHERE k IS NOT NULL), 'UNKNOWN') AS section FROM c GROUP BY page, block_id""")
+def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
+    """JOI-09 on boxes made of orders and their lines."""
+    line = table(spark, d, "lineitem")
+    y, x = F.col("l_partkey") % 100, F.col("l_suppkey") % 50
+    blocks = line.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("block_id"), y.alias("y1"), (y + F.col("l_quantity")).alias("y2"), x.alias("x1"), (x + 10).alias("x2"))
+    heads = table(spark, d, "orders").withColumn("s", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("y", (F.col("o_custkey") * F.col("s")) % 120)
+    heads = heads.select(F.col("o_orderkey").alias("page"), F.col("s").cast("string").alias("section"), F.col("y").alias("y1"), (F.col("y") + 15).alias("y2"), (20 * F.col("s")).alias("x1"), (20 * F.col("s") + 10).alias("x2"))
+    return layout.sections_of_blocks(blocks, heads)
+
+
+@query("""WITH t AS (SELECT o_custkey AS doc, o_orderkey AS page, o_orderkey % 3 AS first, o_orderkey % 3 + 1 AS last FROM orders), l AS (SELECT *, CASE WHEN first = lag(last) OVER (PARTITION BY doc ORDER BY page, first) + 1 THEN 0 ELSE 1 END AS fresh FROM t)
+SELECT doc, page, sum(fresh) OVER (PARTITION BY doc ORDER BY page, first ROWS UNBOUNDED PRECEDING) AS run FROM l""")
+def table_continuation(spark: SparkSession, d: str) -> DataFrame:
+    """JOI-11 on tables made of orders."""
+    k = F.col("o_orderkey")
+    tables = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), k.alias("page"), (k % 3).alias("first"), (k % 3 + 1).alias("last"))
+    return layout.continued_tables(tables, "doc", "page", "first", "last").select("doc", "page", "run")
+
+
+@query("""SELECT page, line_y, string_agg(word, ' ' ORDER BY x1, word) AS text, min(x1) AS x1, max(x2) AS x2 FROM (SELECT l_orderkey AS page, cast(round_even(l_partkey % 100 / 20.0, 0) AS int) * 20 AS line_y, l_suppkey % 50 AS x1, l_suppkey % 50 + 5 AS x2, l_returnflag || l_linenumber AS word FROM lineitem) GROUP BY page, line_y""")
+def line_grouping(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-04, AGG-15."""
+    y, x = F.col("l_partkey") % 100, F.col("l_suppkey") % 50
+    words = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), x.alias("x1"), (x + 5).alias("x2"), y.alias("y1"), (y + 3).alias("y2"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("word"))
+    return layout.text_lines(words).select("page", "line_y", "text", "x1", "x2")
+
+
+@query("SELECT o_custkey, max(o_totalprice) AS o_totalprice, arg_min(o_orderkey, (-o_totalprice, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
+def best_box_per_class(spark: SparkSession, d: str) -> DataFrame:
+    """LIM-06."""
+    return layout.best_boxes(table(spark, d, "orders"), ["o_custkey"], "o_totalprice", ["o_orderkey"])
+
+
+@query("SELECT DISTINCT id, CASE WHEN type IN ('гикэ', 'ГИКЭ') THEN 'акт' ELSE type END AS type, CASE WHEN user_id IN (SELECT id FROM users WHERE is_superuser) THEN NULL ELSE user_id END AS user_id FROM acts WHERE NOT (year IS NOT NULL AND trim(year) = '')")
+def stored_changes(spark: SparkSession, d: str) -> DataFrame:
+    """DML-01, DML-02, DML-05: update, delete and set-null as new versions."""
+    kept = changes.deleted(table(spark, d, "acts"), F.trim("year") == "")
+    renamed = changes.updated(kept, F.col("type").isin("гикэ", "ГИКЭ"), {"type": F.lit("акт")})
+    return changes.nulled(renamed, table(spark, d, "users").where("is_superuser"), "user_id", "id").select("id", "type", "user_id").distinct()
+
+
+@query("SELECT id, 'site' AS kind, doc_name AS name FROM archaeological_heritage_sites UNION ALL SELECT id, 'identified', name FROM identified_archaeological_heritage_sites")
+def tagged_union(spark: SparkSession, d: str) -> DataFrame:
+    """SET-02, SET-05, PRJ-06."""
+    sites = table(spark, d, "archaeological_heritage_sites").select("id", F.lit("site").alias("kind"), F.col("doc_name").alias("name"))
+    return sites.unionByName(table(spark, d, "identified_archaeological_heritage_sites").select("id", F.lit("identified").alias("kind"), "name"))
+
+
+@query("SELECT type, count(*) AS n FROM acts WHERE place LIKE '%район%' GROUP BY type")
+def sql_passthrough(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-21, STR-26."""
+    table(spark, d, "acts").createOrReplaceTempView("acts")
+    return retrieval.run_sql(spark, "SELECT type, count(*) AS n FROM acts WHERE place LIKE '%район%' GROUP BY type")
+
+
+def _vector_queries(spark: SparkSession, d: str) -> list[tuple[int, list[float]]]:
+    """Five stored vectors as the questions: a bounded list by the feature's own k."""
+    return [(r["vec_id"], list(r["embedding"])) for r in table(spark, d, "embeddings").orderBy("vec_id").limit(5).collect()]
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings ORDER BY vec_id LIMIT 5), s AS (SELECT e.vec_id, q.query_id, round(list_dot_product(e.embedding::double[], q.v::double[]) / sqrt(list_dot_product(e.embedding::double[], e.embedding::double[]) * list_dot_product(q.v::double[], q.v::double[])), 9) AS score FROM embeddings e, q)
+SELECT vec_id, query_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.top_k(table(spark, d, "embeddings"), _vector_queries(spark, d), "vec_id", "embedding").select("vec_id", "query_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """An addition to the reference: tumbling windows, the same on a stream."""
+    return crawl.windowed(table(spark, d, "events"))
