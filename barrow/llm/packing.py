@@ -144,7 +144,7 @@ def pack(items: DataFrame, keys: list[str], size: str, capacity: int = CAPACITY,
     histogram[0] = 0
     bounds = bucket_bounds(histogram, buckets)
     edges = np.concatenate([[0], np.cumsum(histogram)])
-    counts = [int(edges[hi + 1] - edges[lo + 1]) for lo, hi in zip([0, *bounds[:-1]], bounds, strict=True)]
+    counts = [int(edges[hi + 1] - edges[lo + 1]) for lo, hi in zip([0, *bounds[:-1]][: len(bounds)], bounds, strict=True)]
     plan = batches(bounds, counts, capacity, mixed)
     taken, where = [0] * len(bounds), []
     for batch in plan:

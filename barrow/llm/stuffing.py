@@ -155,7 +155,8 @@ def scored(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     hot = pages.select("_key", "cyrillic", "n_rest", F.explode("repeated").alias("r")).select("_key", "cyrillic", F.col("r.w").alias("word"), F.col("r.c").alias("own"), "n_rest")
     hot = hot.join(words, ["word", "cyrillic"], "left").join(F.broadcast(totals), "cyrillic", "left")
     expected = F.coalesce("c", F.lit(0)) / F.greatest(F.coalesce("total", F.lit(0)), F.lit(1))
-    diverging = (F.col("own") / F.col("n_rest") >= TIMES * expected) & ((expected <= RARE) | (F.col("own") / F.col("n_rest") >= HEAVY)) & ~F.col("word").isin(*FUNCTION)
+    # Short Cyrillic words in lists are units and abbreviations of columns (кв, гл, экз), not what draws visitors.
+    diverging = (F.col("own") / F.col("n_rest") >= TIMES * expected) & ((expected <= RARE) | (F.col("own") / F.col("n_rest") >= HEAVY)) & ~F.col("word").isin(*FUNCTION) & ~F.col("word").rlike("^[а-я]{1,3}$")
     mass = hot.groupBy("_key").agg(F.sum(F.when(diverging, F.col("own")).otherwise(0)).alias("diverging"))
     out = held.join(mass, "_key", "left")
     words_rest = F.col("n_rest") + 3 * F.col("links")
