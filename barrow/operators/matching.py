@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from barrow.functions import similarity, text
 
+#: Distinct years a registry can hold.
+MOST_YEARS = 1000
+
 SOURCES = "array<struct<type:string,path:string,original_path:string,origin_filename:string,file_hash:string,was_organized:boolean>>"
 
 
@@ -66,16 +69,21 @@ def best_matches(extracted: DataFrame, registry: DataFrame, key: str, registry_k
     """MAT-10, MAT-11: for each extracted record the most similar registry record of its year: (key, registry_key, similarity).
 
     Years are normalised; a record without a year meets all registry years, a registry record without one meets all
-    records: the year is an equi-join key with two small branches for the blanks, never a nested loop over both tables.
+    records: blanks are opened into the years of the other side, a list of calendar years, so every comparison comes from
+    an equi-join on the year.
     Ties go to the smaller registry key. strict: the best must reach the threshold (lowered by 0.05 for each of finish
     date and expert that is missing, 0.5 at least) and date and expert must agree by 0.7; else the best counts as it is.
     """
     a = extracted.withColumn("_year", text.year(F.col("year")))
     b = registry.withColumn("_year", text.year(F.col("year")))
-    blank_a, blank_b = a.where("_year = ''"), b.where("_year = ''")
-    year = F.col("a._year") == F.col("b._year")
-    parts = [a.where("_year <> ''").alias("a").join(b.where("_year <> ''").alias("b"), year), a.alias("a").join(blank_b.alias("b"), F.col("a._year").isNotNull() & F.col("b._year").isNotNull())]
-    parts.append(blank_a.alias("a").join(b.where("_year <> ''").alias("b"), F.col("a._year").isNotNull() & F.col("b._year").isNotNull()))
+    both = a.select("_year").union(b.select("_year")).distinct().limit(MOST_YEARS + 1).collect()
+    if len(both) > MOST_YEARS:
+        raise ValueError("the year column holds more values than there are years")
+    years = F.array(*[F.lit(y) for y in sorted({r["_year"] for r in both} | {""})])
+    # A blank meets each record of the other side once: under the other's own year, or under '' where both are blank.
+    opened = lambda df: df.withColumn("_meet", F.explode(F.when(F.col("_year") == "", years).otherwise(F.array("_year", F.lit("")))))
+    met = (F.col("a._year") != "") & (F.col("b._year") != "") & (F.col("a._meet") != "") | (F.col("a._year") == "") & (F.col("a._meet") == F.col("b._year")) | (F.col("b._year") == "") & (F.col("b._meet") == F.col("a._year")) & (F.col("a._year") != "")
+    parts = [opened(a).alias("a").join(opened(b).alias("b"), F.col("a._meet") == F.col("b._meet")).where(met)]
     scored = []
     for part in parts:
         missing = reduce(lambda x, y: x + y, [F.lower(F.trim(F.coalesce(F.col(f"a.{c}"), F.lit("")))).isin("", "nan").cast("int") for c in ("finish_date", "expert")])

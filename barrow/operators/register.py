@@ -38,35 +38,47 @@ def as_text(df: DataFrame, name: str) -> Column:
     return F.date_format(name, "yyyy-MM-dd HH:mm") if kind == "timestamp" else F.col(name).cast("string")
 
 
-def global_search(df: DataFrame, columns: tuple[str, ...], needle: str) -> DataFrame:
-    """Rows with the needle in any of the columns, joined ones included (FLT-02); an empty needle keeps all."""
-    return df.where(reduce(lambda a, b: a | b, [icontains(as_text(df, c), needle) for c in columns])) if needle and columns else df
+def _all(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def column_search(df: DataFrame, register: Register, needles: dict[str, str]) -> DataFrame:
-    """Rows with each needle in its column, by the column's index as text (FLT-03).
+def global_predicate(df: DataFrame, columns: tuple[str, ...], needle: str) -> Column:
+    """Whether the needle stands in any of the columns, joined ones included (FLT-02); an empty needle stands in all."""
+    return reduce(lambda a, b: a | b, [icontains(as_text(df, c), needle) for c in columns]) if needle and columns else F.lit(True)
+
+
+def column_predicate(df: DataFrame, register: Register, needles: dict[str, str]) -> Column:
+    """Whether each needle stands in its column, by the column's index as text (FLT-03).
 
     Indexes that are no numbers or out of range, unsearchable columns and empty needles are passed over.
     """
-    for index, needle in needles.items():
-        if index.isdigit() and int(index) < len(register.columns) and needle:
-            name = register.columns[int(index)]
-            if name in register.searchable:
-                df = df.where(icontains(as_text(df, name), needle))
-    return df
+    wanted = [(register.columns[int(i)], n) for i, n in needles.items() if i.isdigit() and int(i) < len(register.columns) and n]
+    return _all([icontains(as_text(df, name), needle) for name, needle in wanted if name in register.searchable])
 
 
-def named_filters(df: DataFrame, register: Register, values: dict[str, str]) -> DataFrame:
-    """Rows that hold all named filters (FLT-04): each key means the register's own column, or the joined card's.
+def named_predicate(df: DataFrame, register: Register, values: dict[str, str]) -> Column:
+    """Whether all named filters hold (FLT-04): each key means the register's own column, or the joined card's.
 
-    Unknown keys and empty values are passed over. Three keys are special: visibility, account_card_filter, show_excluded.
+    Unknown keys and empty values are passed over.
     """
-    for key, value in values.items():
-        if key in register.named and value:
-            name = next((c for c in register.named[key] if c in df.columns), None)
-            if name:
-                df = df.where(icontains(as_text(df, name), value))
-    return df
+    wanted = [(next((c for c in register.named.get(key, ()) if c in df.columns), None), value) for key, value in values.items() if value]
+    return _all([icontains(as_text(df, name), value) for name, value in wanted if name])
+
+
+def predicate(df: DataFrame, register: Register, request: Request) -> Column:
+    return global_predicate(df, register.searchable, request.search) & column_predicate(df, register, request.column_search) & named_predicate(df, register, request.named)
+
+
+def global_search(df: DataFrame, columns: tuple[str, ...], needle: str) -> DataFrame:
+    return df.where(global_predicate(df, columns, needle))
+
+
+def column_search(df: DataFrame, register: Register, needles: dict[str, str]) -> DataFrame:
+    return df.where(column_predicate(df, register, needles))
+
+
+def named_filters(df: DataFrame, register: Register, values: dict[str, str]) -> DataFrame:
+    return df.where(named_predicate(df, register, values))
 
 
 def visible(df: DataFrame, mode: str, user_id: int, public: str = "is_public", owner: str = "user_id") -> DataFrame:
@@ -110,8 +122,7 @@ def page(df: DataFrame, start: int, length: int) -> DataFrame:
 
 
 def filtered(df: DataFrame, register: Register, request: Request) -> DataFrame:
-    df = global_search(df, register.searchable, request.search)
-    return named_filters(column_search(df, register, request.column_search), register, request.named)
+    return df.where(predicate(df, register, request))
 
 
 def respond(df: DataFrame, register: Register, request: Request, key: str) -> DataFrame:
@@ -120,9 +131,8 @@ def respond(df: DataFrame, register: Register, request: Request, key: str) -> Da
 
 
 def counts(df: DataFrame, register: Register, request: Request) -> DataFrame:
-    """AGG-01: recordsTotal and recordsFiltered from one pass: the filter is an expression, not a second scan."""
-    kept = filtered(df.withColumn("_row", F.lit(1)), register, request)
-    return df.agg(F.count("*").alias("records_total")).join(kept.agg(F.count("*").alias("records_filtered")), F.lit(True))
+    """AGG-01: recordsTotal and recordsFiltered in one pass: the filter is counted, not scanned for again."""
+    return df.agg(F.count("*").alias("records_total"), F.count_if(predicate(df, register, request)).alias("records_filtered"))
 
 
 def cells(df: DataFrame, mapping: dict[str, str]) -> DataFrame:

@@ -4,27 +4,52 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+#: Queries and rows that one task multiplies.
+QUERY_BLOCK, ROW_BLOCK = 1000, 20_000
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
+    """RET-02: (query_id, key, score, rank): the k rows most similar by cosine to each of queries(query_id, vector).
 
-
-def top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], key: str, vector: str, k: int = 5) -> DataFrame:
-    """RET-02: (query_id, key, score, rank): the k most similar rows for each of a bounded list of query vectors.
-
-    The queries are literals of the plan: one pass over the rows, which keep their k best per query and task before any
-    shuffle. Ties go to the smaller key; null and empty vectors match nothing.
+    A stated query set against all rows, in blocks: each task multiplies one block of queries with one block of rows and
+    keeps k rows a query, so only k rows per query and block are shuffled again. Scores are rounded to nine places, ties
+    go to the smaller key. Null, empty and zero vectors match nothing, nor do vectors of another length than the query's.
     """
-    given = F.array(*[F.struct(F.lit(q).alias("query_id"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for q, v in queries])
-    scored = vectors.where(F.size(vector) > 0).select(F.col(key), F.explode(F.transform(given, lambda q: F.struct(q["query_id"].alias("query_id"), F.round(cosine(F.col(vector), q["v"]), 9).alias("score")))).alias("m")).select(key, "m.query_id", "m.score")
-    return best_of(scored.where(F.col("score").isNotNull()), "query_id", key, "score", k)
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[key]
+    n_q, n_r = queries.count(), vectors.count()
+    q_blocks, r_blocks = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_r // ROW_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.where(F.size("vector") > 0).select("query_id", "vector", block("query_id", q_blocks).alias("q"), every(r_blocks).alias("r"), F.size("vector").alias("width"))
+    right = vectors.where(F.size(vector) > 0).select(F.col(key).alias("_key"), F.col(vector).alias("_vector"), every(q_blocks).alias("q"), block(key, r_blocks).alias("r"), F.size(vector).alias("width"))
+
+    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "_key": [], "score": []})
+        unit = []
+        for column in (a["vector"], b["_vector"]):
+            m = np.stack(column.map(lambda v: np.asarray(v, dtype=np.float64)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                unit.append(m / np.linalg.norm(m, axis=1, keepdims=True))
+        scores = np.round(unit[0] @ unit[1].T, 9)
+        keys, rows = b["_key"].to_numpy(), []
+        for query, row in zip(a["query_id"], scores, strict=True):
+            good = np.flatnonzero(~np.isnan(row))
+            if len(good) > k:  # all that tie with the k-th stay, the final order decides
+                good = good[row[good] >= np.partition(row[good], -k)[-k]]
+                good = good[np.lexsort((keys[good], -row[good]))[:k]]
+            rows.append(pd.DataFrame({"query_id": query, "_key": keys[good], "score": row[good]}))
+        return pd.concat(rows)
+
+    on = ["q", "r", "width"]
+    scored = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(multiply, f"query_id {kinds[0]}, _key {kinds[1]}, score double")
+    return best_of(scored, "query_id", "_key", "score", k).withColumnRenamed("_key", key)
 
 
 def best_of(scored: DataFrame, group: str, key: str, score: str, k: int) -> DataFrame:

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barrow.functions import geo, text
-from barrow.operators import changes, extraction, layout, matching, register, retrieval, snapshots, spatial
+from barrow.functions import geo, similarity, text
+from barrow.operators import changes, extraction, layout, matching, predicates, register, retrieval, snapshots, spatial
 from barrow.operators.register import Register, Request, respond
 from barrow.session import table
 from barrow.sources import files as sources
-from barrow.sources import sinks
+from barrow.sources import kml, sinks
 from barrow.streaming import crawl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -321,9 +321,9 @@ def clean_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "acts").where("name_number is not null").select("id", text.path_component(F.col("name_number")).alias("component"), text.file_name(F.col("name_number"), 40).alias("file_name")).distinct()
 
 
-@query(r"SELECT doc_id, array_to_string(regexp_split_to_array(trim(text), '[ \t\n\x0B\f\r]+')[1:40], ' ') AS head FROM documents")
+@query(r"SELECT doc_id, array_to_string(regexp_split_to_array(trim(text), '[ \t\n\x0B\f\r]+')[1:400], ' ') AS head FROM documents")
 def truncate_words(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.first_words(F.col("text"), 40).alias("head"))
+    return table(spark, d, "documents").select("doc_id", text.first_words(F.col("text")).alias("head"))
 
 
 @query()
@@ -561,18 +561,123 @@ def sql_passthrough(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.run_sql(spark, "SELECT type, count(*) AS n FROM acts WHERE place LIKE '%район%' GROUP BY type")
 
 
-def _vector_queries(spark: SparkSession, d: str) -> list[tuple[int, list[float]]]:
-    """Five stored vectors as the questions: a bounded list by the feature's own k."""
-    return [(r["vec_id"], list(r["embedding"])) for r in table(spark, d, "embeddings").orderBy("vec_id").limit(5).collect()]
-
-
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings ORDER BY vec_id LIMIT 5), s AS (SELECT e.vec_id, q.query_id, round(list_dot_product(e.embedding::double[], q.v::double[]) / sqrt(list_dot_product(e.embedding::double[], e.embedding::double[]) * list_dot_product(q.v::double[], q.v::double[])), 9) AS score FROM embeddings e, q)
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT e.vec_id, q.query_id, round(list_dot_product(e.embedding::double[], q.v::double[]) / sqrt(list_dot_product(e.embedding::double[], e.embedding::double[]) * list_dot_product(q.v::double[], q.v::double[])), 9) AS score FROM embeddings e, q)
 SELECT vec_id, query_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top_k(table(spark, d, "embeddings"), _vector_queries(spark, d), "vec_id", "embedding").select("vec_id", "query_id", F.round("score", 6).alias("score"), "rank")
+    """RET-02: every row whose id is divisible by 100 asks all rows."""
+    vectors = table(spark, d, "embeddings")
+    asking = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.top_k(vectors, asking, "vec_id", "embedding").select("vec_id", "query_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """An addition to the reference: tumbling windows, the same on a stream."""
     return crawl.windowed(table(spark, d, "events"))
+
+
+# --- smaller predicates and aggregates -------------------------------------------------------------------------------
+
+
+@query("SELECT id, email FROM users u WHERE email IS NOT NULL AND EXISTS (SELECT 1 FROM users v WHERE v.email = u.email AND v.id <> u.id)")
+def taken_values(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-13."""
+    users = table(spark, d, "users")
+    return predicates.taken(users, "id", users.select("id", "email"), "email")
+
+
+@query(f"SELECT id, username FROM {ONE_ACT} a WHERE user_id = 5 OR (SELECT is_superuser FROM users WHERE id = 5)")
+def owned_rows(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-21."""
+    return predicates.owned(_acts(spark, d).drop("is_superuser"), table(spark, d, "users"), 5).select("id", "username")
+
+
+@query(f"SELECT id, grp, point_name FROM {POINTS} WHERE id || '-' || point_name IN (SELECT DISTINCT id || '-1' FROM object_account_cards WHERE id % 3 = 0)")
+def selected_points(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-18, FLT-19."""
+    chosen = table(spark, d, "object_account_cards").where("id % 3 = 0").select(F.concat(F.col("id").cast("string"), F.lit("-1")).alias("key"))
+    return predicates.selected(_points(spark, d), ["id", "point_name"], chosen).select("id", "grp", "point_name")
+
+
+@query(f"""WITH f AS (SELECT DISTINCT path FROM {FILES} WHERE path LIKE 'uploaded_files/%'), n AS (SELECT *, count(*) FILTER (WHERE lower(path) LIKE '%.pdf') OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '')) AS k FROM f)
+SELECT path FROM n WHERE len(string_split(substr(path, 16), '/')) <= 2 OR k > 1""")
+def files_to_reorganise(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-20, FLT-24."""
+    files = matching.files_of(table(spark, d, "acts"), "id").select("path").where("path is not null").distinct()
+    return predicates.needs_reorganising(files, "uploaded_files").select("path")
+
+
+@query(f"""WITH z AS (SELECT id, grp, CASE WHEN lat BETWEEN 50 AND 60 AND lon >= 76.5 AND lon < 106.5 THEN 'мск' || cast(floor((lon - 76.5) / 3) + 162 AS int) WHEN lon >= 78 AND lon < 114 THEN 'мск24зона' || cast(floor((lon - 78) / 6) + 1 AS int) ELSE 'wgs84' END AS zone FROM {POINTS})
+SELECT id, grp, CASE WHEN min(zone) = max(zone) THEN min(zone) ELSE 'wgs84' END AS zone FROM z GROUP BY id, grp""")
+def zone_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-07."""
+    return predicates.agreed_zone(_points(spark, d).withColumn("zone", geo.zone(F.col("lat"), F.col("lon"))), ["id", "grp"], "zone")
+
+
+@query("SELECT user_id, list(event_type ORDER BY first_at, event_type) AS \"values\" FROM (SELECT user_id, event_type, min(event_id) AS first_at FROM events GROUP BY ALL) GROUP BY user_id")
+def first_seen_values(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-11."""
+    return predicates.first_seen(table(spark, d, "events"), "user_id", "event_type", "event_id")
+
+
+@query("""SELECT o_orderkey, abs(sum(l_extendedprice) - max(o_totalprice)) <= 0.5 * greatest(abs(sum(l_extendedprice)), abs(max(o_totalprice))) AS agrees FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def parts_add_up(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-08 on order lines, with a wide tolerance."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l_extendedprice")).alias("parts"))
+    return table(spark, d, "orders").join(lines, "o_orderkey").select("o_orderkey", predicates.adds_up(F.col("parts"), F.col("o_totalprice"), 0.5).alias("agrees"))
+
+
+@query("SELECT l_orderkey, l_linenumber, cast(floor(l_suppkey % 50 / 50.0 * 2) + 2 * floor(l_partkey % 90 / 90.0 * 9) AS int) AS cell FROM lineitem")
+def tick_cells(spark: SparkSession, d: str) -> DataFrame:
+    """UDF-07's binning of tick marks."""
+    x, y = F.col("l_suppkey") % 50, F.col("l_partkey") % 90
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", predicates.tick_cell(x, y, F.lit(50.0), F.lit(90.0), 2, 9).alias("cell"))
+
+
+@query("""SELECT DISTINCT id, 'act' AS report_type, json_extract_string(source, '$[0].origin_filename') AS shown FROM acts WHERE NOT coalesce(is_processing, false)
+UNION ALL SELECT DISTINCT id, 'report', json_extract_string(source, '$[0].origin_filename') FROM scientific_reports WHERE NOT coalesce(is_processing, false)""")
+def reports_on_map(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-06: all finished reports, tagged."""
+    one = lambda name, label: table(spark, d, name).where(~F.coalesce("is_processing", F.lit(False))).select("id", F.lit(label).alias("report_type"), F.get_json_object("source", "$[0].origin_filename").alias("shown")).distinct()
+    return one("acts", "act").unionByName(one("scientific_reports", "report"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '№\\s*\\d+')) AS citations, contains(text, chr(10) || chr(10)) AS parted, length(regexp_replace(text, chr(10) || '{2,}', chr(10), 'g')) AS n FROM documents")
+def text_measures(spark: SparkSession, d: str) -> DataFrame:
+    """STR-06, STR-28: collapsed blank lines and counted citations."""
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(t, F.lit(r"№\s*\d+"), F.lit(0))).cast("long").alias("citations"), F.contains(t, F.lit("\n\n")).alias("parted"), F.length(text.collapse_blank_lines(t)).cast("long").alias("n"))
+
+
+@query("SELECT DISTINCT id, CASE WHEN contains(f, 'текст') THEN 'text' WHEN contains(f, 'приложение') OR contains(f, 'иллюстрации') THEN 'images' ELSE 'all' END AS role FROM (SELECT id, lower(json_extract_string(source, '$[0].origin_filename')) AS f FROM scientific_reports)")
+def file_roles(spark: SparkSession, d: str) -> DataFrame:
+    """STR-23."""
+    return table(spark, d, "scientific_reports").select("id", text.file_role(F.get_json_object("source", "$[0].origin_filename")).alias("role")).distinct()
+
+
+@query("SELECT e.user_id, count(*) AS n, max(e.value) AS top FROM events e WHERE e.event_type IN ('click', 'view') AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = e.user_id AND u.is_superuser) GROUP BY e.user_id")
+def in_list_and_anti_join(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-09, SET-03."""
+    kept = table(spark, d, "events").where(F.col("event_type").isin("click", "view"))
+    return kept.join(table(spark, d, "users").where("is_superuser").select(F.col("id").alias("user_id")), "user_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("top"))
+
+
+@query()
+def proximity_report(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-14, SRT-02 on the ellipsoid: the nearest other card within 25 km of each card's centre."""
+    points = _points(spark, d)
+    centres = points.groupBy(F.col("id").alias("point_id")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    return spatial.nearest(centres, points.select(F.col("id").alias("target_id"), "lat", "lon"), cell=0.5, farthest_km=25.0, metric=geo.geodesic, later=True).orderBy("km", "point_id")
+
+
+@query()
+def kml_export(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-03: the coordinates of each card as KML."""
+    return kml.kml_text(_points(spark, d).withColumn("style", register.group_style(F.col("grp"))), "id")
+
+
+@query()
+def keyword_sections(spark: SparkSession, d: str) -> DataFrame:
+    """MAT-17: the section a card's text belongs to by its best keyword."""
+    keywords = {"finds": ["находки", "инвентарь"], "layer": ["слой", "суглинок"], "state": ["состояние", "повреждений"]}
+    return table(spark, d, "object_account_cards").dropDuplicates(["id"]).select("id", similarity.best_keyword(F.col("description"), keywords).alias("section"))

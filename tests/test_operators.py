@@ -120,7 +120,9 @@ def test_chunks_cover_and_fit(given):
 
 def test_retrieval(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0]), (4, []), (5, None)], "id int, e array<float>")
-    assert [(r.id, r["rank"]) for r in retrieval.top_k(v, [(0, [1.0, 0.0])], "id", "e", 2).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (9, [1.0])], "query_id int, vector array<float>")
+    assert [(r.id, r["rank"]) for r in retrieval.top_k(v, q, "id", "e", 2).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    assert retrieval.top_k(v.limit(0), q, "id", "e", 2).count() == 0
     for bad in ("drop table x", "select 1; select 2", "with a as (select 1) insert into b select * from a", ""):
         with pytest.raises(ValueError):
             retrieval.run_sql(spark, bad)
