@@ -33,7 +33,7 @@ TIMES, RARE, LEAST = 12.0, 4e-5, 2
 #: A word with this share of the part without prose diverges however common it is in prose.
 HEAVY = 0.25
 #: Share of the part without prose that must be diverging words, links or tags; share of the page that must be no prose.
-MASS, MOST = 0.34, 0.5
+MASS, MOST = 0.31, 0.5
 #: Standard deviations from prose at comparable lengths that make a curve extreme.
 EXTREME = 2.0
 
