@@ -1,4 +1,4 @@
-"""Smaller predicates and aggregates of the reference (FLT-13, 18..24, AGG-07, 08, 11, 16, MAT-20, UDF-07)."""
+"""Smaller predicates and aggregates (FLT-13, 18..24, AGG-07, 08, 11, 16, MAT-20, UDF-07)."""
 
 from __future__ import annotations
 

@@ -156,10 +156,10 @@ def pruned(df: DataFrame, columns: list[str]) -> DataFrame:
 OBJECT_PATHS = {"act": "acts", "scientificreport": "scientific_reports", "techreport": "tech_reports", "openlists": "open_lists", "objectaccountcard": "account_cards", "archaeologicalheritagesite": "archaeological_heritage_sites", "identifiedarchaeologicalheritagesite": "identified_archaeological_heritage_sites", "commercialoffers": "map/commercial_offer", "geoobject": "map/geo_object"}
 
 
-def object_url(base: str, kind: Column, key: Column) -> Column:
+def object_url(base: str, kind: Column, key: Column, admin: str = "admin") -> Column:
     """PRJ-08: address of an object; kinds without a page of their own lead to the admin's."""
     paths = F.create_map(*[F.lit(x) for kv in OBJECT_PATHS.items() for x in kv])
-    return F.concat(F.lit(f"{base}/"), F.coalesce(paths[kind], F.concat(F.lit("admin/agregator/"), kind)), F.lit("/"), key.cast("string"), F.lit("/"))
+    return F.concat(F.lit(f"{base}/"), F.coalesce(paths[kind], F.concat(F.lit(f"{admin}/"), kind)), F.lit("/"), key.cast("string"), F.lit("/"))
 
 
 def group_style(name: Column) -> Column:

@@ -1,4 +1,4 @@
-"""The core's queries: one for each operator of the reference, with SQL that must give the same rows."""
+"""The core's queries: one for each surveyed operator, with SQL that must give the same rows."""
 
 from __future__ import annotations
 
@@ -572,7 +572,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
-    """An addition to the reference: tumbling windows, the same on a stream."""
+    """An addition of this engine: tumbling windows, the same on a stream."""
     return crawl.windowed(table(spark, d, "events"))
 
 

@@ -1,6 +1,6 @@
 """A crawl as a stream (STM-01..07): listing pages come in as files, states are kept, a report follows each batch.
 
-Windows over events are additions of this engine; the reference has no streams.
+Windows over events are additions of this engine.
 """
 
 from __future__ import annotations
