@@ -257,14 +257,18 @@ def resolved(values: DataFrame) -> DataFrame:
     people is one row per key.
     """
     told = cut(parsed(values.where("name is not null")))
-    for c, sure in (("a_full", GIVEN), ("b_full", _patronymics())):
-        # A spelling counts once however many rows copy it; a name of the lexicon is read as it stands.
-        counts = told.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n"))
-        best = spelling.best(counts, RATIO_READ).withColumn("reading", F.when(F.col("name").isin(*sorted(sure)), F.col("name")).otherwise(F.col("reading")))
-        common = best.join(counts, "name").groupBy("reading").agg(F.sum("n").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1)))).where(F.col("n") >= F.greatest(F.lit(2.0), COMMON * F.col("total")))
-        # A name that stays rare may be a spelling beyond one slip: its initial is all that is taken from it.
-        read = best.join(common.select("reading", F.col("reading").alias("kept")), "reading", "left").select(F.col("name").alias(c), F.col("reading").alias("_read"), F.col("kept").alias("_kept"))
-        told = told.join(read, c, "left").withColumn(c[0] + "_key", F.coalesce(F.substring("_read", 1, 1), c[0] + "_key")).withColumn(c, F.col("_kept")).drop("_read", "_kept")
+    # A spelling counts once however many rows copy it; a name of the lexicon is read as it stands. A name that stays rare
+    # may be a spelling beyond one slip: its initial is all that is taken from it. Both attributes go through one join.
+    slots = F.array(F.struct(F.lit("a").alias("slot"), F.col("a_full").alias("name")), F.struct(F.lit("b").alias("slot"), F.col("b_full").alias("name")))
+    counts = told.select(F.inline(slots)).where("name is not null").groupBy("slot", "name").agg(F.count("*").alias("n"))
+    sure = F.col("name").isin(*sorted(GIVEN | _patronymics()))
+    best = spelling.best(counts, RATIO_READ, ("slot",)).withColumn("reading", F.when(sure, F.col("name")).otherwise(F.col("reading"))).join(counts, ["slot", "name"])
+    total, own = F.sum("n").over(Window.partitionBy("slot")), F.sum("n").over(Window.partitionBy("slot", "reading"))
+    kept = F.when(own >= F.greatest(F.lit(2.0), COMMON * total), F.col("reading"))
+    read = cut(best.select("slot", "name", F.substring("reading", 1, 1).alias("_key"), kept.alias("_kept")))
+    for slot in "ab":
+        known = read.where(F.col("slot") == slot).select(F.col("name").alias(f"{slot}_full"), "_key", "_kept")
+        told = told.join(known, f"{slot}_full", "left").withColumns({f"{slot}_key": F.coalesce("_key", f"{slot}_key"), f"{slot}_full": F.col("_kept")}).drop("_key", "_kept")
     same = ["kind", "anchor", "a_full", "a_key", "b_full", "b_key"]
     told = cut(told.withColumn("first", F.xxhash64("kind", *[F.coalesce(F.col(c), F.lit("?")) for c in same[1:]])))
     profiles = told.groupBy("first", *same).agg(F.sum("n").alias("n")).select(F.col("first").alias("id"), "kind", F.array("anchor").alias("anchors"), *same[2:], "n")

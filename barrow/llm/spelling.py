@@ -39,7 +39,7 @@ def readings(names: DataFrame, context: list[str], ratio: float = RATIO) -> Data
     return near(names, context, ratio).unionByName(names.select(*context, "name", F.col("name").alias("reading")))
 
 
-def best(names: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """(name, reading): the most frequent reading of each name, ties to the greatest."""
-    counted = readings(names, [], ratio).join(names.select(F.col("name").alias("reading"), F.col("n").alias("m")), "reading")
-    return counted.groupBy("name").agg(F.max_by("reading", F.struct("m", F.col("reading"))).alias("reading"))
+def best(names: DataFrame, ratio: float = RATIO, context: tuple[str, ...] = ()) -> DataFrame:
+    """(context, name, reading): the most frequent reading of each name, ties to the greatest."""
+    counted = readings(names, list(context), ratio).join(names.select(*context, F.col("name").alias("reading"), F.col("n").alias("m")), [*context, "reading"])
+    return counted.groupBy(*context, "name").agg(F.max_by("reading", F.struct("m", F.col("reading"))).alias("reading"))
