@@ -61,8 +61,8 @@ def count_tokens(text: Column, model: str | None = None) -> Column:
 def bucket_bounds(histogram: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most `buckets` length buckets with the least total padding; histogram[n] items have length n.
 
-    f_k(j) = min over i < j of f_{k-1}(i) + padding of a bucket that holds the lengths in (v_i, v_j], over the lengths v
-    that occur. Exact, ties to the fewest buckets.
+    f_k(j) = min over i <= j of f_{k-1}(i - 1) + padding of a bucket that holds the lengths v_i..v_j, over the lengths v
+    that occur. Exact: padding is a Monge cost, so the best i grows with j, and each layer is solved by halving.
     """
     lengths = np.flatnonzero(histogram)
     lengths = lengths[lengths > 0]
@@ -71,21 +71,18 @@ def bucket_bounds(histogram: np.ndarray, buckets: int) -> list[int]:
     counts = histogram[lengths].astype(np.float64)
     items, tokens = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
     n = len(lengths)
-    # cost[i, j]: lengths i..j-1 padded to length j-1.
-    cost = lengths[None, :] * (items[None, 1:] - items[:-1, None]) - (tokens[None, 1:] - tokens[:-1, None])
-    cost[np.tril_indices(n, -1)] = np.inf
-    best = cost[0].copy()
+    last = np.arange(n)
+    best = lengths * items[last + 1] - tokens[last + 1]
     came = []
     for _ in range(1, buckets):
         prior = np.concatenate([[np.inf], best[:-1]])
-        total = prior[:, None] + cost
-        frm = np.argmin(total, axis=0)
-        came.append(frm)
-        best = np.minimum(best, total[frm, np.arange(n)])
+        total, start = _layer(prior, lengths, items, tokens)
+        came.append(start)
+        best = np.minimum(best, total)
     bounds, j = [], n - 1
-    for frm in reversed(came):
+    for start in reversed(came):
         bounds.append(int(lengths[j]))
-        j = int(frm[j]) - 1
+        j = int(start[j]) - 1
         if j < 0:
             break
     else:
@@ -93,6 +90,27 @@ def bucket_bounds(histogram: np.ndarray, buckets: int) -> list[int]:
     return sorted(set(bounds))
 
 
+def _layer(prior: np.ndarray, lengths: np.ndarray, items: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least prior[i] + padding(i..j) for every j, and its i. All middles of one halving step are solved together."""
+    n = len(lengths)
+    best, arg = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
+    low, high, first, final = (np.array([v]) for v in (0, n - 1, 0, n - 1))
+    while len(low):
+        middle = (low + high) // 2
+        width = np.minimum(middle, final) - first + 1
+        at = np.concatenate([[0], np.cumsum(width)[:-1]])
+        i = np.arange(int(width.sum())) - np.repeat(at, width) + np.repeat(first, width)
+        j = np.repeat(middle, width)
+        cost = prior[i] + lengths[j] * (items[j + 1] - items[i]) - (tokens[j + 1] - tokens[i])
+        least = np.minimum.reduceat(cost, at)
+        where = np.minimum.reduceat(np.where(cost == np.repeat(least, width), i, n), at)
+        best[middle], arg[middle] = least, where
+        low, high, first, final = np.concatenate([low, middle + 1]), np.concatenate([middle - 1, high]), np.concatenate([first, where]), np.concatenate([where, final])
+        keep = low <= high
+        low, high, first, final = low[keep], high[keep], first[keep], final[keep]
+    return best, arg
+
+
 @dataclass(frozen=True)
 class Batch:
     """`repeats` containers from `first` on, each with `slots[b]` items of bucket b."""
