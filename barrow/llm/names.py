@@ -36,6 +36,8 @@ LEGAL = frozenset("ооо ао оао зао пао нпо гау кгау гб
 #: Romanisation, longest first.
 ROMAN = (("shch", "щ"), ("sch", "щ"), ("kh", "х"), ("zh", "ж"), ("ch", "ч"), ("sh", "ш"), ("ts", "ц"), ("yu", "ю"), ("ya", "я"), ("yo", "е"), ("ye", "е"), ("iu", "ю"), ("ia", "я"), ("a", "а"), ("b", "б"), ("v", "в"), ("g", "г"), ("d", "д"), ("e", "е"), ("z", "з"), ("i", "и"), ("j", "й"), ("k", "к"), ("l", "л"), ("m", "м"), ("n", "н"), ("o", "о"), ("p", "п"), ("r", "р"), ("s", "с"), ("t", "т"), ("u", "у"), ("f", "ф"), ("h", "х"), ("c", "ц"), ("w", "в"), ("x", "кс"), ("q", "к"))
 
+_TO_ROMAN = {letter: roman for roman, letter in reversed(ROMAN) if roman not in ("sch", "ye", "yo", "iu", "ia", "j", "h", "c", "w", "x", "q")} | {"ы": "y", "й": "y", "э": "e", "ь": "", "ъ": "", "х": "kh", "ц": "ts"}
+
 _FULL = {short: names.split() for names, shorts in FOND.items() for short in shorts.split()}
 #: Romanised names lack their soft signs.
 _HARD = {n.replace("ь", ""): n for n in GIVEN if "ь" in n} | {n: n for n in GIVEN}
@@ -62,9 +64,9 @@ def _from_roman(word: str) -> str:
 def cyrillic(text: str) -> str:
     """Latin words by romanisation, Latin look-alikes among Cyrillic by shape (and the reverse first); ё as е.
 
-    A lone Latin letter is a look-alike if anything in the text is Cyrillic.
+    A lone Latin letter is a look-alike if most letters of the text are Cyrillic.
     """
-    mixed = bool(_CYRILLIC.search(text))
+    mixed = len(_CYRILLIC.findall(text)) > len(_LATIN.findall(text))
 
     def word(m: re.Match) -> str:
         w = m.group()
@@ -78,6 +80,18 @@ def cyrillic(text: str) -> str:
     return _LETTERS.sub(word, text).replace("ё", "е").replace("Ё", "Е")
 
 
+def latin(word: str) -> str:
+    """A Cyrillic word romanised, signs dropped."""
+    return "".join(_TO_ROMAN.get(c, c) for c in word)
+
+
+def latin_words(value: str) -> dict[str, str]:
+    """The Latin words of a value as typed, by the Cyrillic form they are read as."""
+    words = (w for w in _LETTERS.findall(value) if 2 * len(_LATIN.findall(w)) > len(w) > 1)
+    typed = (w.translate(TO_LATIN) for w in words)
+    return {_from_roman(w).lower().replace("ё", "е"): w.lower().replace("'", "") for w in typed}
+
+
 def _patronymics() -> frozenset[str]:
     """Patronymics by rule from the given names."""
     out = {"ильич", "ильинична", "никитич", "никитична", "львович", "львовна", "павлович", "павловна", "петрович", "петровна"}
@@ -94,8 +108,8 @@ def _patronymics() -> frozenset[str]:
 
 
 def anchor(word: str) -> str:
-    """A name without what romanisation loses or confuses: signs, э, тс for ц."""
-    return word.replace("ь", "").replace("ъ", "").replace("э", "е").replace("тс", "ц")
+    """A name without what romanisation loses: signs and э."""
+    return word.replace("ь", "").replace("ъ", "").replace("э", "е")
 
 
 def _givenish(word: str) -> bool:
@@ -208,7 +222,7 @@ def organization(value: str) -> tuple | None:
     return proper.rstrip("."), None, sort, None, legal
 
 
-_PROFILE = "anchor string, a_full string, a_key string, b_full string, b_key string"
+_PROFILE = "anchor string, roman string, typed boolean, a_full string, a_key string, b_full string, b_key string"
 
 
 def parsed(values: DataFrame) -> DataFrame:
@@ -220,8 +234,9 @@ def parsed(values: DataFrame) -> DataFrame:
             for kind, name, n in pdf[["kind", "name", "n"]].itertuples(index=False):
                 found = person(name) if kind == "person" else organization(name)
                 if found:
-                    rows.append((kind, name, n, anchor(found[0]), *found[1:]))
-            yield pd.DataFrame(rows, columns=["kind", "name", "n", "anchor", "a_full", "a_key", "b_full", "b_key"])
+                    typed = latin_words(name).get(found[0])
+                    rows.append((kind, name, n, anchor(found[0]), typed or latin(found[0]), typed is not None, *found[1:]))
+            yield pd.DataFrame(rows, columns=["kind", "name", "n", "anchor", "roman", "typed", "a_full", "a_key", "b_full", "b_key"])
 
     return values.mapInPandas(run, f"kind string, name string, n long, {_PROFILE}")
 
@@ -262,19 +277,33 @@ def resolved(values: DataFrame) -> DataFrame:
     slots = F.array(F.struct(F.lit("a").alias("slot"), F.col("a_full").alias("name")), F.struct(F.lit("b").alias("slot"), F.col("b_full").alias("name")))
     counts = told.select(F.inline(slots)).where("name is not null").groupBy("slot", "name").agg(F.count("*").alias("n"))
     sure = F.col("name").isin(*sorted(GIVEN | _patronymics()))
-    best = spelling.best(counts, RATIO_READ, ("slot",)).withColumn("reading", F.when(sure, F.col("name")).otherwise(F.col("reading"))).join(counts, ["slot", "name"])
+    other = F.when(F.col("reading") != F.col("name"), F.col("reading"))
+    read = spelling.readings(counts, ["slot"], RATIO_READ).groupBy("slot", "name").agg(F.collect_set(other).alias("others")).join(counts, ["slot", "name"])
+    # A slip from several names is read as none of them; its initial counts if it is theirs as well.
+    initials = F.array_distinct(F.transform("others", lambda o: F.substring(o, 1, 1)))
+    reading = F.when(sure | (F.size("others") == 0), F.col("name")).when(F.size("others") == 1, F.element_at("others", 1))
+    key = F.when(reading.isNotNull(), F.substring(reading, 1, 1)).when(F.size(initials) == 1, F.element_at(initials, 1))
+    read = read.select("slot", "name", "n", reading.alias("reading"), key.alias("_key"))
     total, own = F.sum("n").over(Window.partitionBy("slot")), F.sum("n").over(Window.partitionBy("slot", "reading"))
     kept = F.when(own >= F.greatest(F.lit(2.0), COMMON * total), F.col("reading"))
-    read = cut(best.select("slot", "name", F.substring("reading", 1, 1).alias("_key"), kept.alias("_kept")))
+    read = cut(read.select("slot", "name", "_key", kept.alias("_kept")))
     for slot in "ab":
         known = read.where(F.col("slot") == slot).select(F.col("name").alias(f"{slot}_full"), "_key", "_kept")
-        told = told.join(known, f"{slot}_full", "left").withColumns({f"{slot}_key": F.coalesce("_key", f"{slot}_key"), f"{slot}_full": F.col("_kept")}).drop("_key", "_kept")
+        given = F.col(f"{slot}_full").isNotNull()
+        told = told.join(known, f"{slot}_full", "left").withColumns({f"{slot}_key": F.when(given, F.col("_key")).otherwise(F.col(f"{slot}_key")), f"{slot}_full": F.col("_kept")}).drop("_key", "_kept")
     same = ["kind", "anchor", "a_full", "a_key", "b_full", "b_key"]
     told = cut(told.withColumn("first", F.xxhash64("kind", *[F.coalesce(F.col(c), F.lit("?")) for c in same[1:]])))
     profiles = told.groupBy("first", *same).agg(F.sum("n").alias("n")).select(F.col("first").alias("id"), "kind", F.array("anchor").alias("anchors"), *same[2:], "n")
     links = told.select("kind", "name", F.col("first").alias("entity"))
     anchors = told.groupBy("kind", F.col("anchor").alias("name")).agg(F.sum("n").alias("n"))
-    close = cut(spelling.near(anchors, ["kind"], 0.0).select("kind", F.col("name").alias("anchor"), F.col("reading").alias("other")))
+    close = spelling.near(anchors, ["kind"], 0.0).select("kind", F.col("name").alias("anchor"), F.col("reading").alias("other"))
+    # A slip of the Latin spelling (ch as hc) can be several of the Cyrillic one: names typed in Latin are compared in it too.
+    romans = told.groupBy("kind", "anchor", "roman").agg(F.max("typed").alias("typed"))
+    romans = romans.select("*", F.explode(spelling.slips(F.col("roman"))).alias("slip"))
+    x, y = romans.where("typed").alias("x"), romans.alias("y")
+    pairs = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.slip") == F.col("y.slip")) & (F.col("x.anchor") != F.col("y.anchor"))).where(spelling.one_slip(F.col("x.roman"), F.col("y.roman")) | (F.col("x.roman") == F.col("y.roman")))
+    pairs = pairs.select(F.col("x.kind").alias("kind"), F.col("x.anchor").alias("anchor"), F.col("y.anchor").alias("other"))
+    close = cut(close.unionByName(pairs).unionByName(pairs.select("kind", F.col("other").alias("anchor"), F.col("anchor").alias("other"))).distinct())
     profiles = cut(profiles)
     for turn in range(ROUNDS):
         moves = cut(_moves(profiles, close, exact_only=turn == 0))

@@ -18,6 +18,13 @@ def slips(name: Column) -> Column:
     return F.array_distinct(F.concat(F.array(name), left_out))
 
 
+def one_slip(a: Column, b: Column) -> Column:
+    """Whether two names are one letter wrong, missing or added apart, or two letters swapped."""
+    edits = F.levenshtein(a, b)
+    # Names can also share a form without being one slip apart; only a swap counts as two edits.
+    return (edits == 1) | (edits == 2) & (F.sort_array(F.split(a, "")) == F.sort_array(F.split(b, "")))
+
+
 def near(names: DataFrame, context: list[str], ratio: float) -> DataFrame:
     """(context, name, reading): pairs one slip apart in the same context, the reading at least `ratio` times as frequent.
 
@@ -27,10 +34,7 @@ def near(names: DataFrame, context: list[str], ratio: float) -> DataFrame:
     opened = names.select(*context, "name", "n", F.explode(slips(F.col("name"))).alias("slip"))
     a, b = opened.alias("a"), opened.alias("b")
     on = [F.col("a.slip") == F.col("b.slip"), *[F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in context], F.col("a.name") != F.col("b.name"), F.col("b.n") >= F.col("a.n") * ratio, F.length("a.name") > 3]
-    # Two names can also share a form without being one slip apart; only a swap counts as two edits.
-    edits = F.levenshtein("a.name", "b.name")
-    swapped = (edits == 2) & (F.sort_array(F.split("a.name", "")) == F.sort_array(F.split("b.name", "")))
-    pairs = a.join(b, reduce(lambda x, y: x & y, on)).where((edits == 1) | swapped)
+    pairs = a.join(b, reduce(lambda x, y: x & y, on)).where(one_slip(F.col("a.name"), F.col("b.name")))
     return pairs.select(*[F.col(f"a.{c}").alias(c) for c in context], F.col("a.name").alias("name"), F.col("b.name").alias("reading")).distinct()
 
 
