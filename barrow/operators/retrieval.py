@@ -38,14 +38,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int
             with np.errstate(divide="ignore", invalid="ignore"):
                 unit.append(m / np.linalg.norm(m, axis=1, keepdims=True))
         scores = np.round(unit[0] @ unit[1].T, 9)
-        keys, rows = b["_key"].to_numpy(), []
+        keys, asked, found, told = b["_key"].to_numpy(dtype=object), [], [], []
         for query, row in zip(a["query_id"], scores, strict=True):
             good = np.flatnonzero(~np.isnan(row))
             if len(good) > k:  # all that tie with the k-th stay, the final order decides
                 good = good[row[good] >= np.partition(row[good], -k)[-k]]
                 good = good[np.lexsort((keys[good], -row[good]))[:k]]
-            rows.append(pd.DataFrame({"query_id": query, "_key": keys[good], "score": row[good]}))
-        return pd.concat(rows)
+            asked += [query] * len(good)
+            found += keys[good].tolist()
+            told += row[good].tolist()
+        return pd.DataFrame({"query_id": pd.Series(asked, dtype=object), "_key": pd.Series(found, dtype=object), "score": told})
 
     on = ["q", "r", "width"]
     scored = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(multiply, f"query_id {kinds[0]}, _key {kinds[1]}, score double")

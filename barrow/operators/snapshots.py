@@ -77,7 +77,11 @@ def _merge_runs(values: list[str], last: int):
                 continue
             arrays = [pdf[c].to_numpy(dtype=object) for c in values]
             out, carry = emit(pdf["_key"].to_numpy(dtype=object), pdf["_turn"].to_numpy(), *arrays, carry=carry, final=False)
-            yield pd.concat([pd.DataFrame({"_turn": t, "_key": k, "change": c}) for k, t, c in out if len(k)] or [pd.DataFrame({"_turn": [], "_key": [], "change": []})])
+            found = [(k, t, c) for k, t, c in out if len(k)]
+            if found:
+                keys, turns = np.concatenate([k for k, _, _ in found]), np.concatenate([t for _, t, _ in found])
+                kinds = np.repeat(np.array([c for _, _, c in found], dtype=object), [len(k) for k, _, _ in found])
+                yield pd.DataFrame({"_turn": turns, "_key": pd.Series(keys, dtype=object), "change": pd.Series(kinds, dtype=object)})
         if carry is not None and carry[1] < last:
             yield pd.DataFrame({"_turn": [carry[1] + 1], "_key": [carry[0]], "change": ["removed"]})
 
