@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from barrow.functions import similarity, text
 
 #: Distinct years a registry can hold.
 MOST_YEARS = 1000
+#: Parts into which the extracted records of a year are spread; each meets all registry records of the year.
+SALTS = 8
 
 SOURCES = "array<struct<type:string,path:string,original_path:string,origin_filename:string,file_hash:string,was_organized:boolean>>"
 
@@ -65,17 +68,45 @@ def weighted_similarity(left: str, right: str, weights: dict[str, float] | None
     return F.when(weight > 0, total / weight).otherwise(0.0)
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """df with each compared field as the ratio reads it (trimmed, in lower case), its length and its weight if it counts."""
+
+    @F.pandas_udf("string")
+    def lowered(values: pd.Series) -> pd.Series:
+        return values.fillna("").map(lambda v: v.strip().lower())
+
+    df = df.withColumns({f"_plain_{name}": lowered(F.col(name).cast("string")) for name in WEIGHTS})
+    there = {name: ~F.lower(F.trim(F.coalesce(F.col(name).cast("string"), F.lit("")))).isin("", "nan") for name in WEIGHTS}
+    return df.withColumns({f"_length_{name}": F.length(f"_plain_{name}") for name in WEIGHTS} | {f"_weight_{name}": F.when(there[name], w).otherwise(0.0) for name, w in WEIGHTS.items()})
+
+
+def _at_most(edited: tuple[str, ...]) -> Column:
+    """A value that weighted_similarity of the aliases a and b never exceeds, without Python.
+
+    A ratio is at most 1 less the edits for each letter of both; of fields not in `edited` the difference in length is
+    taken, which edits never undercut.
+    """
+    total, weight = F.lit(0.0), F.lit(0.0)
+    for name in WEIGHTS:
+        a, b, w = F.col(f"a._length_{name}"), F.col(f"b._length_{name}"), F.least(f"a._weight_{name}", f"b._weight_{name}")
+        edits = F.levenshtein(f"a._plain_{name}", f"b._plain_{name}") if name in edited else F.abs(a - b)
+        total = total + w * (1 - edits / F.greatest(a + b, F.lit(1)))
+        weight = weight + w
+    return total / F.greatest(weight, F.lit(1e-9))
+
+
 def best_matches(extracted: DataFrame, registry: DataFrame, key: str, registry_key: str, *, least: float = 0.8, strict: bool = True) -> DataFrame:
     """MAT-10, MAT-11: for each extracted record the most similar registry record of its year: (key, registry_key, similarity).
 
     Years are normalised; a record without a year meets all registry years, a registry record without one meets all
     records: blanks are opened into the years of the other side, a list of calendar years, so every comparison comes from
-    an equi-join on the year.
+    an equi-join on the year. With strict, pairs that cannot reach the threshold by the lengths of their fields or the
+    edits between them are dropped before the ratios are taken: they can neither be a match nor hide one.
     Ties go to the smaller registry key. strict: the best must reach the threshold (lowered by 0.05 for each of finish
     date and expert that is missing, 0.5 at least) and date and expert must agree by 0.7; else the best counts as it is.
     """
-    a = extracted.withColumn("_year", text.year(F.col("year")))
-    b = registry.withColumn("_year", text.year(F.col("year")))
+    a = _plain(extracted).withColumn("_year", text.year(F.col("year")))
+    b = _plain(registry).withColumn("_year", text.year(F.col("year")))
     both = a.select("_year").union(b.select("_year")).distinct().limit(MOST_YEARS + 1).collect()
     if len(both) > MOST_YEARS:
         raise ValueError("the year column holds more values than there are years")
@@ -83,12 +114,19 @@ def best_matches(extracted: DataFrame, registry: DataFrame, key: str, registry_k
     # A blank meets each record of the other side once: under the other's own year, or under '' where both are blank.
     opened = lambda df: df.withColumn("_meet", F.explode(F.when(F.col("_year") == "", years).otherwise(F.array("_year", F.lit("")))))
     met = (F.col("a._year") != "") & (F.col("b._year") != "") & (F.col("a._meet") != "") | (F.col("a._year") == "") & (F.col("a._meet") == F.col("b._year")) | (F.col("b._year") == "") & (F.col("b._meet") == F.col("a._year")) & (F.col("a._year") != "")
-    parts = [opened(a).alias("a").join(opened(b).alias("b"), F.col("a._meet") == F.col("b._meet")).where(met)]
-    scored = []
-    for part in parts:
-        missing = reduce(lambda x, y: x + y, [F.lower(F.trim(F.coalesce(F.col(f"a.{c}"), F.lit("")))).isin("", "nan").cast("int") for c in ("finish_date", "expert")])
-        scored.append(part.select(F.col(f"a.{key}").alias("_left"), F.col(f"b.{registry_key}").alias("_right"), weighted_similarity("a", "b").alias("similarity"), similarity.ratio(F.col("a.finish_date"), F.col("b.finish_date")).alias("date_similarity"), similarity.ratio(F.col("a.expert"), F.col("b.expert")).alias("expert_similarity"), F.greatest(F.lit(0.5), least - 0.05 * missing).alias("threshold")))
-    best = reduce(DataFrame.unionByName, scored).where("similarity > 0").groupBy("_left").agg(F.max_by(F.struct("_right", "similarity", "date_similarity", "expert_similarity", "threshold"), F.struct("similarity", -F.col("_right"))).alias("m"))
+    left = opened(a).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    right = opened(b).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    missing = reduce(lambda x, y: x + y, [F.lower(F.trim(F.coalesce(F.col(f"a.{c}"), F.lit("")))).isin("", "nan").cast("int") for c in ("finish_date", "expert")])
+    threshold = F.greatest(F.lit(0.5), least - 0.05 * missing)
+    on = (F.col("a._meet") == F.col("b._meet")) & (F.col("a._salt") == F.col("b._salt")) & met
+    if strict:
+        # The cheap bound first; conclusions are too long for edits.
+        for edited in ((), ("finish_date", "expert"), tuple(n for n in WEIGHTS if n != "conclusion")):
+            on = on & (_at_most(edited) >= threshold - 1e-9)
+    # Few rows make many pairs: sizes would have them joined in one task.
+    pairs = left.alias("a").join(right.hint("merge").alias("b"), on)
+    scored = pairs.select(F.col(f"a.{key}").alias("_left"), F.col(f"b.{registry_key}").alias("_right"), weighted_similarity("a", "b").alias("similarity"), similarity.ratio(F.col("a.finish_date"), F.col("b.finish_date")).alias("date_similarity"), similarity.ratio(F.col("a.expert"), F.col("b.expert")).alias("expert_similarity"), threshold.alias("threshold"))
+    best = scored.where("similarity > 0").groupBy("_left").agg(F.max_by(F.struct("_right", "similarity", "date_similarity", "expert_similarity", "threshold"), F.struct("similarity", -F.col("_right"))).alias("m"))
     if strict:
         best = best.where("m.similarity >= m.threshold and m.date_similarity >= 0.7 and m.expert_similarity >= 0.7")
     return best.select(F.col("_left").alias(key), F.col("m._right").alias(f"registry_{registry_key}"), "m.similarity")

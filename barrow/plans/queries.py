@@ -267,8 +267,7 @@ def fuzzy_best_match(spark: SparkSession, d: str) -> DataFrame:
     """MAT-08..11: acts uploaded by superusers against the other acts as a registry. No SQL has this similarity."""
     acts = table(spark, d, "acts").dropDuplicates(["id"])
     admins = table(spark, d, "users").where("is_superuser").select(F.col("id").alias("user_id"))
-    dated = F.col("finish_date").isNotNull() & (F.trim("finish_date") != "") & (text.year(F.col("year")) != "")
-    return matching.best_matches(acts.where(dated).join(admins, "user_id", "left_semi"), acts.where(dated).join(admins, "user_id", "left_anti"), "id", "id")
+    return matching.best_matches(acts.join(admins, "user_id", "left_semi"), acts.join(admins, "user_id", "left_anti"), "id", "id")
 
 
 # --- text ------------------------------------------------------------------------------------------------------------

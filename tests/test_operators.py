@@ -1,10 +1,13 @@
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from barrow.functions import similarity
 from barrow.operators import changes, extraction, layout, matching, register, retrieval, spatial
 from barrow.operators.register import Register, Request
+from barrow.plans import queries
 from barrow.sources import files, kml, sinks
 from barrow.streaming import crawl
 
@@ -41,6 +44,33 @@ def test_best_match_rules(spark):
     assert matching.best_matches(registry.limit(0), registry, "id", "id").count() == 0
 
 
+MATCHED = "id int, user_id int, year string, finish_date string, expert string, name_number string, place string, customer string, area string, executioner string, open_list string, conclusion string, border_objects string"
+
+
+def test_best_match_query_takes_undated_acts(spark, tmp_path):
+    row = lambda i, u, y, d="15.05.2023", e="Иванов И.И.", c="Заказчик": (i, u, y, d, e, f"Акт {c}", "г. Москва", c, None, "", None, None, None)
+    # 1: no year meets all years. 2: the like one has no year. 3: the best has no date, so its date disagrees.
+    acts = [row(1, 1, None), row(2, 1, "2022", c="Дорога"), row(3, 1, "2021", c="Мост", d="01.02.2021"), row(10, 2, "2023"), row(11, 2, "nan", c="Дорога"), row(12, 2, "2021", c="Мост", d=""), row(13, 2, "2021", c="Мосты", d="01.02.2021", e="Иванов И.К.")]
+    spark.createDataFrame(acts, MATCHED).write.parquet(f"{tmp_path}/acts.parquet")
+    spark.createDataFrame([(1, True), (2, False)], "id int, is_superuser boolean").write.parquet(f"{tmp_path}/users.parquet")
+    got = {r.id: r.registry_id for r in queries.QUERIES["fuzzy_best_match"](spark, str(tmp_path)).collect()}
+    assert got == {1: 10, 2: 11}
+
+
+def test_best_match_bounds_lose_nothing(spark):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choices("абвг  ", k=draw.randint(0, 6)))
+    rows = [(i, 0, draw.choice(["2020", "2021", "", None]), *[draw.choice([None, "nan", "аба", word(), word()]) for _ in matching.WEIGHTS]) for i in range(90)]
+    a, b = spark.createDataFrame(rows[:30], MATCHED), spark.createDataFrame(rows[30:], MATCHED)
+    got = {tuple(r) for r in matching.best_matches(a, b, "id", "id", least=0.6).collect()}
+    date, expert = MATCHED.split(", ").index("finish_date string"), MATCHED.split(", ").index("expert string")
+    loose = matching.best_matches(a, b, "id", "id", strict=False).collect()
+    ratio = lambda x, y: 0.0 if {(x or "").strip(), (y or "").strip()} & {"", "nan"} else similarity._ratio(x.strip(), y.strip(), True)
+    least = lambda r: max(0.5, 0.6 - 0.05 * sum((r[k] or "").strip() in ("", "nan") for k in (date, expert)))
+    want = {tuple(m) for m in loose if m.similarity >= least(rows[m.id]) and all(ratio(rows[m.id][k], rows[m.registry_id][k]) >= 0.7 for k in (date, expert))}
+    assert got == want and want
+
+
 def test_suffixes_duplicates_and_neighbours(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "i int, k string")
     assert {r.i: r.key_name for r in matching.suffixed(df, ["k"], "i").collect()} == {1: "a", 2: "a_1", 3: "b"}
