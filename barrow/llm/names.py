@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -244,8 +245,6 @@ def parsed(values: DataFrame) -> DataFrame:
 #: A rarer spelling one slip from a profile's moves into it if the profile is this many times as frequent; less is needed
 #: where both attributes are known and agree, none where both agree in full.
 RATIO_ALONE, RATIO_KNOWN = 4.0, 1.5
-#: Rounds of merging and rematching; each round moves every profile that can move, so a handful suffices.
-ROUNDS = 12
 #: A spelling of a given name or patronymic is read as one that stands in this many times as many values.
 RATIO_READ = 2.0
 #: A given name or patronymic is taken in full if it has at least this share of all those typed in full.
@@ -305,7 +304,8 @@ def resolved(values: DataFrame) -> DataFrame:
     pairs = pairs.select(F.col("x.kind").alias("kind"), F.col("x.anchor").alias("anchor"), F.col("y.anchor").alias("other"))
     close = cut(close.unionByName(pairs).unionByName(pairs.select("kind", F.col("other").alias("anchor"), F.col("anchor").alias("other"))).distinct())
     profiles = cut(profiles)
-    for turn in range(ROUNDS):
+    # Each round but the first takes away a profile or is the last, so it ends; a chain of k profiles takes some k rounds.
+    for turn in count():
         moves = cut(_moves(profiles, close, exact_only=turn == 0))
         if moves.isEmpty():
             if turn == 0:

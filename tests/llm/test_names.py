@@ -66,5 +66,14 @@ def test_houses_of_another_sort(spark):
     assert got == {tuple(sorted(p)) for p in [(rows[0], "ГАУ НПЦ Кулюмар"), (rows[0], "ГАУ Кулюмар"), ("ГАУ НПЦ Кулюмар", "ГАУ Кулюмар"), (rows[4], rows[5])]}
 
 
+def test_long_chains_merge_to_the_end(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # One profile moves in each round, as the end of a chain does.
+    monkeypatch.setattr(names, "_moves", lambda profiles, close, exact_only: profiles.agg(F.max("id").alias("source"), F.min("id").alias("target")).where("source > target"))
+    values = spark.createDataFrame([("person", f"{s}ов Иван Ильич", 1) for s in "Барыл Вохулк Гикорск Дузаш Жузарск Зимар Кракш Лелюн Марик Нянед Окунев Простег Растен Степн Фезанск Хопетк".split()], "kind string, name string, n long")
+    assert names.resolved(values).select("entity").distinct().count() == 1
+
+
 def test_empty(spark):
     assert groups(spark, "person", []) == set() and groups(spark, "person", ["-", None]) == set()
