@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barrow.llm import spelling
@@ -151,8 +151,8 @@ _SCHEMA = "rec string, raw string, kind string, district string, settlement stri
 
 #: A settlement within one district is a plausible reading of another one slip away at this ratio of frequencies.
 RATIO_WITHIN = 1.5
-#: A district has a settlement if it is named with at least this share of the settlement's records that name a district.
-SHARE = 0.05
+#: A district is a misspelling of another within so many edits that is this many times as frequent; it has no settlements.
+EDITS, RATIO_DISTRICT = 2, 20.0
 #: Records of one location that a task pairs with another such block.
 BLOCK = 2000
 
@@ -194,9 +194,11 @@ def forms(parsed: DataFrame) -> DataFrame:
     anywhere = read.groupBy(F.col("settlement").alias("name")).agg(F.count("*").alias("n"))
     lost = read.where("district is null").drop("district").join(spelling.readings(anywhere, []).withColumnsRenamed({"name": "settlement", "reading": "settlement_read"}), "settlement")
     # Districts that have a settlement of that name and, where both state one, of that type.
-    has = read.where("district is not null").groupBy("settlement", "settlement_type", "district").agg(F.count("*").alias("n"))
-    has = has.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("settlement")))
-    has = has.groupBy("settlement", "district").agg(F.sum("share").alias("share"), F.collect_set("settlement_type").alias("types")).where(F.col("share") >= SHARE)
+    has = read.where("district is not null").groupBy("settlement", "district").agg(F.collect_set("settlement_type").alias("types"))
+    spelt = cut(read.where("district is not null").groupBy("district").agg(F.count("*").alias("n")))
+    x, y = spelt.alias("x"), spelt.alias("y")  # districts are few
+    wrong = x.join(y, (F.col("y.n") >= RATIO_DISTRICT * F.col("x.n")) & (F.levenshtein("x.district", "y.district") <= EDITS)).select("x.district").distinct()
+    has = has.join(wrong, "district", "left_anti")
     has = has.select(F.col("settlement").alias("settlement_read"), F.col("district").alias("d"), "types")
     found = lost.join(has, "settlement_read", "left").where(F.col("d").isNull() | F.col("settlement_type").isNull() | (F.size("types") == 0) | F.array_contains("types", F.col("settlement_type")))
     found = found.withColumnRenamed("d", "district").drop("types")

@@ -61,3 +61,8 @@ def test_same_name_in_two_districts(spark):
     rows = [(f"x:{k}", "Растенский район, х. Мариково, ул. Полевая, 1") for k in range(3)] + [(f"y:{k}", "Лелюнский район, п. Мариково, ул. Полевая, 1") for k in range(3)] + [("z:1", "п. Мариково, ул. Полевая, 1")]
     got = pairs(spark, rows)
     assert {p for p in got if "z:1" in p} == {(f"y:{k}", "z:1") for k in range(3)} and len(got) == 9
+
+
+def test_small_district_beside_a_hot_one(spark):
+    rows = [(f"x:{k:02}", f"Растенский район, х. Мариково, ул. Полевая, {k}") for k in range(60)] + [("y:1", "Лелюнский район, х. Мариково, ул. Степная, 7"), ("y:2", "Растенскоий м.о., х. Мариково, ул. Зелёная, 3"), ("z:1", "х. Мариково, ул. Степная, 7")]
+    assert ("y:1", "z:1") in pairs(spark, rows)
