@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "barrow", cpus: str = "*", **conf: str) -> SparkSession:
@@ -28,6 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once(spark: SparkSession, sf_dir: str, name: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys and columns of a stored table, rows with equal keys once (the first in file order); null keys equal each other.
+
+    Only keys and row positions are shuffled, folded map-side; the repeated keys are written as a table, so their joining is
+    a broadcast if that table is small and a sort-merge join if it is not. Where keys seldom repeat, no column moves.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = table(spark, sf_dir, name).select(*keys, *columns, at.alias("_at"))
+    again = rows.groupBy(*keys).agg(F.min("_at").alias("_kept"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    again = cut(again.withColumnsRenamed({k: f"_{k}" for k in keys}))
+    repeated = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]) & (F.col("_at") != F.col("_kept"))
+    return rows.join(again, repeated, "left_anti").drop("_at")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset in local mode.
 
