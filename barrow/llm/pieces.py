@@ -1,15 +1,16 @@
 """Splitting oversized items at natural boundaries (problem 5).
 
-Texts are worked through in ranges of code points. Each range yields a boundary table from its own characters and a short
-halo; the tables of neighbouring ranges are stitched (a run of white space that crosses the border becomes one boundary),
-their offsets are shifted by the prefix sum of the range lengths, and pieces are chosen on the stitched table alone.
-Pieces are then emitted by offset. A text in a column goes through its ranges inside one task; a file goes through them in
-many tasks (`split_files`), and no task ever holds a whole file.
+An item is worked through in ranges. Each range is read with halos on both sides, detects the boundaries in its view and
+tells, for every place at which a piece may end in its first `limit` characters, where the chain of pieces that goes on
+from there leaves the range and how many pieces it makes. These small tables are stitched in range order: prefix sums of
+the range lengths give the offsets, and the exit of one range is the entry of the next. Then every range emits its own
+pieces by offset. No task holds an item longer than a range, and the pieces are those of one pass over the whole text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,14 +18,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LIMIT, OVERLAP, RANGE, HALO = 3000, 200, 65_536, 16
+#: Size limit and overlap of the pieces; code points of one range of a text, bytes of one range of a file.
+LIMIT, OVERLAP, RANGE, FILE_RANGE = 3000, 200, 8192, 4 << 20
+#: A run of white space is judged by its last RUN characters and the HALO characters before it.
+RUN, HALO = 64, 16
+#: A text has at most so many ranges; they grow with a text of more than RANGES * RANGE characters.
+RANGES = 64
 #: A cut fills at least this share of the limit if any boundary of a lower rank allows it.
 FILL = 0.5
 PARAGRAPH, SENTENCE, WORD = 3, 2, 1
 
 #: The code points of white space.
-SPACES = np.array([*range(9, 14), *range(28, 33), 133, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
+SPACES = (*range(9, 14), *range(28, 33), 133, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 ENDS, CLOSERS = frozenset(".!?…"), frozenset("»”\"'’)]")
+_IS_SPACE = np.isin(np.arange(0x3002), SPACES)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -47,204 +54,280 @@ def _ends_sentence(before: str, after: str) -> bool:
     return not 0 < len(body) - 1 - k <= 2
 
 
-def boundary_table(body: str, left: str, right: str) -> np.ndarray:
-    """Boundaries of one range as rows (start, end, newlines, sentence): one for each run of white space in body.
+def boundary_table(view: str, at_end: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(offset, rank) of the boundaries in a view of an item: the end of each run of white space.
 
-    left and right are the halos, the characters around the range. Offsets are local to the range.
+    A run that touches the right edge of the view is none unless the item ends there. Runs at the left edge are judged by
+    what is seen of them, so a view needs RUN + HALO characters before the first boundary that is asked for.
     """
-    space = np.isin(_codes(body), SPACES)
+    codes = _codes(view)
+    space = _IS_SPACE[np.minimum(codes, 0x3001)]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], space, [False]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    rows = np.zeros((len(starts), 4), dtype=np.int64)
-    if len(starts):
-        newline = np.concatenate([[0], np.cumsum(_codes(body) == 10)])
-        rows[:, 0], rows[:, 1], rows[:, 2] = starts, ends, newline[ends] - newline[starts]
-        around = left + body
-        for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-            before = around[max(0, len(left) + s - HALO) : len(left) + s]
-            if before and before[-1] in ENDS or before[-1:] in CLOSERS:
-                after = body[e : e + 1] or right[:1]
-                rows[k, 3] = _ends_sentence(before, after)
-    return rows
+    if not at_end and len(ends) and ends[-1] == len(view):
+        starts, ends = starts[:-1], ends[:-1]
+    newline = np.concatenate([[0], np.cumsum(codes == 10)])
+    newlines = newline[ends] - newline[np.maximum(starts, ends - RUN)]
+    sentence = np.zeros(len(ends), dtype=bool)
+    for k in np.flatnonzero((ends - starts <= RUN) & (starts > 0)).tolist():
+        s, e = int(starts[k]), int(ends[k])
+        if view[s - 1] in ENDS or view[s - 1] in CLOSERS:
+            sentence[k] = _ends_sentence(view[max(0, s - HALO) : s], view[e : e + 1])
+    rank = np.where((newlines >= 2) | (newlines >= 1) & sentence, PARAGRAPH, np.where(sentence, SENTENCE, WORD))
+    return ends, rank
+
+
+class Chain:
+    """The chain of pieces over the boundaries of a view. Offsets count from the start of the range; total is None if the
+    end of the item is out of sight. A state is where the last piece ended; the state before the first piece is None."""
+
+    def __init__(self, view: str, left: int, at_end: bool, limit: int, overlap: int):
+        ends, rank = boundary_table(view, at_end)
+        self.at = {r: (ends[rank >= r] - left).tolist() for r in (PARAGRAPH, SENTENCE, WORD)}
+        self.total = len(view) - left if at_end else None
+        self.limit, self.overlap = limit, overlap
+
+    def piece(self, state: int | None) -> tuple[int, int, bool]:
+        """(start, end, whether it is the last) of the piece after a state.
+
+        A piece ends at the last paragraph end within the limit, else sentence end, else word end, else at the limit. A
+        rank is passed over if its last boundary leaves the piece less than half full and a lower rank does better. It
+        starts `overlap` characters before the end of the piece before it, or at the first word start after that point.
+        """
+        words = self.at[WORD]
+        if state is None:
+            start = done = 0
+        else:
+            done, start = state, state - self.overlap
+            k = bisect_left(words, start)
+            if k < len(words) and words[k] < done:
+                start = words[k]
+        if self.total is not None and self.total - start <= self.limit:
+            return start, self.total, True
+        reach = start + self.limit
+        for least in (max(done, start + int(self.limit * FILL)), done):
+            for rank in (PARAGRAPH, SENTENCE, WORD):
+                own = self.at[rank]
+                k = bisect_right(own, reach) - 1
+                if k >= 0 and own[k] > least:
+                    return start, own[k], False
+        return start, reach, False
+
+    def walk(self, state: int | None, n: float) -> Iterator[tuple[int, int]]:
+        """Pieces after all states in front of n."""
+        while state is None or state < n:
+            start, end, last = self.piece(state)
+            yield start, end
+            if last:
+                return
+            state = end
+
+    def entries(self) -> list[int]:
+        """Places in the first `limit` characters at which a piece may have ended: boundaries, and wherever no boundary
+        was near enough, so that the piece was cut at the limit."""
+        words = self.at[WORD]
+        k = bisect_left(words, 0)
+        out, last = [], words[k - 1] if k else None
+        free = self.limit - self.overlap
+        for b in [*words[k : bisect_left(words, self.limit)], self.limit]:
+            # Without a boundary in sight on the left every place may be a cut at the limit.
+            out += range(max(0, last + free) if last is not None else 0, b)
+            if b < self.limit:
+                out.append(b)
+            last = b
+        return out
+
+    def transitions(self, n: int, first: bool) -> list[tuple[int, int, int]]:
+        """(entry, exit, pieces), the least entry of each run of entries with the same exit and number of pieces.
+
+        exit is the first state at or beyond n, -1 if the item's last piece is reached.
+        """
+        held: dict[int | None, tuple[int, int]] = {}
+        rows: list[tuple[int, int, int]] = []
+        for entry in [None] if first else self.entries():
+            if not first and entry >= n:
+                break
+            path, state = [], entry
+            while state not in held and (state is None or state < n):
+                path.append(state)
+                _, end, last = self.piece(state)
+                state = -1 if last else end
+                if last:
+                    break
+            exit_, count = held.get(state, (state, 0))
+            for s in reversed(path):
+                count += 1
+                held[s] = exit_, count
+            if not rows or rows[-1][1:] != held[entry]:
+                rows.append((entry or 0, *held[entry]))
+        return rows
+
+
+def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """Pieces of one text as one range. Empty or null: none."""
+    return list(Chain(text, 0, True, limit, overlap).walk(None, float("inf"))) if text else []
+
+
+_SUMMARY = "n long, entries array<long>, exits array<long>, pieces array<long>"
 
 
-def stitch(tables: list[np.ndarray], lengths: list[int]) -> np.ndarray:
-    """One table of (offset, rank) over the whole item; a run that crosses from range to range is one boundary."""
-    shift = np.concatenate([[0], np.cumsum(lengths)])
-    parts = [t + np.array([s, s, 0, 0]) for t, s in zip(tables, shift[:-1], strict=True) if len(t)]
-    if not parts:
-        return np.zeros((0, 2), dtype=np.int64)
-    rows = np.concatenate(parts)
-    first = np.concatenate([[True], rows[1:, 0] != rows[:-1, 1]])
-    at = np.flatnonzero(first)
-    ends = rows[np.concatenate([at[1:] - 1, [len(rows) - 1]]), 1]
-    newlines, sentence = np.add.reduceat(rows[:, 2], at), rows[at, 3]
-    rank = np.where(newlines >= 2, PARAGRAPH, np.where((newlines >= 1) & (sentence > 0), PARAGRAPH, np.where(sentence > 0, SENTENCE, WORD)))
-    return np.stack([ends, rank], axis=1)
+def _summary(chain: Chain, n: int, first: bool) -> tuple[int, list[int], list[int], list[int]]:
+    rows = chain.transitions(n, first)
+    return n, *([r[k] for r in rows] for k in range(3))
 
 
-def cuts(total: int, boundaries: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Pieces [start, end) of an item of `total` characters.
+def stitched(summaries: Iterable[tuple[int, int, Sequence[int], Sequence[int], Sequence[int]]]) -> list[tuple[int, int, int, int]]:
+    """(range_no, offset, entry, pieces before) of an item's ranges from (range_no, n, entries, exits, pieces) in order.
 
-    A piece ends at the last paragraph end within the limit, else sentence end, else word end, else at the limit. A rank
-    is passed over if its last boundary leaves the piece less than half full and a lower rank does better. The next piece
-    starts `overlap` characters back, or at the first word start after that point.
+    Ranges in which no piece starts are left out.
     """
-    if total <= 0:
-        return []
-    at = {r: boundaries[boundaries[:, 1] >= r, 0] for r in (PARAGRAPH, SENTENCE, WORD)}
-    pieces, start, done = [], 0, 0
-    while total - start > limit:
-        end = 0
-        for least in (max(done, start + int(limit * FILL)), done):
-            for rank in (PARAGRAPH, SENTENCE, WORD):
-                k = int(np.searchsorted(at[rank], start + limit, side="right")) - 1
-                if k >= 0 and at[rank][k] > least:
-                    end = int(at[rank][k])
-                    break
-            if end:
+    rows, offset, entry, before = [], 0, 0, 0
+    for no, n, entries, exits, pieces in summaries:
+        if entry < n:
+            rows.append((no, offset, entry, before))
+            k = bisect_right(entries, entry) - 1
+            before += pieces[k]
+            if exits[k] < 0:
                 break
-        end = end or start + limit
-        pieces.append((start, end))
-        done, start = end, end - overlap
-        words = at[WORD]
-        k = int(np.searchsorted(words, start, side="left"))
-        if k < len(words) and words[k] < end:
-            start = int(words[k])
-        elif k < len(words) and words[k] == end and overlap and (k == 0 or words[k - 1] < start):
-            start = end - overlap  # one long word: repeat its tail as it is
-    pieces.append((start, total))
-    return pieces
+            entry = exits[k]
+        entry -= n
+        offset += n
+    return rows
 
 
-def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> list[tuple[int, int]]:
-    """Pieces of one text, through its ranges. Empty or null: none."""
-    if not text:
-        return []
-    borders = range(0, len(text), size)
-    tables = [boundary_table(text[b : b + size], text[max(0, b - HALO) : b], text[b + size : b + size + HALO]) for b in borders]
-    return cuts(len(text), stitch(tables, [len(text[b : b + size]) for b in borders]), limit, overlap)
+def _entries(summaries: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, range_no, offset, entry, before) of summaries(keys, range_no, n, entries, exits, pieces): a small row for each range."""
 
+    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("range_no")
+        rows = stitched((no, n, list(a), list(b), list(c)) for no, n, a, b, c in pdf[["range_no", "n", "entries", "exits", "pieces"]].itertuples(index=False))
+        return pd.DataFrame(rows, columns=["range_no", "offset", "entry", "before"]).assign(**{k: pdf[k].iloc[0] for k in keys})
 
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    kinds = dict(summaries.dtypes)
+    schema = "range_no int, offset long, entry long, before long, " + ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return summaries.groupBy(*keys).applyInPandas(stitch, schema)
 
 
-def spans(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
-    """array<struct<start,end>> of a text column; only texts above the limit reach Python."""
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+def _checked(limit: int, overlap: int, size: int) -> None:
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
+    if size < limit + overlap:
+        raise ValueError("a range must hold a piece and its overlap")
+
+
+def split_column(df: DataFrame, keys: list[str], text: str, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
+    """Pieces of df's text column: keys, n_chars, piece_no (from 1), start, end, piece.
+
+    start and end count code points of the text as stored; a piece starts before the end of the one before it, and dropping
+    what lies before that end from each piece gives the text back. Null and empty texts have no piece; texts at or under
+    the limit have one and never reach Python. Texts of more than one range are opened into range rows, whose summaries
+    are shuffled and stitched; their slices, and no other text, meet the entries in a join. Equal rows give equal pieces,
+    once for each row. Only keys and text are read, other columns may have any name.
+    """
+    _checked(limit, overlap, size)
+    names = [f"_k{i}" for i in range(len(keys))]
+    picked = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(text).alias("_text")).withColumn("_n", F.length("_text")).where("_n > 0")
 
     @F.pandas_udf(SPANS)
     def long_spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": a, "end": b} for a, b in split_text(t, limit, overlap)] if t is not None and len(t) > limit else None)
+        return texts.map(lambda t: [{"start": a, "end": b} for a, b in split_text(t, limit, overlap)] if t is not None else None)
 
-    length = F.length(text)
-    short = F.array(F.struct(F.lit(0).alias("start"), length.alias("end"))).cast(SPANS)
-    return F.when(length > limit, long_spans(F.when(length > limit, text))).when(length > 0, short)
+    one = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("_n").cast("long").alias("end")))
+    spans = F.when(F.col("_n") <= limit, one).otherwise(long_spans(F.when(F.col("_n") > limit, F.col("_text"))))
+    within = picked.where(F.col("_n") <= size).select(*names, "_n", F.col("_text").alias("_view"), F.lit(0).cast("long").alias("_from"), F.lit(0).cast("long").alias("_before"), F.posexplode(spans).alias("_no", "_span"))
 
+    # Ranges of the longer texts; equal texts have equal ranges, so their contents are the key.
+    left = overlap + RUN + HALO
+    wide = F.greatest(F.lit(size), F.ceil(F.col("_n") / RANGES).cast("int"))
+    ranged = picked.where(F.col("_n") > size).withColumn("_wide", wide).withColumn("item", F.md5(F.col("_text").cast("binary")))
+    ranged = ranged.select(*names, "_n", "_text", "item", "_wide", F.posexplode(F.sequence(F.lit(0), F.col("_n") - 1, F.col("_wide"))).alias("range_no", "at"))
+    begin = F.greatest(F.col("at") - left, F.lit(0))
+    ranged = ranged.select(*names, "_n", "item", "range_no", F.substring("_text", begin + 1, F.col("at") - begin + F.col("_wide") + limit + 1).alias("_view"), (F.col("at") - begin).alias("_left"), F.least("_wide", F.col("_n") - F.col("at")).alias("_own"), (F.col("at") + F.col("_wide") + limit + 1 >= F.col("_n")).alias("_last"))
 
-def split_column(df: DataFrame, keys: list[str], text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Pieces of df's text column: keys, n_chars, piece_no (from 1), start, end, piece.
+    @F.pandas_udf(_SUMMARY)
+    def measured(views: pd.Series, lefts: pd.Series, own: pd.Series, last: pd.Series, no: pd.Series) -> pd.DataFrame:
+        rows = [_summary(Chain(v, int(a), bool(z), limit, overlap), int(n), k == 0) for v, a, n, z, k in zip(views, lefts, own, last, no, strict=True)]
+        return pd.DataFrame(rows, columns=["n", "entries", "exits", "pieces"])
 
-    start and end count code points of the text as stored; a piece starts before the end of the one before it, and dropping
-    what lies before that end from each piece gives the text back. Null and empty texts have no piece;
-    texts at or under the limit have one. Equal rows give equal pieces, once for each row. Only keys and text are read,
-    other columns may have any name.
-    """
-    picked = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(text).alias("_text"))
-    opened = picked.where(F.length("_text") > 0).select("*", F.posexplode(spans(F.col("_text"), limit, overlap)).alias("_no", "_span"))
+    @F.pandas_udf(SPANS)
+    def walked(views: pd.Series, lefts: pd.Series, own: pd.Series, last: pd.Series, no: pd.Series, entry: pd.Series) -> pd.Series:
+        out = []
+        for v, a, n, z, k, e in zip(views, lefts, own, last, no, entry, strict=True):
+            out.append([{"start": s, "end": t} for s, t in Chain(v, int(a), bool(z), limit, overlap).walk(None if k == 0 else int(e), int(n))])
+        return pd.Series(out)
+
+    view = ["_view", "_left", "_own", "_last", "range_no"]
+    summaries = ranged.select("item", "range_no", measured(*view).alias("s")).select("item", "range_no", "s.*").dropDuplicates(["item", "range_no"])
+    placed = ranged.join(_entries(summaries, ["item"]), ["item", "range_no"])
+    beyond = placed.select(*names, "_n", "_view", (F.col("offset") - F.col("_left")).alias("_from"), F.col("before").alias("_before"), F.col("_left"), F.posexplode(walked(*view, "entry")).alias("_no", "_s"))
+    beyond = beyond.select(*names, "_n", "_view", "_from", "_before", "_no", F.struct((F.col("_s.start") + F.col("_left")).alias("start"), (F.col("_s.end") + F.col("_left")).alias("end")).alias("_span"))
+    opened = within.unionByName(beyond)
     return opened.select(
-        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)],
-        F.length("_text").alias("n_chars"),
-        (F.col("_no") + 1).alias("piece_no"),
-        F.col("_span.start").alias("start"),
-        F.col("_span.end").alias("end"),
-        F.substring("_text", F.col("_span.start") + 1, F.col("_span.end") - F.col("_span.start")).alias("piece"),
+        *[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)],
+        F.col("_n").alias("n_chars"),
+        (F.col("_before") + F.col("_no") + 1).cast("int").alias("piece_no"),
+        (F.col("_from") + F.col("_span.start")).cast("int").alias("start"),
+        (F.col("_from") + F.col("_span.end")).cast("int").alias("end"),
+        F.substring("_view", F.col("_span.start").cast("int") + 1, (F.col("_span.end") - F.col("_span.start")).cast("int")).alias("piece"),
     )
 
 
-def split_files(spark: SparkSession, files: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, size: int = 8 << 20) -> DataFrame:
-    """Pieces of UTF-8 files too large for one task: path, piece_no (from 1), start, end (code points), piece.
+def split_files(spark: SparkSession, files: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, size: int = FILE_RANGE) -> DataFrame:
+    """Pieces of UTF-8 files of any size: path, piece_no (from 1), start, end (code points), piece; those of split_text.
 
-    files: (path string, bytes long), on a file system that all executors see. Each byte range is read by itself with a
-    halo; a character that crosses the border belongs to the range in which it begins. Ranges report their length and a
-    thinned boundary table (the last boundary of each rank in every block of overlap / 2 characters, all that a cut or a
-    start can need up to that width); prefix sums place them, one streaming pass per file over the table, never the text,
-    chooses the pieces, and pieces are read back by byte offset. Empty files have no piece; bytes that are no UTF-8 read
-    as U+FFFD.
+    files: (path string, bytes long), on a file system that all executors see as files; equal rows count once. A range is
+    `size` bytes; a character that crosses a border belongs to the range in which it begins. Each range is read twice, with
+    its halos: once for its summary (its length, and exits for its entries), once to emit its pieces from the entry that
+    stitching found. A file's summaries, a small row for each range, are stitched in one task, its text never. Empty files
+    have no piece; bytes that are no UTF-8 read as U+FFFD.
     """
+    _checked(limit, overlap, (size - 8) // 4)
     borders = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(size).cast("long"))
-    ranges = files.where("bytes > 0").select("path", "bytes", F.posexplode(borders).alias("range_no", "at"))
-    block = max(1, overlap // 2)
+    ranges = files.select("path", F.col("bytes").cast("long").alias("bytes")).where("bytes > 0").distinct().select("path", "bytes", F.posexplode(borders).alias("range_no", "at"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, total, no, at in pdf[["path", "bytes", "range_no", "at"]].itertuples(index=False):
-                body, left, right, skipped = _read_range(path, at, size, total)
-                table = boundary_table(body, left, right)
-                # Byte offset of each boundary, so that pieces can be read back without the whole file.
-                width = np.concatenate([[0], np.cumsum(_widths(_codes(body)))])
-                keep = _thin(table, block)
-                yield pd.DataFrame({"path": path, "range_no": no, "n": len(body), "starts": [table[keep, 0].tolist()], "ends": [table[keep, 1].tolist()], "newlines": [table[keep, 2].tolist()], "sentence": [table[keep, 3].tolist()], "byte": [(at + skipped + width[table[keep, 1]]).tolist()], "first": [at + skipped]})
+                view, left, n, at_end = _read_range(path, at, size, total, limit, overlap)
+                yield pd.DataFrame([(path, no, *_summary(Chain(view, left, at_end, limit, overlap), n, no == 0))], columns=["path", "range_no", "n", "entries", "exits", "pieces"])
 
-    schema = "path string, range_no int, n long, starts array<long>, ends array<long>, newlines array<long>, sentence array<long>, byte array<long>, first long"
-    tables = ranges.repartition("path", "range_no").mapInPandas(measure, schema)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("range_no")
-        parts = [np.array([list(c) for c in row], dtype=np.int64).T.reshape(-1, 4) for row in pdf[["starts", "ends", "newlines", "sentence"]].itertuples(index=False)]
-        lengths = pdf["n"].tolist()
-        shift = np.concatenate([[0], np.cumsum(lengths)])
-        out = cuts(int(shift[-1]), stitch(parts, lengths), limit, overlap)
-        return pd.DataFrame({"path": pdf["path"].iloc[0], "piece_no": range(1, len(out) + 1), "start": [a for a, _ in out], "end": [b for _, b in out]})
-
-    chosen = tables.groupBy("path").applyInPandas(choose, "path string, piece_no int, start long, end long")
-    # Where a piece begins in bytes: the range that holds its start, found by an equi-join on path and a range test.
-    placed = tables.select("path", "range_no", "n", "first").withColumn("at", F.expr("sum(n) over (partition by path order by range_no) - n"))
-    joined = chosen.join(placed, "path").where("start >= at and start < at + n").select("path", "piece_no", "start", "end", "at", "first")
+    summaries = ranges.repartition("path", "range_no").mapInPandas(measure, f"path string, range_no int, {_SUMMARY}")
+    placed = ranges.join(_entries(summaries, ["path"]), ["path", "range_no"])
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = []
-            for path, start, end, at, first in pdf[["path", "start", "end", "at", "first"]].itertuples(index=False):
-                with open(path, "rb") as f:
-                    f.seek(first)
-                    text = f.read(4 * (end - at)).decode("utf-8", "replace")
-                texts.append(text[start - at : end - at])
-            yield pdf[["path", "piece_no", "start", "end"]].assign(piece=texts)
-
-    return joined.mapInPandas(emit, "path string, piece_no int, start long, end long, piece string")
+            for path, total, no, at, offset, entry, before in pdf[["path", "bytes", "range_no", "at", "offset", "entry", "before"]].itertuples(index=False):
+                view, left, n, at_end = _read_range(path, at, size, total, limit, overlap)
+                spans = list(Chain(view, left, at_end, limit, overlap).walk(None if no == 0 else entry, n))
+                yield pd.DataFrame({"path": path, "piece_no": range(before + 1, before + 1 + len(spans)), "start": [offset + a for a, _ in spans], "end": [offset + b for _, b in spans], "piece": [view[left + a : left + b] for a, b in spans]})
 
+    return placed.repartition("path", "range_no").mapInPandas(emit, "path string, piece_no int, start long, end long, piece string")
 
-def _widths(codes: np.ndarray) -> np.ndarray:
-    return 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
 
+def _read_range(path: str, at: int, size: int, total: int, limit: int, overlap: int) -> tuple[str, int, int, bool]:
+    """(view, characters of its left halo, characters that begin in [at, at + size), whether the view ends with the file).
 
-def _read_range(path: str, at: int, size: int, total: int) -> tuple[str, str, str, int]:
-    """The characters that begin in [at, at + size), the halos, and how many bytes of the range belong to the one before."""
+    Up to three continuation bytes at a border belong to the character before it; further ones are no UTF-8 and decode
+    one by one wherever the border lies.
+    """
+    before, after = 4 * (overlap + RUN + HALO) + 4, 4 * (limit + 1) + 8
+    low, high = max(0, at - before), min(total, at + size + after)
     with open(path, "rb") as f:
-        f.seek(max(0, at - 4 * HALO))
-        raw = f.read(at - max(0, at - 4 * HALO) + size + 4 * HALO)
-    lead = at - max(0, at - 4 * HALO)
-    begin, stop = lead, min(lead + size, len(raw))
-    while begin < stop and raw[begin] & 0xC0 == 0x80:
-        begin += 1
-    while stop < len(raw) and raw[stop] & 0xC0 == 0x80:
-        stop += 1
-    left = raw[:begin].decode("utf-8", "replace")[-HALO:]
-    return raw[begin:stop].decode("utf-8", "replace"), left, raw[stop:].decode("utf-8", "replace")[:HALO], begin - lead
-
-
-def _thin(table: np.ndarray, block: int) -> np.ndarray:
-    """Which boundaries to keep: the last of each rank in each block, and the runs at either end (they may be stitched)."""
-    if len(table) == 0:
-        return np.zeros(0, dtype=np.int64)
-    rank = np.where(table[:, 2] >= 2, 3, np.where(table[:, 3] > 0, 2, 1))
-    keep = np.zeros(len(table), dtype=bool)
-    keep[[0, -1]] = True
-    for r in (1, 2, 3):
-        own = np.flatnonzero(rank >= r)
-        if len(own):
-            b = table[own, 1] // block
-            keep[own[np.concatenate([b[1:] != b[:-1], [True]])]] = True
-    return np.flatnonzero(keep)
+        f.seek(low)
+        raw = f.read(high - low)
+
+    def border(k: int) -> int:
+        stop = min(k + 3, len(raw))
+        while k < stop and raw[k] & 0xC0 == 0x80:
+            k += 1
+        return min(k, len(raw))
+
+    begin, end = border(at - low) if at else 0, border(at + size - low) if at + size < total else len(raw)
+    left = raw[:begin].decode("utf-8", "replace")[-(overlap + RUN + HALO) :] if begin else ""
+    body = raw[begin:end].decode("utf-8", "replace")
+    right = raw[end:].decode("utf-8", "replace")
+    at_end = high == total and len(right) <= limit + 1
+    return left + body + right[: limit + 1], len(left), len(body), at_end

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barrow.llm import addresses, leaks, names, packing, pieces, scans, stuffing
-from barrow.session import cut, table
+from barrow.session import cut, once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,16 +26,18 @@ def query(sql: str | None = None):
 
 
 #: Fields that can exceed the size limit of problem 5.
-LONG_FIELDS = (("acts", "exp_info"), ("scientific_reports", "introduction"), ("scientific_reports", "research_history"))
+LONG_FIELDS = {"acts": ("exp_info",), "scientific_reports": ("introduction", "research_history")}
 
 
-def _pieces(spark: SparkSession, sf_dir: str, once: bool) -> DataFrame:
-    parts = []
-    for name, field in LONG_FIELDS:
-        rows = table(spark, sf_dir, name).select("id", field)
-        rows = rows.dropDuplicates(["id"]) if once else rows
-        parts.append(pieces.split_column(rows, ["id"], field).select(F.lit(name).alias("table_name"), "id", F.lit(field).alias("field"), "n_chars", "piece_no", "start", "end", "piece"))
-    return reduce(DataFrame.unionByName, parts)
+def _long_fields(parts: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, id, field, text): each table is read once for all its fields."""
+    field = lambda f: F.struct(F.lit(f).alias("field"), F.col(f).alias("text"))
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), "id", F.inline(F.array(*map(field, LONG_FIELDS[name])))) for name, df in parts.items()])
+
+
+def _pieces_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _long_fields({name: once(spark, sf_dir, name, ["id"], list(fields)) for name, fields in LONG_FIELDS.items()})
+    return pieces.split_column(texts, ["table_name", "id", "field"], "text")
 
 
 @query(
@@ -45,14 +47,32 @@ UNION ALL SELECT DISTINCT 'scientific_reports', id, 'research_history' FROM scie
 )
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that the splitter had to cut: those with a second piece."""
-    cut = _pieces(spark, sf_dir, once=False).where((F.col("n_chars") > pieces.LIMIT) & (F.col("piece_no") == 2))
-    return cut.select("table_name", "id", "field").distinct()
+    split = pieces.split_column(_long_fields({name: table(spark, sf_dir, name) for name in LONG_FIELDS}), ["table_name", "id", "field"], "text")
+    return split.where((F.col("n_chars") > pieces.LIMIT) & (F.col("piece_no") == 2)).select("table_name", "id", "field").distinct()
 
 
 @query()
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field in its ordered pieces; a repeated row counts once."""
-    return _pieces(spark, sf_dir, once=True)
+    return _pieces_once(spark, sf_dir)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, id, '{field}' AS field, length(x) AS n_chars, true AS fits, true AS overlaps, md5(x) AS digest FROM (SELECT id, any_value({field}) AS x FROM {name} GROUP BY id) WHERE length(x) > 0"
+        for name, fields in LONG_FIELDS.items()
+        for field in fields
+    )
+)
+def p5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces put together again: whether all fit and overlap as they must, and the digest of what they make."""
+    own = F.struct("piece_no", "start", "end", "piece")
+    put = _pieces_once(spark, sf_dir).groupBy("table_name", "id", "field", "n_chars").agg(F.sort_array(F.collect_list(own)).alias("p"))
+    rest = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda a, b: F.struct((a["end"] - b["start"]).alias("back"), F.substring(b["piece"], a["end"] - b["start"] + 1, F.length(b["piece"])).alias("new")))
+    put = put.withColumn("rest", rest)
+    text = F.concat(F.element_at("p", 1)["piece"], F.array_join(F.transform("rest", lambda r: r["new"]), ""))
+    fits = F.forall("p", lambda x: (F.length(x["piece"]) <= pieces.LIMIT) & (F.length(x["piece"]) == x["end"] - x["start"]))
+    return put.select("table_name", "id", "field", F.col("n_chars").cast("long").alias("n_chars"), fits.alias("fits"), F.forall("rest", lambda r: r["back"].between(1, pieces.OVERLAP)).alias("overlaps"), F.md5(text.cast("binary")).alias("digest"))
 
 
 @query()
