@@ -104,8 +104,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rank-frequency fit of every document and its distance from prose."""
-    return stuffing.scored(table(spark, sf_dir, "documents")).select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("slope", "residual", "top", "z", "rest", "mass")], "stuffed")
+    """The rank-frequency fit of every document, its distance from prose and its divergence."""
+    measures = ("slope", "residual", "top", "z_slope", "z_residual", "z_top", "divergence", "asked")
+    return stuffing.scored(table(spark, sf_dir, "documents")).select("doc_id", "language", "n_words", *[F.round(c, 6).alias(c) for c in measures], "stuffed")
 
 
 #: The free descriptions of places of problem 2, with the prefix of their records.

@@ -1,9 +1,12 @@
 """Keyword-stuffed and link-list pages (problem 8).
 
-Each page gets its rank-frequency curve; SQL windows turn it into ranks, and a weighted fit gives slope and residual. The
-curve is held against that of prose in the same language at comparable lengths. Repeated words far more frequent on the
-page than in the corpus's prose are its divergence, links and tags count as such words. A page is stuffed if most of it
-is no prose, its curve is extreme and most of that part is made of diverging words, links or tags.
+Each page gets its rank-frequency curve; SQL windows turn it into ranks and a weighted fit gives slope and residual. Both,
+and the height of the curve, are held against those of prose in the same language at comparable lengths. The third measure
+is the divergence of the page's words from that prose: the share of the page in repeated words that the prose hardly
+knows. A page of a usual curve is stuffed if most of it diverges; the further its curve lies from prose, the less is asked.
+
+What is prose is learned from the pages: stretches of text that repeat few of their longer words. What language a page is
+in is learned from the letters of the pages by their label, as labels are missing or wrong on some.
 """
 
 from __future__ import annotations
@@ -12,108 +15,152 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barrow.session import cut
 
-#: Words that hold sentences together, Russian and English, folded (ё as е).
-FUNCTION = frozenset(
-    "а без бы был была были было в вдоль во все всё где для до его ее если же за здесь и из или их к как когда ко который котором которых которые ли лишь между на над не нет него нее но ни о об однако он она они от по под поэтому при с со сильно так также там те тем то того только у уже числе чем что чтобы эта эти это этот я мы вы "
-    "a after again all an and are as at be because been before but by could did for from had has have he her his how i if in into is it its no not of on only or she so that the their them then there these they this to under was we were when which who why will with would you yet".split()
-)
-#: A chunk of at least this many words is judged by itself; shorter lines join the next.
-CHUNK = 24
-#: Prose has at least this share of function words in a chunk, of at least so many kinds.
-PROSE, KINDS = 0.1, 3
-#: A repeated word diverges if it is this many times as frequent as in prose, where it has at most this share of the words;
-#: it must stand on the page at least so often.
-TIMES, RARE, LEAST = 12.0, 4e-5, 2
-#: A word with this share of the part without prose diverges however common it is in prose.
+#: Words of a stretch of text; it is prose if words of LONG letters and more that stand in it twice are at most this share.
+#: Passages of PASSAGE words that a page brings again count once.
+STRETCH, LONG, REPEATED, PASSAGE = 64, 4, 0.25, 4
+#: A page is prose, for the curves that others are held against, if this share of its words stands in prose.
+PROSE_PAGE = 0.75
+#: A repeated word diverges if it is this many times as frequent as in prose, where it has at most this share of the words.
+#: At most 1 / RARE words of a language have more, so the table of known words is bounded, however large the corpus.
+TIMES, RARE = 12.0, 4e-5
+#: A word with this share of the page diverges however common it is in prose.
 HEAVY = 0.25
-#: Share of the part without prose that must be diverging words, links or tags; share of the page that must be no prose.
-MASS, MOST = 0.34, 0.5
-#: Standard deviations from prose at comparable lengths that make a curve extreme.
-EXTREME = 2.0
-
+#: Share of the page that must diverge where the curve is that of prose, and where it lies FAR standard deviations off it.
+#: Less than half: the words that fill up lists of keywords, names above all, stand there once and do not count.
+MOST, LEAST, FAR = 0.46, 0.34, 2.5
+#: Prose pages a length class needs to have a curve of its own; those with less take the next shorter class's.
+ENOUGH = 30
+#: A label names a language if this share of the labelled pages has it: at most 1 / COMMON_LABEL languages.
+COMMON_LABEL = 0.01
+#: Letters are counted by their code modulo PLACES.
+PLACES = 128
+
+LINK, TAG = "‹link›", "‹tag›"
 _LINK = re.compile(r"(?:https?://|www\.)[^\s<>()\[\]|,;\"']+|\b[a-z0-9-]{2,}(?:\.[a-z0-9-]+)*\.[a-z]{2,8}/[^\s<>()\[\]|,;\"']*", re.I)
-_TAG = re.compile(r"#[^\W_][\w-]*")
+_TAG = re.compile(r"#[^\W\d][\w-]*")
 _MARKUP = re.compile(r"<[^<>]*>|&[a-z]+;")
-_WORD = re.compile(r"[^\W_]+")
-_SPLIT = re.compile(r"(?<=[.!?;])\s+|\n")
-
-
-def chunks(text: str) -> Iterator[tuple[list[str], int, int]]:
-    """(words, links, tags) of consecutive pieces of about CHUNK words, cut at line or sentence ends where possible."""
-    words: list[str] = []
-    links = tags = 0
-    for part in _SPLIT.split(text):
-        found = _LINK.findall(part)
-        if found:
-            links += len(found)
-            part = _LINK.sub(" ", part)
-        if "#" in part:
-            tags += len(_TAG.findall(part))
-        if "<" in part or "&" in part:
-            part = _MARKUP.sub(" ", part)
-        words += [w for w in _WORD.findall(part) if not w.isdigit()]
-        while len(words) >= 3 * CHUNK:
-            yield words[:CHUNK], links, tags
-            words, links, tags = words[CHUNK:], 0, 0
-        if len(words) >= CHUNK:
-            yield words, links, tags
-            words, links, tags = [], 0, 0
-    if words or links:
-        yield words, links, tags
-
-
-def page(text: str) -> tuple[Counter, Counter, dict]:
-    """Word counts of the prose and of the rest of a page, and what the curve and the verdict need."""
-    prose: Counter = Counter()
-    rest: Counter = Counter()
-    links = tags = n_rest = n_prose = 0
-    for words, k, t in chunks(text.lower().replace("ё", "е")):
-        held = [w for w in words if w in FUNCTION]
-        if words and len(held) >= PROSE * len(words) and len(set(held)) >= KINDS and k * 8 < len(words) and t * 4 < len(words) and len(set(words)) * 2 > len(words):
-            prose.update(words)
-            n_prose += len(words)
+_PART = re.compile(r"[^\W_]+")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+")
+
+
+def tokens(text: str) -> tuple[list[str], int]:
+    """(words, numbers) of a page: words in lower case, ё as е, numbers as a count.
+
+    A link is LINK as often as its address has parts, a tag TAG as often as it has words. Words of up to four letters in
+    front of a number and three after it are its unit or the name of its column and go with it.
+    """
+    text = text.lower().replace("ё", "е")
+    marks: list[str] = []
+    if "/" in text or "www." in text:
+        links = _LINK.findall(text)
+        if links:
+            marks += [LINK] * sum(len(_PART.findall(m)) for m in links)
+            text = _LINK.sub(" ", text)
+    if "<" in text or "&" in text:
+        text = _MARKUP.sub(" ", text)
+    if "#" in text:
+        tags = _TAG.findall(text)
+        if tags:
+            marks += [TAG] * sum(len(_PART.findall(m)) for m in tags)
+            text = _TAG.sub(" ", text)
+    found = _TOKEN.findall(text)
+    at = [k for k, w in enumerate(found) if w.isdigit()]
+    if not at:
+        return found + marks, 0
+    gone = set(at)
+    for k in at:
+        if k and len(found[k - 1]) <= 4:
+            gone.add(k - 1)
+        if k + 1 < len(found) and len(found[k + 1]) <= 3:
+            gone.add(k + 1)
+    return [w for k, w in enumerate(found) if k not in gone] + marks, len(at)
+
+
+def _stretches(words: list[str]) -> list[list[str]]:
+    n = max(1, len(words) // STRETCH)
+    parts = [words[k * STRETCH : (k + 1) * STRETCH if k + 1 < n else len(words)] for k in range(n)]
+    return [p for p in parts if sum(c for w, c in Counter(p).items() if c > 1 and len(w) >= LONG) <= REPEATED * len(p)]
+
+
+def prose_stretches(words: list[str]) -> tuple[list[list[str]], float]:
+    """The stretches of a page that are prose, and their share of its words; less than half a stretch of words has none.
+
+    Where some stretch is none, passages that the page brings again (PASSAGE words and more) are taken out first: prose
+    that was pasted twice is prose.
+    """
+    if 2 * len(words) < STRETCH:
+        return [], 0.0
+    parts = _stretches(words)
+    if sum(map(len, parts)) == len(words):
+        return parts, 1.0
+    seen: set[tuple[str, ...]] = set()
+    again = np.zeros(len(words), dtype=bool)
+    for k, gram in enumerate(zip(*(words[j:] for j in range(PASSAGE)), strict=False)):
+        if gram in seen:
+            again[k : k + PASSAGE] = True
         else:
-            rest.update(words)
-            n_rest += len(words)
-            links += k
-            tags += t
-    return prose, rest, {"n_prose": n_prose, "n_rest": n_rest, "links": links, "tags": tags}
+            seen.add(gram)
+    if not again.any():
+        return parts, sum(map(len, parts)) / len(words)
+    words = [w for w, x in zip(words, again.tolist(), strict=True) if not x]
+    parts = _stretches(words) if 2 * len(words) >= STRETCH else []
+    return parts, sum(map(len, parts)) / max(1, len(words))
 
 
-_PAGES = "curve array<struct<f:int,m:int>>, repeated array<struct<w:string,c:int>>, n_prose int, n_rest int, links int, tags int, cyrillic boolean"
+_PAGE = "lang string, letters array<int>, n int, numbers int, prose double, curve array<struct<f:int,m:int>>, repeated array<struct<w:string,c:int>>"
 
 
-def profiles(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """One pass over the texts: rows of kind 'page' (curve and counts of a page) and 'word' (prose counts, summed by batch)."""
+def profiles(documents: DataFrame, key: str, text: str, lang: str | None) -> DataFrame:
+    """One pass over the texts: rows of kind 'page' (its counts and curve) and 'word' (words of prose by label, '' without one, summed by batch)."""
     kind = dict(documents.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            prose_words: dict[bool, Counter] = {True: Counter(), False: Counter()}
-            rows = []
-            for k, t in zip(pdf["_key"].tolist(), pdf["_text"].tolist(), strict=True):
-                prose, rest, facts = page(t)
-                both = prose + rest
-                letters = "".join(list(both)[:200])
-                cyrillic = sum("а" <= ch <= "я" for ch in letters) * 2 > len(letters)
-                prose_words[cyrillic].update(prose)
-                curve = sorted(Counter(both.values()).items(), reverse=True)
-                # Repeated words matter only for pages that are mostly no prose.
-                repeated = [{"w": w, "c": c} for w, c in rest.items() if c >= LEAST] if facts["n_rest"] + facts["links"] > MOST * (facts["n_prose"] + facts["n_rest"] + facts["links"]) else []
-                rows.append(("page", k, [{"f": f, "m": m} for f, m in curve], repeated, facts["n_prose"], facts["n_rest"], facts["links"], facts["tags"], cyrillic, None, 0))
-            for cyrillic, counts in prose_words.items():
-                rows += [("word", None, None, None, 0, 0, 0, 0, cyrillic, w, c) for w, c in counts.items()]
-            out = pd.DataFrame(rows, columns=["kind", "_key", "curve", "repeated", "n_prose", "n_rest", "links", "tags", "cyrillic", "word", "count"])
+            prose_words: dict[str, Counter] = {}
+            rows: list[tuple] = []
+            for k, label, t in zip(pdf["_key"].tolist(), pdf["_lang"].tolist(), pdf["_text"].tolist(), strict=True):
+                words, numbers = tokens(t)
+                counts = Counter(words)
+                prose, of_page = prose_stretches(words)
+                held = prose_words.setdefault(label or "", Counter())
+                for part in prose:
+                    held.update(part)
+                codes = np.frombuffer("".join(counts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                letters = np.bincount(codes % PLACES, minlength=PLACES).astype(np.int32)
+                curve = sorted(Counter(counts.values()).items(), reverse=True)
+                repeated = [{"w": w, "c": c} for w, c in counts.items() if c > 1]
+                rows.append(("page", k, label, letters, len(words), numbers, of_page, [{"f": f, "m": m} for f, m in curve], repeated, None, 0))
+            for label, held in prose_words.items():
+                rows += [("word", None, label, None, 0, 0, 0.0, None, None, w, c) for w, c in held.items()]
+            out = pd.DataFrame(rows, columns=["kind", "_key", "lang", "letters", "n", "numbers", "prose", "curve", "repeated", "word", "count"])
             yield out.astype({"_key": "Int64"}) if kind in ("bigint", "int") else out
 
-    picked = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_key").isNotNull() & (F.length("_text") > 0))
-    return picked.mapInPandas(run, f"kind string, _key {kind}, {_PAGES}, word string, count long")
+    label = F.col(lang) if lang else F.lit(None)
+    picked = documents.select(F.col(key).alias("_key"), label.cast("string").alias("_lang"), F.col(text).alias("_text")).where(F.col("_key").isNotNull() & (F.length("_text") > 0))
+    return picked.mapInPandas(run, f"kind string, _key {kind}, {_PAGE}, word string, count long")
+
+
+def language(pages: DataFrame) -> Column:
+    """The language of a page: the common label under which its letters are likeliest, '' where no page has a label.
+
+    The letters of all labelled pages are summed by label; the table has at most 1 / COMMON_LABEL rows.
+    """
+    sums = [F.sum(F.get("letters", F.lit(k))).alias(f"l{k}") for k in range(PLACES)]
+    told = pages.where("lang <> ''").groupBy("lang").agg(F.count("*").alias("pages"), *sums).withColumn("share", F.expr("pages / sum(pages) over ()")).where(F.col("share") >= COMMON_LABEL).collect()
+    scores = []
+    for row in sorted(told, key=lambda r: r["lang"]):
+        seen = np.array([row[f"l{k}"] or 0 for k in range(PLACES)], dtype=np.float64) + 0.5
+        odds = np.log(seen / seen.sum()).tolist()
+        weights = F.array(*map(F.lit, odds))
+        scores.append(F.struct(F.aggregate(F.zip_with("letters", weights, lambda n, w: n * w), F.lit(0.0), lambda s, v: s + v).alias("score"), F.lit(row["lang"]).alias("lang")))
+    return F.array_max(F.array(*scores))["lang"] if scores else F.lit("")
 
 
 def rank_frequency(pages: DataFrame) -> DataFrame:
@@ -129,40 +176,56 @@ def rank_frequency(pages: DataFrame) -> DataFrame:
     slope = F.when(spread > 1e-9, F.expr("wxy - wx*wy/w") / spread).otherwise(F.lit(0.0))
     fitted = sums.withColumn("slope", slope)
     rest = F.expr("(wyy - wy*wy/w) - slope*(wxy - wx*wy/w)") / F.col("w")
-    return fitted.select("_key", "slope", F.sqrt(F.greatest(rest, F.lit(0.0))).alias("residual"), (F.col("top") / F.col("n")).alias("top"), "n")
+    return fitted.select("_key", "slope", F.sqrt(F.greatest(rest, F.lit(0.0))).alias("residual"), (F.col("top") / F.col("n")).alias("top"))
+
+
+_CURVE = ("slope", "residual", "top")
+
+
+def usual_curves(facts: DataFrame) -> DataFrame:
+    """(language, size, mean and deviation of each measure) of prose pages by language and length class."""
+    prose = facts.where((F.col("n") > 0) & (F.col("prose") >= PROSE_PAGE))
+    own = prose.groupBy("language", "size").agg(F.count("*").alias("pages"), *[f(c).alias(f"{n}_{c}") for c in _CURVE for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))])
+    kept = F.when(F.col("pages") >= ENOUGH, F.struct(*[f"{n}_{c}" for c in _CURVE for n in "ms"]))
+    # Every class from the shortest to the longest: 2**31 words are more than a text can hold.
+    every = own.select("language").distinct().select("language", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("size"))
+    filled = every.join(own.select("language", "size", kept.alias("kept")), ["language", "size"], "left")
+    below = F.expr("last_value(kept) ignore nulls over (partition by language order by size rows between unbounded preceding and current row)")
+    above = F.expr("first_value(kept) ignore nulls over (partition by language order by size rows between current row and unbounded following)")
+    return filled.select("language", "size", F.coalesce(below, above).alias("u")).select("language", "size", "u.*")
 
 
-def scored(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each page's curve, its distance from prose and the verdict: key, n_words, slope, residual, top, z, rest, mass, stuffed.
+def scored(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
+    """Each page's measures and the verdict: key, language, n_words, slope, residual, top, z_slope, z_residual, z_top, z,
+    divergence, asked, stuffed.
 
-    z is the greatest of the three distances (slope, residual, share of the top word) from the mean of prose pages of the
-    same script and length class, in standard deviations; rest the share of the page that is no prose; mass the share of
-    that part that is diverging words, links or tags. Null and empty texts are left out, as are null keys; a page of
-    digits alone has no words and is never stuffed. Repeated rows give equal rows. Other columns are not read.
+    z_ are the distances of slope, residual and share of the top word from the mean of prose pages of the same language and
+    length class, in standard deviations, z the greatest of them (0 where the language has too little prose to hold a page
+    against); divergence is the share of the page's words and numbers in diverging words, asked the share that z asks for.
+    Null and empty texts are left out, as are null keys; a page of digits alone has no words and is never stuffed. Repeated
+    rows count once. lang may be None or a column that is not there. Other columns are not read.
     """
-    cut_pages = cut(profiles(documents, key, text))
-    pages = cut_pages.where("kind = 'page'").drop("kind", "word", "count").dropDuplicates(["_key"])
-    words = cut_pages.where("kind = 'word'").groupBy("word", "cyrillic").agg(F.sum("count").alias("c"))
-    totals = cut_pages.where("kind = 'word'").groupBy("cyrillic").agg(F.sum("count").alias("total"))
-    curves = rank_frequency(pages)
-    facts = pages.select("_key", "n_prose", "n_rest", "links", "tags", "cyrillic").join(curves, "_key", "left")
-    facts = facts.withColumn("size", F.floor(F.log2(F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)))).cast("int"))
-    usual = facts.where("n_prose > 4 * (n_rest + links)").groupBy("cyrillic", "size").agg(*[f(c).alias(f"{n}_{c}") for c in ("slope", "residual", "top") for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))])
-    held = facts.join(F.broadcast(usual), ["cyrillic", "size"], "left")  # two scripts by some twenty length classes
-    far = lambda c: F.abs(F.col(c) - F.col(f"m_{c}")) / F.greatest(F.col(f"s_{c}"), F.lit(0.02))
-    # Lengths at which no prose occurs have nothing to be held against: extreme by themselves.
-    held = held.withColumn("z", F.coalesce(F.greatest(far("slope"), far("residual"), far("top")), F.lit(EXTREME)))
-    hot = pages.select("_key", "cyrillic", "n_rest", F.explode("repeated").alias("r")).select("_key", "cyrillic", F.col("r.w").alias("word"), F.col("r.c").alias("own"), "n_rest")
-    hot = hot.join(words, ["word", "cyrillic"], "left").join(F.broadcast(totals), "cyrillic", "left")
-    expected = F.coalesce("c", F.lit(0)) / F.greatest(F.coalesce("total", F.lit(0)), F.lit(1))
-    # Short Cyrillic words in lists are units and abbreviations of columns (кв, гл, экз), not what draws visitors.
-    diverging = (F.col("own") / F.col("n_rest") >= TIMES * expected) & ((expected <= RARE) | (F.col("own") / F.col("n_rest") >= HEAVY)) & ~F.col("word").isin(*FUNCTION) & ~F.col("word").rlike("^[а-я]{1,3}$")
-    mass = hot.groupBy("_key").agg(F.sum(F.when(diverging, F.col("own")).otherwise(0)).alias("diverging"))
-    out = held.join(mass, "_key", "left")
-    words_rest = F.col("n_rest") + 3 * F.col("links")
-    rest = words_rest / F.greatest(words_rest + F.col("n_prose"), F.lit(1))
-    share = F.least((F.coalesce("diverging", F.lit(0)) + 3 * F.col("links")) / F.greatest(words_rest, F.lit(1)), F.lit(1.0))
-    tagged = F.col("tags") * 3 > F.col("n_rest")
-    out = out.withColumn("rest", rest).withColumn("mass", F.when(tagged, F.lit(1.0)).otherwise(share))
-    verdict = (F.col("rest") > MOST) & (F.col("mass") >= MASS) & ((F.col("z") >= EXTREME) | (F.col("links") * 6 > F.col("n_rest")) | tagged)
-    return out.select(F.col("_key").alias(key), F.coalesce("n", F.lit(0)).alias("n_words"), "slope", "residual", "top", "z", "rest", "mass", verdict.alias("stuffed"))
+    told = cut(profiles(documents, key, text, lang if lang in documents.columns else None))
+    pages = told.where("kind = 'page'").drop("kind", "word", "count").dropDuplicates(["_key"])
+    pages = cut(pages.withColumn("language", language(told.where("kind = 'page'"))).drop("letters", "lang"))
+    words = told.where("kind = 'word'").groupBy("lang", "word").agg(F.sum("count").alias("c"))
+    # Totals by label, summed before the join: a label's words never stand in one task.
+    totals = told.where("kind = 'word'").groupBy("lang").agg(F.sum("count").alias("total"))
+    share = F.col("c") / F.col("total")
+    known = words.join(totals, "lang").select(F.col("lang").alias("language"), "word", share.alias("share")).where(F.col("share") > RARE)
+    facts = pages.select("_key", "language", "n", "prose").join(rank_frequency(pages), "_key", "left").withColumn("size", F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int"))
+    facts = cut(facts)
+    # 32 length classes of at most 1 / COMMON_LABEL languages.
+    held = facts.join(F.broadcast(usual_curves(facts)), ["language", "size"], "left")
+    far = {c: F.coalesce(F.abs(F.col(c) - F.col(f"m_{c}")) / F.greatest(F.col(f"s_{c}"), F.lit(0.02)), F.lit(0.0)) for c in _CURVE}
+    held = held.withColumns({f"z_{c}": e for c, e in far.items()}).withColumn("z", F.greatest(*[f"z_{c}" for c in _CURVE]))
+    own = pages.select("_key", "language", (F.col("n") + F.col("numbers")).alias("all"), F.inline("repeated")).withColumn("p", F.col("c") / F.col("all"))
+    # The known words are at most 1 / RARE for each language: a broadcast of bounded size.
+    own = own.join(F.broadcast(known), (F.col("w") == F.col("word")) & (own["language"] == known["language"]), "left")
+    expected = F.coalesce("share", F.lit(RARE))
+    marked = F.col("w").isin(LINK, TAG)
+    diverging = (F.col("p") >= TIMES * expected) & (F.col("share").isNull() | (F.col("p") >= HEAVY) | marked)
+    mass = own.where(diverging).groupBy("_key").agg(F.sum("p").alias("divergence"))
+    out = held.join(mass, "_key", "left").withColumn("divergence", F.coalesce("divergence", F.lit(0.0)))
+    asked = MOST - (MOST - LEAST) * F.least(F.col("z") / FAR, F.lit(1.0))
+    return out.select(F.col("_key").alias(key), "language", F.col("n").alias("n_words"), *_CURVE, *[f"z_{c}" for c in _CURVE], "z", "divergence", asked.alias("asked"), (F.col("divergence") >= asked).alias("stuffed"))
