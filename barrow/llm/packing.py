@@ -2,8 +2,8 @@
 
 Dynamic programming over the global histogram of lengths chooses the bucket boundaries that waste the least padding; the
 histogram has at most `capacity` entries, however many items there are. Token-budget batches are then formed from the
-bucket counts alone: a batch starts in the longest bucket that still has items and takes, bucket by bucket, what its
-budget allows. A batch shape repeats until one of its buckets runs dry, so there are about as many shapes as buckets, and
+bucket counts alone, inside each bucket; with `mixed` a batch starts in the longest bucket that still has items and goes
+on into shorter ones, bucket by bucket, as its budget allows, which leaves less room unused. A batch shape repeats until one of its buckets runs dry, so there are about as many shapes as buckets, and
 an item finds its container from its bucket and its rank within it, by arithmetic.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barrow.session import cut
@@ -25,7 +25,11 @@ RANKED = 200_000
 
 
 def default_model() -> str:
-    import public_tokenizers
+    """The model file of the module public_tokenizers, where the environment has it; else the path must be given."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        raise ValueError("no module public_tokenizers: give the path of a SentencePiece model") from None
 
     return public_tokenizers.path("piece_bpe_32k.model")
 
@@ -120,7 +124,7 @@ class Batch:
     slots: dict[int, int]
 
 
-def batches(bounds: list[int], counts: list[int], capacity: int, mixed: bool = True) -> list[Batch]:
+def batches(bounds: list[int], counts: list[int], capacity: int, mixed: bool = False) -> list[Batch]:
     """Token-budget batches over bucket counts. mixed: a batch may go on into shorter buckets; else it stays in its own."""
     left, out, first = list(counts), [], 0
     longest = len(bounds) - 1
@@ -142,16 +146,17 @@ def batches(bounds: list[int], counts: list[int], capacity: int, mixed: bool = T
     return out
 
 
-def pack(items: DataFrame, keys: list[str], size: str, capacity: int = CAPACITY, buckets: int = BUCKETS, mixed: bool = True) -> DataFrame:
+def pack(items: DataFrame, keys: list[str], size: str, capacity: int = CAPACITY, buckets: int = BUCKETS, mixed: bool = False) -> DataFrame:
     """Items in containers: keys, part_no, start, n, container_id.
 
     An item above the capacity fills containers of its own and its rest is packed like any other item (part_no counts its
     parts from 0, start is the offset of the part); no other item is split. Items of size null or 0 need no space: part 0
     with container_id null. Keys must identify an item; repeated keys are packed as items of their own. Container ids run
-    from 0 without gaps: batches first, then full containers of oversized items. Only keys and size are read.
+    from 0 without gaps: batches first, then full containers of oversized items. Only keys and size are read. The same
+    items get the same containers, in whatever order they come.
 
-    One pass for the histogram, one shuffle to rank items within (bucket, salt); the salt grows with the rows, so a bucket
-    that holds a third of all items is ranked by many tasks.
+    One pass for the histogram, one shuffle to fold repeated items, one to rank items within (bucket, salt); the salt, a
+    hash of the key, grows with the rows, so a bucket that holds a third of all items is ranked by many tasks.
     """
     picked = items.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.col(size).cast("int"), F.lit(0)).alias("_n"))
     rest = F.when(F.col("_n") > capacity, F.col("_n") % capacity).otherwise(F.col("_n"))
@@ -177,27 +182,32 @@ def pack(items: DataFrame, keys: list[str], size: str, capacity: int = CAPACITY,
     salts = max(1, -(-int(histogram.sum()) // RANKED))
     names = [f"_k{i}" for i in range(len(keys))]
     bucket_of = F.array(*[F.lit(b) for b in np.searchsorted(bounds, np.arange(capacity + 1)).tolist()]) if bounds else F.array(F.lit(0))
-    rests = picked.select(*names, "_n", rest.alias("_rest")).where("_rest > 0")
-    rests = rests.withColumn("bucket", F.element_at(bucket_of, F.col("_rest") + 1)).withColumn("salt", F.pmod(F.xxhash64(*names, F.rand(7)), F.lit(salts)).cast("int"))
-    rests = cut(rests)  # the salts must not be drawn twice
+    # Repeated items are one row with their number, and are opened again once their ranks are known.
+    rests = picked.where(rest > 0).groupBy(*names, "_n", rest.alias("_rest")).agg(F.count("*").alias("_c"))
+    rests = cut(rests.withColumn("bucket", F.element_at(bucket_of, F.col("_rest") + 1)).withColumn("salt", F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int")))
     before = F.expr("sum(c) over (partition by bucket order by salt rows between unbounded preceding and current row) - c")
-    offsets = rests.groupBy("bucket", "salt").agg(F.count("*").alias("c")).select("bucket", "salt", before.alias("offset"))
-    ranked = rests.withColumn("rank", F.expr("row_number() over (partition by bucket, salt order by _rest desc) - 1")).join(offsets, ["bucket", "salt"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    offsets = rests.groupBy("bucket", "salt").agg(F.sum("_c").alias("c")).select("bucket", "salt", before.alias("offset"))
+    own = F.sum("_c").over(Window.partitionBy("bucket", "salt").orderBy(F.desc("_rest"), *names, "_n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    ranked = rests.withColumn("own", own).join(offsets, ["bucket", "salt"]).select(*names, "_n", "_rest", "bucket", F.explode(F.sequence(F.col("own") + F.col("offset"), F.col("own") + F.col("offset") + F.col("_c") - 1)).alias("rank"))
     placed = ranked.join(F.broadcast(shapes), "bucket").where("rank >= low and rank < high")
     placed = placed.select(*names, F.floor(F.col("_n") / capacity - F.when(F.col("_n") == capacity, 1).otherwise(0)).cast("int").alias("part_no"), (F.col("_n") - F.col("_rest")).alias("start"), F.col("_rest").alias("n"), (F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("k"))).cast("long").alias("container_id"))
     empty = picked.where("_n <= 0").select(*names, F.lit(0).alias("part_no"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("container_id"))
     out = placed.unionByName(empty)
     full = sum(row["full"] or 0 for row in table)
     if full:
-        out = out.unionByName(_oversized(picked.where(F.col("_n") > capacity), names, capacity, used))
+        out = out.unionByName(_oversized(picked.where(F.col("_n") > capacity), names, capacity, used, max(1, -(-full // RANKED))))
     return out.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "part_no", "start", "n", "container_id")
 
 
-def _oversized(large: DataFrame, names: list[str], capacity: int, used: int) -> DataFrame:
+def _oversized(large: DataFrame, names: list[str], capacity: int, used: int, salts: int) -> DataFrame:
     """The full containers of oversized items, numbered by a prefix sum over salted groups."""
-    parts = F.floor(F.col("_n") / capacity).cast("int")
-    salted = cut(large.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64(*names, F.rand(11)), F.lit(64)).cast("int")))
-    offsets = salted.groupBy("salt").agg(F.sum("parts").alias("c")).select("salt", F.expr("sum(c) over (order by salt rows between unbounded preceding and current row) - c").alias("offset"))
-    numbered = salted.withColumn("own", F.expr("sum(parts) over (partition by salt order by _n rows between unbounded preceding and current row) - parts")).join(F.broadcast(offsets), "salt")
-    opened = numbered.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_no"))
-    return opened.select(*names, "part_no", (F.col("part_no") * capacity).alias("start"), F.lit(capacity).alias("n"), (F.col("own") + F.col("offset") + F.col("part_no") + used).cast("long").alias("container_id"))
+    parts = F.floor(F.col("_n") / capacity).cast("long")
+    folded = large.groupBy(*names, "_n").agg(F.count("*").alias("_c")).withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int"))
+    folded = cut(folded)
+    offsets = folded.groupBy("salt").agg(F.sum(F.col("parts") * F.col("_c")).alias("c")).select("salt", F.expr("sum(c) over (order by salt rows between unbounded preceding and current row) - c").alias("offset"))
+    own = F.sum(F.col("parts") * F.col("_c")).over(Window.partitionBy("salt").orderBy(*names, "_n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("parts") * F.col("_c")
+    numbered = folded.withColumn("own", own).join(offsets, "salt")
+    copies = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)).alias("copy"))
+    opened = copies.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    number = F.col("own") + F.col("offset") + F.col("copy") * F.col("parts") + F.col("part") + used
+    return opened.select(*names, F.col("part").cast("int").alias("part_no"), (F.col("part") * capacity).cast("int").alias("start"), F.lit(capacity).alias("n"), number.cast("long").alias("container_id"))

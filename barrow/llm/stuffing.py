@@ -206,8 +206,8 @@ def scored(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
     rows count once. lang may be None or a column that is not there. Other columns are not read.
     """
     told = cut(profiles(documents, key, text, lang if lang in documents.columns else None))
-    pages = told.where("kind = 'page'").drop("kind", "word", "count").dropDuplicates(["_key"])
-    pages = cut(pages.withColumn("language", language(told.where("kind = 'page'"))).drop("letters", "lang"))
+    pages = told.where("kind = 'page'")
+    pages = cut(pages.withColumn("language", language(pages)).drop("kind", "word", "count", "letters", "lang").dropDuplicates(["_key"]))
     words = told.where("kind = 'word'").groupBy("lang", "word").agg(F.sum("count").alias("c"))
     # Totals by label, summed before the join: a label's words never stand in one task.
     totals = told.where("kind = 'word'").groupBy("lang").agg(F.sum("count").alias("total"))
