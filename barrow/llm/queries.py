@@ -29,14 +29,14 @@ def query(sql: str | None = None):
 LONG_FIELDS = {"acts": ("exp_info",), "scientific_reports": ("introduction", "research_history")}
 
 
-def _long_fields(parts: dict[str, DataFrame]) -> DataFrame:
+def _fields(parts: dict[str, DataFrame], names: dict[str, tuple[str, ...]]) -> DataFrame:
     """(table_name, id, field, text): each table is read once for all its fields."""
     field = lambda f: F.struct(F.lit(f).alias("field"), F.col(f).alias("text"))
-    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), "id", F.inline(F.array(*map(field, LONG_FIELDS[name])))) for name, df in parts.items()])
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), "id", F.inline(F.array(*map(field, names[name])))) for name, df in parts.items()])
 
 
 def _pieces_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _long_fields({name: once(spark, sf_dir, name, ["id"], list(fields)) for name, fields in LONG_FIELDS.items()})
+    texts = _fields({name: once(spark, sf_dir, name, ["id"], list(fields)) for name, fields in LONG_FIELDS.items()}, LONG_FIELDS)
     return pieces.split_column(texts, ["table_name", "id", "field"], "text")
 
 
@@ -47,7 +47,7 @@ UNION ALL SELECT DISTINCT 'scientific_reports', id, 'research_history' FROM scie
 )
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that the splitter had to cut: those with a second piece."""
-    split = pieces.split_column(_long_fields({name: table(spark, sf_dir, name) for name in LONG_FIELDS}), ["table_name", "id", "field"], "text")
+    split = pieces.split_column(_fields({name: table(spark, sf_dir, name) for name in LONG_FIELDS}, LONG_FIELDS), ["table_name", "id", "field"], "text")
     return split.where((F.col("n_chars") > pieces.LIMIT) & (F.col("piece_no") == 2)).select("table_name", "id", "field").distinct()
 
 
@@ -159,21 +159,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The scanned fields of problem 3.
-SCANNED = (("acts", "exp_facts"), ("acts", "conclusion"), ("scientific_reports", "introduction"))
-
-
-def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [table(spark, sf_dir, name).select(F.lit(name).alias("table_name"), "id", F.lit(field).alias("field"), F.col(field).alias("text")) for name, field in SCANNED]
-    return reduce(DataFrame.unionByName, parts)
+SCANNED = {"acts": ("exp_facts", "conclusion"), "scientific_reports": ("introduction",)}
 
 
 @query()
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of noise in each scanned field."""
-    return scans.noise(_scanned(spark, sf_dir), ["table_name", "id", "field"])
+    texts = _fields({name: table(spark, sf_dir, name) for name in SCANNED}, SCANNED)
+    return scans.noise(texts, ["table_name", "id", "field"])
 
 
 @query()
 def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every scanned field as continuous paragraphs."""
-    return scans.repaired(_scanned(spark, sf_dir), ["table_name", "id", "field"])
+    """Every scanned field as continuous paragraphs; a repeated row counts once."""
+    texts = _fields({name: once(spark, sf_dir, name, ["id"], list(fields)) for name, fields in SCANNED.items()}, SCANNED)
+    return scans.repaired(texts, ["table_name", "id", "field"])
