@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barrow.llm import spelling
+from barrow.llm import pairing, spelling
 from barrow.llm.words import TO_CYRILLIC
 from barrow.session import cut
 
@@ -42,6 +42,7 @@ _SPOT = re.compile(rf"(?:\bв\s+)?[~≈]?\s*(\d+(?:[.,]\d+)?)\s*(км|м)\.?(?![
 _FROM = re.compile(r"\bот(?:\s+окраины)?\b|\bокраин[аы]\b")
 _HOUSE = re.compile(r"(?:\b(?:дом|д)\b\.?\s*)?(?<![\d-])(\d{1,4})\s*(?:«\s*([а-я])\s*»|\"\s*([а-я])\s*\"|-?([а-я])(?![а-я.-])(?!\s*\d))?(?:\s*/\s*(\d{1,3}))?(?:\s*,?\s*\(?\b(?:корпус|корп|к|стр|строение)\b\.?\s*(\d{1,3}))?")
 _WORD = re.compile(r"[а-я]+(?:-[а-я]+)*|\d+[а-я]?")
+_STREET_NAME = re.compile("[а-я]{3,}(?:ая|яя)")
 _TOKEN = re.compile(r"[а-я]+\.?-[а-я-]+|[а-я]+|[,;()]")
 
 
@@ -116,7 +117,13 @@ def parse(text: str | None) -> dict | None:
                 used[i] = used[pick] = True
                 break
         if not out["street"]:
-            return None
+            # A street named without its type: an adjective by itself between commas, beside a settlement named with its own.
+            named = any(tok in _SETTLEMENT for tok in tokens)
+            alone = [i for i, tok in enumerate(tokens) if _STREET_NAME.fullmatch(tok) and (i == 0 or used[i - 1]) and (i + 1 == len(tokens) or used[i + 1])]
+            if not named or len(alone) != 1:
+                return None
+            out["street"] = tokens[alone[0]]
+            used[alone[0]] = True
     for i, tok in enumerate(tokens):
         if used[i]:
             continue
@@ -153,8 +160,6 @@ _SCHEMA = "rec string, raw string, kind string, district string, settlement stri
 RATIO_WITHIN = 1.5
 #: A district is a misspelling of another within so many edits that is this many times as frequent; it has no settlements.
 EDITS, RATIO_DISTRICT = 2, 20.0
-#: Records of one location that a task pairs with another such block.
-BLOCK = 2000
 
 
 def components(records: DataFrame) -> DataFrame:
@@ -203,7 +208,7 @@ def forms(parsed: DataFrame) -> DataFrame:
     found = lost.join(has, "settlement_read", "left").where(F.col("d").isNull() | F.col("settlement_type").isNull() | (F.size("types") == 0) | F.array_contains("types", F.col("settlement_type")))
     found = found.withColumnRenamed("d", "district").drop("types")
     both = known.unionByName(found.select(known.columns))
-    types = F.when(F.col("street_type") == "пр", F.array(F.lit("пр-т"), F.lit("пр-д"))).otherwise(F.array("street_type"))
+    types = F.when(F.col("street_type") == "пр", F.array(F.lit("пр-т"), F.lit("пр-д"))).when(F.col("street_type").isNull() & F.col("street").isNotNull(), F.array(*[F.lit(t) for t in STREETS if t != "пр"])).otherwise(F.array("street_type"))
     # A street has one name, whatever the gender of its type: the ending goes once the spelling is settled.
     opened = both.withColumn("street_type", F.explode(types)).withColumn("street", F.regexp_replace("street", "(?<=..)(?:ий|ый|ой|ая|яя|ое|ее)$", ""))
     parts = ["kind", "district", "settlement_read", "street_type", "street", "house", "metres", "degrees"]
@@ -220,13 +225,9 @@ def same_places(records: DataFrame) -> DataFrame:
     records agree if they share a form and neither letter nor block of the house differs (none is not the same as one).
     Other columns are not read.
 
-    A location's records are paired in blocks: a location with very many records is spread by a salt over as many tasks as
-    it has blocks, each pairing one block with all of them, so no task sees all pairs of a hot location.
+    A location's records are paired in salted blocks, and a pair that shares several forms is given at the least of them.
     """
     parsed = cut(components(records.select("rec", "text").where("rec is not null and text is not null").distinct()))
-    keyed = cut(forms(parsed).select("rec", F.xxhash64("form", F.coalesce("letter", F.lit("")), F.coalesce("block", F.lit(""))).alias("place")).distinct())
-    sizes = keyed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select("place", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    shared = keyed.join(sizes, "place")
-    one = shared.select("place", F.col("rec").alias("rec_a"), F.pmod(F.xxhash64("rec"), F.col("blocks")).cast("int").alias("salt"))
-    other = shared.select("place", F.col("rec").alias("rec_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
-    return one.join(other, ["place", "salt"]).where("rec_a < rec_b").select("rec_a", "rec_b").distinct()
+    places = F.sort_array(F.collect_set(F.xxhash64("form", F.coalesce("letter", F.lit("")), F.coalesce("block", F.lit("")))))
+    keyed = cut(forms(parsed).groupBy("rec").agg(places.alias("places")).select("rec", "places", F.explode("places").alias("place")))
+    return pairing.paired(keyed, ["place"], "rec", "places").select(F.col("a").alias("rec_a"), F.col("b").alias("rec_b"))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barrow.llm import spelling
+from barrow.llm import pairing, spelling
 from barrow.llm.words import TO_CYRILLIC, TO_LATIN
 from barrow.session import cut
 
@@ -350,10 +350,8 @@ def same_names(values: DataFrame) -> DataFrame:
     """Pairs of different stored values that name the same person or organisation: (kind, name_a, name_b), name_a < name_b.
 
     values(kind, name), repeated values allowed: they are counted before anything is shuffled. The pairs of one entity are
-    those of its distinct spellings, not of its rows.
+    those of its distinct spellings, not of its rows, made in salted blocks.
     """
     counted = values.where("name is not null").groupBy("kind", "name").agg(F.count("*").alias("n"))
     links = cut(resolved(counted))
-    a = links.select("kind", F.col("name").alias("name_a"), "entity")
-    b = links.select("kind", F.col("name").alias("name_b"), "entity")
-    return a.join(b, ["kind", "entity"]).where("name_a < name_b").select("kind", "name_a", "name_b")
+    return pairing.paired(links, ["kind", "entity"], "name").select("kind", F.col("a").alias("name_a"), F.col("b").alias("name_b"))

@@ -198,14 +198,13 @@ def stitched(summaries: Iterable[tuple[int, int, Sequence[int], Sequence[int], S
 def _entries(summaries: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, range_no, offset, entry, before) of summaries(keys, range_no, n, entries, exits, pieces): a small row for each range."""
 
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("range_no")
-        rows = stitched((no, n, list(a), list(b), list(c)) for no, n, a, b, c in pdf[["range_no", "n", "entries", "exits", "pieces"]].itertuples(index=False))
-        return pd.DataFrame(rows, columns=["range_no", "offset", "entry", "before"]).assign(**{k: pdf[k].iloc[0] for k in keys})
-
-    kinds = dict(summaries.dtypes)
-    schema = "range_no int, offset long, entry long, before long, " + ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return summaries.groupBy(*keys).applyInPandas(stitch, schema)
+    @F.pandas_udf("array<struct<range_no:int,offset:bigint,entry:bigint,before:bigint>>")
+    def stitch(items: pd.Series) -> pd.Series:
+        names = ("range_no", "offset", "entry", "before")
+        return items.map(lambda ranges: [dict(zip(names, row, strict=True)) for row in stitched((r["range_no"], r["n"], list(r["entries"]), list(r["exits"]), list(r["pieces"])) for r in ranges)])
+
+    gathered = summaries.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("range_no", "n", "entries", "exits", "pieces"))).alias("_ranges"))
+    return gathered.select(*keys, F.inline(stitch("_ranges")))
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

@@ -1,6 +1,6 @@
 import pytest
 
-from barrow.llm import addresses
+from barrow.llm import addresses, pairing
 
 
 @pytest.mark.parametrize(
@@ -53,7 +53,7 @@ def test_pairs(spark):
 
 
 def test_hot_location_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(addresses, "BLOCK", 7)
+    monkeypatch.setattr(pairing, "BLOCK", 7)
     assert len(pairs(spark, [(f"r:{k}", "х. Дузашево, ул. Рыбацкая, 5") for k in range(30)])) == 30 * 29 // 2
 
 
@@ -66,3 +66,17 @@ def test_same_name_in_two_districts(spark):
 def test_small_district_beside_a_hot_one(spark):
     rows = [(f"x:{k:02}", f"Растенский район, х. Мариково, ул. Полевая, {k}") for k in range(60)] + [("y:1", "Лелюнский район, х. Мариково, ул. Степная, 7"), ("y:2", "Растенскоий м.о., х. Мариково, ул. Зелёная, 3"), ("z:1", "х. Мариково, ул. Степная, 7")]
     assert ("y:1", "z:1") in pairs(spark, rows)
+
+
+def test_street_without_its_type(spark):
+    p = addresses.parse("с. Усть-Выдра, Выдринский район, Садовая, 5")
+    assert (p["settlement"], p["street"], p["street_type"], p["house"]) == ("усть-выдра", "садовая", None, "5")
+    assert addresses.parse("Выдринский район, Садовая, 5") is None
+    rows = [("a:1", "с. Усть-Выдра, Выдринский район, Садовая, 5"), ("a:2", "с. Усть-Выдра, Выдринский район, ул. Садовая, 5"), ("a:3", "с. Усть-Выдра, Выдринский район, ул. Садовая, 7")]
+    assert pairs(spark, rows) == {("a:1", "a:2")}
+
+
+def test_pairs_that_share_several_forms_stand_once(spark):
+    rows = [(f"r:{k}", "х. Дузашево, пр. Степной, 9") for k in range(5)] + [("s:1", "х. Дузашево, пр-т Степной, 9")]
+    got = [tuple(r) for r in addresses.same_places(spark.createDataFrame(rows, "rec string, text string")).collect()]
+    assert len(got) == len(set(got)) == 15
