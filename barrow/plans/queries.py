@@ -434,16 +434,64 @@ def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     return spatial.points_in_polygons(centres, polygons)
 
 
-@query(f"""WITH c AS (SELECT id, avg(lat) AS lat, avg(lon) AS lon FROM {POINTS} GROUP BY id), t AS (SELECT id, lat, lon FROM {POINTS}),
-m AS (SELECT c.id AS point_id, t.id AS target_id, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(t.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - c.lon) / 2), 2)))) AS km FROM c JOIN t ON c.id < t.id)
-SELECT point_id, arg_min(target_id, (round(km, 6), target_id)) AS target_id, round(min(km), 6) AS km FROM m WHERE km <= 25 GROUP BY point_id""")
+#: SQL of the cards' shapes as segments, and of what is asked of two segments x and y.
+SIDES = f"""r AS (SELECT *, count(*) OVER (PARTITION BY id, grp) AS n, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, first_value(lat) OVER w AS lat0, first_value(lon) OVER w AS lon0
+  FROM (SELECT *, cast(point_name AS int) AS pos FROM {POINTS}) WINDOW w AS (PARTITION BY id, grp ORDER BY pos)),
+s AS (SELECT id, grp, n, pos, lat AS a, lon AS b, CASE WHEN n = 1 THEN lat ELSE coalesce(lat2, lat0) END AS c, CASE WHEN n = 1 THEN lon ELSE coalesce(lon2, lon0) END AS d FROM r WHERE NOT (n = 2 AND lat2 IS NULL)),
+i AS (SELECT f.id AS inner_id, s.id AS outer_id FROM (SELECT id, lat, lon FROM r QUALIFY row_number() OVER (PARTITION BY id, grp ORDER BY pos) = 1) f JOIN s ON s.n > 2 AND s.id <> f.id
+  GROUP BY f.id, f.lat, f.lon, s.id, s.grp HAVING sum(CASE WHEN (s.a > f.lat) <> (s.c > f.lat) AND f.lon < (s.d - s.b) * (f.lat - s.a) / (s.c - s.a) + s.b THEN 1 ELSE 0 END) % 2 = 1)"""
+
+
+def _turned(a: str, b: str, c: str) -> str:
+    return f"(({c[1]} - {a[1]}) * ({b[0]} - {a[0]}) > ({b[1]} - {a[1]}) * ({c[0]} - {a[0]}))"
+
+
+def _sql_km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    return f"2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))"
+
+
+_X, _Y = (("x.a", "x.b"), ("x.c", "x.d")), (("y.a", "y.b"), ("y.c", "y.d"))
+_CROSSED = f"({_turned(_X[0], _Y[0], _Y[1])} <> {_turned(_X[1], _Y[0], _Y[1])} AND {_turned(_X[0], _X[1], _Y[0])} <> {_turned(_X[0], _X[1], _Y[1])})"
+
+
+def _sql_place(p: tuple[str, str], s: tuple[tuple[str, str], tuple[str, str]], shrink: str) -> tuple[str, str]:
+    """Latitude and longitude of the place of segment s nearest to p, on the plane with longitudes shrunk."""
+    dy, dx = f"({s[1][0]} - {s[0][0]})", f"(({s[1][1]} - {s[0][1]}) * {shrink})"
+    size = f"({dy} * {dy} + {dx} * {dx})"
+    t = f"CASE WHEN {size} > 0 THEN greatest(0.0, least(1.0, (({p[0]} - {s[0][0]}) * {dy} + ({p[1]} - {s[0][1]}) * {shrink} * {dx}) / {size})) ELSE 0.0 END"
+    return f"({s[0][0]} + ({t}) * ({s[1][0]} - {s[0][0]}))", f"({s[0][1]} + ({t}) * ({s[1][1]} - {s[0][1]}))"
+
+
+_ENDS = ((_X[0], _Y), (_X[1], _Y), (_Y[0], _X), (_Y[1], _X))
+_LEAST_KM = "least(" + ", ".join(_sql_km(*p, *_sql_place(p, s, "cos(radians((x.a + y.a) / 2))")) for p, s in _ENDS) + ")"
+
+
+def _card_shapes(spark: SparkSession, d: str) -> DataFrame:
+    return register.rings(_points(spark, d), "id").select("id", "ring")
+
+
+@query(f"""WITH {SIDES}, m AS (SELECT x.id AS shape_id, y.id AS target_id, round(CASE WHEN {_CROSSED} THEN 0.0 ELSE {_LEAST_KM} END, 6) AS km FROM s x JOIN s y ON x.id <> y.id
+UNION ALL SELECT inner_id, outer_id, 0.0 FROM i UNION ALL SELECT outer_id, inner_id, 0.0 FROM i)
+SELECT shape_id, arg_min(target_id, (km, target_id)) AS target_id, min(km) AS km FROM m GROUP BY shape_id""")
 def nearest_distance(spark: SparkSession, d: str) -> DataFrame:
-    """GEO-14, AGG-05: the nearest later card of each card."""
-    points = _points(spark, d)
-    centres = points.groupBy(F.col("id").alias("point_id")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    targets = points.select(F.col("id").alias("target_id"), "lat", "lon")
-    rounded = lambda *c: F.round(geo.haversine(*c), 6)
-    return spatial.nearest(centres, targets, cell=0.5, farthest_km=25.0, metric=rounded, later=True)
+    """GEO-14, AGG-05: the nearest other card of each card, shape to shape, however far."""
+    shapes = _card_shapes(spark, d)
+    return spatial.nearest(shapes.withColumnRenamed("id", "shape_id"), shapes.withColumnRenamed("id", "target_id"))
+
+
+_PLACES = " UNION ALL ".join(f"SELECT y.id, y.grp, x.grp AS own, pow({p[0]} - {q[0]}, 2) + pow({p[1]} - {q[1]}, 2) AS far, {p[0]} AS y1, {p[1]} AS x1, {q[0]} AS y2, {q[1]} AS x2, {_CROSSED} AS crossed FROM o x JOIN s y ON y.id <> x.id" for p, q in ((p, _sql_place(p, s, "1.0")) for p, s in _ENDS))
+
+
+@query(f"""WITH {SIDES}, o AS (SELECT * FROM s WHERE id = (SELECT min(id) FROM s)), m AS ({_PLACES}),
+k AS (SELECT id, grp, own, bool_or(crossed) AS crossed, arg_min({_sql_km('y1', 'x1', 'y2', 'x2')}, (far, y1, x1, y2, x2)) AS km FROM m GROUP BY id, grp, own)
+SELECT id AS card_id, round(min(km), 6) AS km FROM (SELECT id, CASE WHEN crossed THEN 0.0 ELSE km END AS km FROM k
+UNION ALL SELECT inner_id, 0.0 FROM i WHERE outer_id = (SELECT min(id) FROM s) UNION ALL SELECT outer_id, 0.0 FROM i WHERE inner_id = (SELECT min(id) FROM s)) GROUP BY id""")
+def proximity_report(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-14, SRT-02: the distance of every other card to the first, which stands for an offer, the nearest first."""
+    shapes = _card_shapes(spark, d)
+    offer = shapes.join(F.broadcast(shapes.agg(F.min("id").alias("id"))), "id", "left_semi").select("ring")
+    cards = shapes.join(F.broadcast(shapes.agg(F.min("id").alias("id"))), "id", "left_anti").withColumnRenamed("id", "card_id")
+    return spatial.proximity(offer, cards).orderBy("km", "card_id")
 
 
 @query()
@@ -661,14 +709,6 @@ def in_list_and_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return kept.join(table(spark, d, "users").where("is_superuser").select(F.col("id").alias("user_id")), "user_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("top"))
 
 
-@query()
-def proximity_report(spark: SparkSession, d: str) -> DataFrame:
-    """GEO-14, SRT-02 on the ellipsoid: the nearest other card within 25 km of each card's centre."""
-    points = _points(spark, d)
-    centres = points.groupBy(F.col("id").alias("point_id")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    return spatial.nearest(centres, points.select(F.col("id").alias("target_id"), "lat", "lon"), cell=0.5, farthest_km=25.0, metric=geo.geodesic, later=True).orderBy("km", "point_id")
-
-
 @query()
 def kml_export(spark: SparkSession, d: str) -> DataFrame:
     """SNK-03: the coordinates of each card as KML."""

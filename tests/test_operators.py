@@ -1,3 +1,4 @@
+import math
 import random
 import zipfile
 
@@ -94,8 +95,65 @@ def test_spatial_against_brute_force(spark):
     pdf = spark.createDataFrame(points, "point_id int, lat double, lon double")
     gdf = spark.createDataFrame(polygons, "polygon_id int, ring array<struct<lat:double,lon:double>>")
     assert {tuple(r) for r in spatial.points_in_polygons(pdf, gdf).collect()} == want
-    targets = spark.createDataFrame([(9, 55.5, 92.5), (8, 55.5, 92.5)], "target_id int, lat double, lon double")
-    assert {r.target_id for r in spatial.nearest(pdf, targets, cell=1.0, farthest_km=60.0).collect()} == {8}
+    shapes = pdf.select(F.col("point_id").alias("shape_id"), F.array(F.struct("lat", "lon")).alias("ring"))
+    targets = spark.createDataFrame([(109, [(55.5, 92.5)]), (108, [(55.5, 92.5)])], "target_id int, ring array<struct<lat:double,lon:double>>")
+    assert {r.target_id for r in spatial.nearest(shapes, targets).collect()} == {108}
+
+
+RING = "ring array<struct<lat:double,lon:double>>"
+
+
+def sides(ring):
+    return [(ring[0], ring[0])] if len(ring) == 1 else [(ring[0], ring[1])] if len(ring) == 2 else list(zip(ring, ring[1:] + ring[:1], strict=True))
+
+
+def km(a, b):
+    h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 6371.0088 * math.asin(math.sqrt(min(1.0, h)))
+
+
+def side_km(x, y):
+    shrink = math.cos(math.radians((x[0][0] + y[0][0]) / 2))
+
+    def to(p, s):
+        dy, dx = s[1][0] - s[0][0], (s[1][1] - s[0][1]) * shrink
+        size = dy * dy + dx * dx
+        t = max(0.0, min(1.0, ((p[0] - s[0][0]) * dy + (p[1] - s[0][1]) * shrink * dx) / size)) if size else 0.0
+        return km(p, (s[0][0] + t * (s[1][0] - s[0][0]), s[0][1] + t * (s[1][1] - s[0][1])))
+
+    turn = lambda a, b, c: (c[1] - a[1]) * (b[0] - a[0]) > (b[1] - a[1]) * (c[0] - a[0])
+    if turn(x[0], y[0], y[1]) != turn(x[1], y[0], y[1]) and turn(x[0], x[1], y[0]) != turn(x[0], x[1], y[1]):
+        return 0.0
+    return min(to(x[0], y), to(x[1], y), to(y[0], x), to(y[1], x))
+
+
+@pytest.mark.parametrize("lat0,spread", [(55.0, 0.02), (75.0, 3.0), (-81.0, 1.0), (10.0, 60.0)])
+def test_nearest_against_brute_force(spark, lat0, spread):
+    """Points, lines and rings near and far, at high latitudes too; every shape has its nearest, none is out of reach."""
+    draw = random.Random(int(lat0))
+    shapes = []
+    for i in range(40):
+        y, x = lat0 + draw.uniform(-spread, spread) / 4, 90 + draw.uniform(-spread, spread)
+        shapes.append((i, [(y + draw.uniform(-0.004, 0.004), x + draw.uniform(-0.01, 0.01)) for _ in range(draw.choice((1, 2, 4)))]))
+    shapes += [(100, [(lat0 - 4, 140.0)]), (101, []), (102, shapes[0][1])]
+    df = spark.createDataFrame(shapes, f"shape_id int, {RING}")
+    got = {r.shape_id: (r.target_id, r.km) for r in spatial.nearest(df, df.withColumnRenamed("shape_id", "target_id")).collect()}
+    inside = lambda ring, p: len(ring) > 2 and sum((a[0] > p[0]) != (b[0] > p[0]) and p[1] < (b[1] - a[1]) * (p[0] - a[0]) / (b[0] - a[0]) + a[1] for a, b in sides(ring)) % 2 == 1
+    want = {}
+    for i, ring in shapes:
+        far = [(0.0 if inside(r, ring[0]) or inside(ring, r[0]) else round(min(side_km(x, y) for x in sides(ring) for y in sides(r)), 6), j) for j, r in shapes if i != j and r and ring]
+        if far:
+            want[i] = min(far)[::-1]
+    assert set(got) == set(want)
+    assert all(abs(got[i][1] - want[i][1]) < 2e-6 for i in want) and sum(got[i][0] == want[i][0] for i in want) >= len(want) - 1
+
+
+def test_proximity(spark):
+    cards = spark.createDataFrame([(1, [(55.0, 90.0)]), (1, [(55.0, 91.0)]), (2, [(55.5, 90.0), (55.5, 92.0)]), (3, [(54.0, 89.0), (54.0, 93.0), (57.0, 93.0), (57.0, 89.0)]), (4, [])], f"card_id int, {RING}")
+    offer = spark.createDataFrame([([(55.0, 91.5)],)], RING)
+    got = {r.card_id: r.km for r in spatial.proximity(offer, cards).collect()}
+    assert set(got) == {1, 2, 3} and got[3] == 0.0
+    assert abs(got[1] - km((55.0, 91.5), (55.0, 91.0))) < 1e-5 and abs(got[2] - km((55.0, 91.5), (55.5, 91.5))) < 1e-5
 
 
 def test_layout(spark):
