@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barrow.functions.text import icontains
+from barrow.session import cut
 
 
 @dataclass(frozen=True)
@@ -125,13 +126,52 @@ def filtered(df: DataFrame, register: Register, request: Request) -> DataFrame:
     return df.where(predicate(df, register, request))
 
 
-def respond(df: DataFrame, register: Register, request: Request, key: str) -> DataFrame:
-    """The page of a register query: filtered, ordered, cut, and only then projected."""
-    return page(ordered(filtered(df, register, request), register, request, key), request.start, request.length).select(*register.columns)
+def respond(df: DataFrame, register: Register, request: Request, key: str, once: bool = False) -> DataFrame:
+    """The page of a register query: filtered, ordered, cut, and only then projected.
 
+    once: rows with equal keys are copies of each other and count once; it is the hits that are told apart, so the filter
+    reaches the scan and no other row is shuffled.
+    """
+    hits = filtered(df, register, request)
+    hits = hits.dropDuplicates([key]) if once else hits
+    return page(ordered(hits, register, request, key), request.start, request.length).select(*register.columns)
+
+
+def page_info(total: int, number: int, size: int = 100) -> dict:
+    """LIM-04: the page asked for, brought into range, with has_next, has_previous and total_pages; no rows make one page."""
+    pages = max(1, -(-total // size))
+    number = min(max(1, number), pages)
+    return {"number": number, "start": (number - 1) * size, "length": size, "total_pages": pages, "has_next": number < pages, "has_previous": number > 1}
+
+
+def numbered_pages(df: DataFrame, key: str, size: int = 100) -> DataFrame:
+    """LIM-04 over a whole frame: each row with its page number, the pages there are and whether one follows.
+
+    Rows are numbered by key through range partitions: counts of the partitions are summed, no single task orders all rows.
+    """
+    parted = cut(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()))
+    counted = parted.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.expr("sum(_c) over (order by _part) - _c").alias("_before"), F.expr("sum(_c) over ()").alias("_all"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1 + F.col("_before")
+    numbered = parted.join(counted, "_part").withColumn("page", F.floor(place / size).cast("int") + 1).withColumn("total_pages", F.ceil(F.col("_all") / size).cast("int"))
+    return numbered.withColumn("has_next", F.col("page") < F.col("total_pages")).drop("_part", "_before", "_all")
+
+
+def found(df: DataFrame, key: str, value) -> dict:
+    """SRC-02: the row of a key as a dict; LookupError if there is none. The filter reaches the scan, copies are one row."""
+    row = df.where(F.col(key) == F.lit(value)).limit(1).collect()
+    if not row:
+        raise LookupError(f"no row with {key} = {value}")
+    return row[0].asDict()
 
-def counts(df: DataFrame, register: Register, request: Request) -> DataFrame:
-    """AGG-01: recordsTotal and recordsFiltered in one pass: the filter is counted, not scanned for again."""
+
+def counts(df: DataFrame, register: Register, request: Request, key: str | None = None) -> DataFrame:
+    """AGG-01: recordsTotal and recordsFiltered in one pass: the filter is counted, not scanned for again.
+
+    With a key, rows with equal keys count once; keys alone are shuffled, folded map-side.
+    """
+    if key:
+        df = df.select(key, F.coalesce(predicate(df, register, request), F.lit(False)).alias("_kept")).groupBy(key).agg(F.max("_kept").alias("_kept"))
+        return df.agg(F.count("*").alias("records_total"), F.count_if("_kept").alias("records_filtered"))
     return df.agg(F.count("*").alias("records_total"), F.count_if(predicate(df, register, request)).alias("records_filtered"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,48 +12,80 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Queries and rows that one task multiplies.
-QUERY_BLOCK, ROW_BLOCK = 1000, 20_000
+#: Bytes of query vectors that every task keeps at once; more queries are asked in several passes.
+QUERY_BYTES = 64 << 20
+
+
+def _best_rows(scores: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row of scores the columns of its k greatest, the earlier ones first among equals; nan is none."""
+    scores = np.where(np.isnan(scores), -np.inf, scores)
+    n = scores.shape[1]
+    if n > 4 * k:
+        # The k-th greatest of each row; what ties with it stays, the stable sort decides.
+        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    out = []
+    for r, row in enumerate(scores):
+        at = np.flatnonzero(row >= least[r]) if n > 4 * k else np.arange(n)
+        at = at[np.argsort(-row[at], kind="stable")][:k]
+        out.append(at[row[at] > -np.inf])
+    return out
+
+
+def _unit(rows: list) -> np.ndarray:
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in rows])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
     """RET-02: (query_id, key, score, rank): the k rows most similar by cosine to each of queries(query_id, vector).
 
-    A stated query set against all rows, in blocks: each task multiplies one block of queries with one block of rows and
-    keeps k rows a query, so only k rows per query and block are shuffled again. Scores are rounded to nine places, ties
-    go to the smaller key. Null, empty and zero vectors match nothing, nor do vectors of another length than the query's.
+    The table stays where it is: the queries, of a size that is checked, go to every task, which keeps k rows a query over
+    all its rows; only those are shuffled. Queries of more than QUERY_BYTES are asked in several passes over the table.
+    Scores are rounded to nine places, ties go to the smaller key. Null, empty and zero vectors match nothing, nor do
+    vectors of another length than the query's.
     """
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[key]
-    n_q, n_r = queries.count(), vectors.count()
-    q_blocks, r_blocks = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_r // ROW_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = queries.where(F.size("vector") > 0).select("query_id", "vector", block("query_id", q_blocks).alias("q"), every(r_blocks).alias("r"), F.size("vector").alias("width"))
-    right = vectors.where(F.size(vector) > 0).select(F.col(key).alias("_key"), F.col(vector).alias("_vector"), every(q_blocks).alias("q"), block(key, r_blocks).alias("r"), F.size(vector).alias("width"))
-
-    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "_key": [], "score": []})
-        unit = []
-        for column in (a["vector"], b["_vector"]):
-            m = np.stack(column.map(lambda v: np.asarray(v, dtype=np.float64)))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                unit.append(m / np.linalg.norm(m, axis=1, keepdims=True))
-        scores = np.round(unit[0] @ unit[1].T, 9)
-        keys, asked, found, told = b["_key"].to_numpy(dtype=object), [], [], []
-        for query, row in zip(a["query_id"], scores, strict=True):
-            good = np.flatnonzero(~np.isnan(row))
-            if len(good) > k:  # all that tie with the k-th stay, the final order decides
-                good = good[row[good] >= np.partition(row[good], -k)[-k]]
-                good = good[np.lexsort((keys[good], -row[good]))[:k]]
-            asked += [query] * len(good)
-            found += keys[good].tolist()
-            told += row[good].tolist()
-        return pd.DataFrame({"query_id": pd.Series(asked, dtype=object), "_key": pd.Series(found, dtype=object), "score": told})
-
-    on = ["q", "r", "width"]
-    scored = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(multiply, f"query_id {kinds[0]}, _key {kinds[1]}, score double")
-    return best_of(scored, "query_id", "_key", "score", k).withColumnRenamed("_key", key)
+    asked = queries.where(F.size("vector") > 0).select("query_id", "vector")
+    size = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
+    passes = max(1, -(-8 * size // QUERY_BYTES))
+    table = vectors.where(F.size(vector) > 0).select(F.col(key).alias("_key"), F.col(vector).alias("_vector"))
+    schema = f"query_id {kinds[0]}, _key {kinds[1]}, score double"
+    parts = []
+    for n in range(passes):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n).collect()
+        by_width: dict[int, tuple[list, np.ndarray]] = {}
+        for width in {len(r["vector"]) for r in block}:
+            own = [r for r in block if len(r["vector"]) == width]
+            by_width[width] = [r["query_id"] for r in own], _unit([r["vector"] for r in own])
+        held = vectors.sparkSession.sparkContext.broadcast(by_width)
+        parts.append(table.mapInPandas(_asking(held, k), schema))
+    return best_of(reduce(DataFrame.unionByName, parts), "query_id", "_key", "score", k).withColumnRenamed("_key", key)
+
+
+def _asking(held, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for pdf in batches:
+            lengths = pdf["_vector"].map(len)
+            for width, (ids, unit) in held.value.items():
+                own = pdf[lengths == width].sort_values("_key", kind="stable")
+                if not len(own):
+                    continue
+                keys = own["_key"].to_numpy(dtype=object)
+                scores = np.round(unit @ _unit(own["_vector"].tolist()).T, 9)
+                rows = [(row[at], keys[at]) for row, at in zip(scores, _best_rows(scores, k), strict=True)]
+                if width in best:
+                    for q, ((s0, k0), (s1, k1)) in enumerate(zip(best[width], rows, strict=True)):
+                        s, names = np.concatenate([s0, s1]), np.concatenate([k0, k1])
+                        at = sorted(range(len(s)), key=lambda i: (-s[i], names[i]))[:k]
+                        rows[q] = s[at], names[at]
+                best[width] = rows
+        for width, rows in best.items():
+            ids = held.value[width][0]
+            yield pd.DataFrame({"query_id": pd.Series([i for i, (s, _) in zip(ids, rows, strict=True) for _ in s], dtype=object), "_key": pd.Series([x for _, names in rows for x in names], dtype=object), "score": [x for s, _ in rows for x in s]})
+
+    return run
 
 
 def best_of(scored: DataFrame, group: str, key: str, score: str, k: int) -> DataFrame:

@@ -70,15 +70,16 @@ def _users(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _acts(spark: SparkSession, d: str) -> DataFrame:
-    """Acts that are not being processed, once each, with their users (JOI-01, FLT-01)."""
-    return table(spark, d, "acts").where(~F.coalesce("is_processing", F.lit(False))).dropDuplicates(["id"]).join(_users(spark, d), "user_id")
+    """Acts that are not being processed, with their users (JOI-01, FLT-01). Copies are still there: hits are told apart
+    after the filter, so that it reaches the scan."""
+    return table(spark, d, "acts").where(~F.coalesce("is_processing", F.lit(False))).join(_users(spark, d), "user_id")
 
 
 def _sites(spark: SparkSession, d: str) -> DataFrame:
-    """Registered sites with their cards and the cards' owners, where there are any (JOI-02)."""
+    """Registered sites with their cards and the cards' owners, where there are any (JOI-02); copies of sites are still there."""
     cards = table(spark, d, "object_account_cards").dropDuplicates(["id"]).select(F.col("id").alias("account_card_id"), F.col("user_id").alias("card_user"), F.col("name").alias("card_name"), F.col("address").alias("card_address"), F.col("object_type").alias("card_object_type"), F.col("description").alias("card_description"), F.col("compiler").alias("card_compiler"))
     owners = _users(spark, d).select(F.col("user_id").alias("card_user"), F.col("username").alias("card_owner"))
-    return table(spark, d, "archaeological_heritage_sites").dropDuplicates(["id"]).join(cards, "account_card_id", "left").join(owners, "card_user", "left")
+    return table(spark, d, "archaeological_heritage_sites").join(cards, "account_card_id", "left").join(owners, "card_user", "left")
 
 
 ONE_ACT = """(SELECT DISTINCT ON (a.id) a.*, u.username, u.email, u.is_superuser, strftime(a.date_uploaded AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS uploaded
@@ -93,54 +94,55 @@ FLAGSHIP = Request(search="Гридардева", named={"place": "район"},
 FROM {ONE_ACT} WHERE ({_ANY}) AND contains(lower(place), 'район') ORDER BY finish_date DESC NULLS FIRST, id LIMIT 20 OFFSET 5""")
 def register_search(spark: SparkSession, d: str) -> DataFrame:
     """The whole register query: search, filter, order, page (FLT-02, 04, JOI-01, SRT-01, LIM-01)."""
-    return respond(_acts(spark, d), ACTS, FLAGSHIP, "id")
+    return respond(_acts(spark, d), ACTS, FLAGSHIP, "id", once=True)
 
 
 @query(f"SELECT id, username FROM {ONE_ACT} WHERE {_ANY}")
 def register_global_search(spark: SparkSession, d: str) -> DataFrame:
-    return register.global_search(_acts(spark, d), ACTS.searchable, "Гридардева").select("id", "username")
+    return register.global_search(_acts(spark, d), ACTS.searchable, "Гридардева").select("id", "username").distinct()
 
 
 @query(f"SELECT id, place, expert FROM {ONE_ACT} WHERE contains(lower(place), 'верхнесойский') AND contains(lower(expert), 'прок')")
 def register_column_search(spark: SparkSession, d: str) -> DataFrame:
-    return register.column_search(_acts(spark, d), ACTS, {"5": "верхнесойский", "8": "ПРОК", "x": "никто", "99": "никто"}).select("id", "place", "expert")
+    return register.column_search(_acts(spark, d), ACTS, {"5": "верхнесойский", "8": "ПРОК", "x": "никто", "99": "никто"}).select("id", "place", "expert").distinct()
 
 
 @query(f"SELECT id, doc_name, card_owner FROM {ONE_SITE} WHERE contains(lower(doc_name), 'о') AND contains(lower(card_owner), 'user00') AND contains(lower(card_address), 'район')")
 def register_named_filters(spark: SparkSession, d: str) -> DataFrame:
     """Named filters on the register's own and the joined card's columns (FLT-04, JOI-02, JOI-03)."""
-    return register.named_filters(_sites(spark, d), SITES, {"name": "О", "owner": "user00", "address": "район", "unknown": "x", "document": ""}).select("id", "doc_name", "card_owner")
+    return register.named_filters(_sites(spark, d), SITES, {"name": "О", "owner": "user00", "address": "район", "unknown": "x", "document": ""}).select("id", "doc_name", "card_owner").distinct()
 
 
 @query(f"SELECT id, is_public, user_id FROM {ONE_ACT} WHERE coalesce(is_public, false) OR user_id = 5")
 def register_visibility(spark: SparkSession, d: str) -> DataFrame:
-    return register.visible_any(_acts(spark, d), 5).select("id", "is_public", "user_id")
+    return register.visible_any(_acts(spark, d), 5).select("id", "is_public", "user_id").distinct()
 
 
 @query(f"SELECT id FROM {ONE_ACT} WHERE NOT coalesce(is_public, false) AND user_id = 5")
 def register_private(spark: SparkSession, d: str) -> DataFrame:
-    return register.visible(_acts(spark, d), "private", 5).select("id")
+    return register.visible(_acts(spark, d), "private", 5).select("id").distinct()
 
 
 @query(f"SELECT id, register_num FROM {ONE_SITE} WHERE account_card_id IS NOT NULL AND NOT coalesce(is_excluded, false)")
 def register_fk_null(spark: SparkSession, d: str) -> DataFrame:
     """FLT-06, FLT-07."""
-    return register.without_excluded(register.with_card(_sites(spark, d), "available"), show_excluded=False).select("id", "register_num")
+    return register.without_excluded(register.with_card(_sites(spark, d), "available"), show_excluded=False).select("id", "register_num").distinct()
 
 
 @query(f"SELECT id, doc_name FROM {ONE_SITE} ORDER BY doc_name ASC NULLS LAST, id LIMIT 50 OFFSET 100")
 def register_page(spark: SparkSession, d: str) -> DataFrame:
-    return register.page(register.ordered(_sites(spark, d), SITES, Request(order="doc_name"), "id"), 100, 50).select("id", "doc_name")
+    return register.page(register.ordered(_sites(spark, d).select("id", "doc_name").distinct(), SITES, Request(order="doc_name"), "id"), 100, 50)
 
 
 @query(f"SELECT count(*) AS records_total, count(*) FILTER (WHERE {_ANY}) AS records_filtered FROM {ONE_ACT}")
 def register_counts(spark: SparkSession, d: str) -> DataFrame:
-    return register.counts(_acts(spark, d), ACTS, Request(search="Гридардева"))
+    return register.counts(_acts(spark, d), ACTS, Request(search="Гридардева"), "id")
 
 
 @query(f"""SELECT coalesce(year, '') AS "Год", coalesce(place, '') AS "Место", CASE WHEN is_public THEN 'Да' WHEN NOT is_public THEN 'Нет' ELSE '' END AS "Открыт", coalesce(uploaded, '') AS "Загружен" FROM {ONE_ACT}""")
 def register_cells(spark: SparkSession, d: str) -> DataFrame:
-    return register.cells(_acts(spark, d), {"Год": "year", "Место": "place", "Открыт": "is_public", "Загружен": "date_uploaded"})
+    acts = _acts(spark, d).select("id", "year", "place", "is_public", "date_uploaded").distinct()
+    return register.cells(acts, {"Год": "year", "Место": "place", "Открыт": "is_public", "Загружен": "date_uploaded"})
 
 
 @query("SELECT type AS kind, count(*) AS n FROM (SELECT DISTINCT * FROM acts) WHERE type IS NULL OR type NOT IN ('ГИКЭ', 'гикэ') GROUP BY type")
@@ -636,7 +638,7 @@ def taken_values(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT id, username FROM {ONE_ACT} a WHERE user_id = 5 OR (SELECT is_superuser FROM users WHERE id = 5)")
 def owned_rows(spark: SparkSession, d: str) -> DataFrame:
     """FLT-21."""
-    return predicates.owned(_acts(spark, d).drop("is_superuser"), table(spark, d, "users"), 5).select("id", "username")
+    return predicates.owned(_acts(spark, d).drop("is_superuser"), table(spark, d, "users"), 5).select("id", "username").distinct()
 
 
 @query(f"SELECT id, grp, point_name FROM {POINTS} WHERE id || '-' || point_name IN (SELECT DISTINCT id || '-1' FROM object_account_cards WHERE id % 3 = 0)")
