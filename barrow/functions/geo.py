@@ -81,6 +81,13 @@ def crosses(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column,
     return (_turn(*a, *c, *d) != _turn(*b, *c, *d)) & (_turn(*a, *b, *c) != _turn(*a, *b, *d))
 
 
+def uncrossed(ring: Column) -> Column:
+    """GEO-12: a ring array<struct<lat,lon>> of four points whose opposite sides cross, with its last two points swapped."""
+    p = [(F.get(ring, F.lit(k))["lat"], F.get(ring, F.lit(k))["lon"]) for k in range(4)]
+    bad = crosses(p[0], p[1], p[2], p[3]) | crosses(p[1], p[2], p[3], p[0])
+    return F.when((F.size(ring) == 4) & bad, F.concat(F.slice(ring, 1, 2), F.slice(ring, 4, 1), F.slice(ring, 3, 1))).otherwise(ring)
+
+
 def inside(ring: Column, lat: Column, lon: Column) -> Column:
     """Whether a point lies in a polygon array<struct<lat,lon>>, by crossing number; fewer than three points hold nothing."""
     shifted = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
@@ -221,3 +228,19 @@ def projected(lat: Column, lon: Column, system: Column) -> Column:
         return out
 
     return project(lat, lon, system)
+
+
+def unprojected(x: Column, y: Column, system: Column) -> Column:
+    """struct<lat,lon> of a point of a regional system (GEO-04, the way back); null for unknown systems."""
+
+    @F.pandas_udf("lat double, lon double")
+    def back(a: pd.Series, b: pd.Series, s: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"lat": np.full(len(a), np.nan), "lon": np.full(len(a), np.nan)})
+        for name in s.dropna().unique():
+            if name in ZONES:
+                at = (s == name).to_numpy()
+                lat, lon = from_zone(a[at].to_numpy(dtype="float64"), b[at].to_numpy(dtype="float64"), name)
+                out.loc[at, "lat"], out.loc[at, "lon"] = lat, lon
+        return out
+
+    return back(x, y, system)

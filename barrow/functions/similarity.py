@@ -65,3 +65,35 @@ def best_keyword(text: Column, keywords: dict[str, list[str]], thresholds: tuple
         return texts.map(one)
 
     return pick(text)
+
+
+#: Kinds of work on a permit, and words a good reading of one has.
+WORK_KINDS = ("раскопки", "разведки", "наблюдения")
+PERMIT_WORDS = ("участке", "территории", "объект", "Красноярского", "края", "археологического", "строительство")
+
+
+def work_kind(text: Column, kinds: tuple[str, ...] = WORK_KINDS) -> Column:
+    """MAT-18: the kind whose name is nearest to any stretch of the text, the first of equals; null for null and empty texts."""
+
+    @F.pandas_udf("string")
+    def pick(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: max(kinds, key=lambda k: partial(k, t)) if t else None)
+
+    return pick(text)
+
+
+def better_reading(a: Column, b: Column, words: tuple[str, ...] = PERMIT_WORDS, long_enough: int = 45) -> Column:
+    """MAT-20: of two readings the one that alone is long enough, else the one in which the words are found better, the second
+    if equal; null counts as empty."""
+
+    @F.pandas_udf("string")
+    def pick(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for s, t in zip(x.fillna(""), y.fillna(""), strict=True):
+            if (len(s) >= long_enough) != (len(t) >= long_enough):
+                out.append(s if len(s) >= long_enough else t)
+            else:
+                out.append(s if sum(partial(w, s) for w in words) > sum(partial(w, t) for w in words) else t)
+        return pd.Series(out, dtype=object)
+
+    return pick(a, b)

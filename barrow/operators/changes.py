@@ -47,3 +47,21 @@ def inserted(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     top = df.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
     numbered = rows.drop(key).withColumn("_n", F.monotonically_increasing_id()).join(F.broadcast(top), F.lit(True)).withColumn(key, (F.col("_top") + F.col("_n") + 1).cast("long")).drop("_n", "_top")
     return df.unionByName(numbered, allowMissingColumns=True)
+
+
+def appended(rows: DataFrame, key: str, column: str, additions: DataFrame) -> DataFrame:
+    """DML-06: rows with the elements of additions(key, element) appended to a JSON list column, in their order.
+
+    Elements are JSON objects as strings; a null or malformed list counts as empty; rows without additions stay as they are.
+    """
+    more = additions.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list("element")).alias("_more"))
+    held = F.coalesce(F.from_json(column, "array<string>"), F.array().cast("array<string>"))
+    text = F.concat(F.lit("["), F.array_join(F.concat(held, "_more"), ", "), F.lit("]"))
+    joined = rows.join(more, rows[key] == more["_key"], "left")
+    return joined.withColumn(column, F.when(F.col("_more").isNotNull(), text).otherwise(F.col(column))).drop("_key", "_more")
+
+
+def merged(earlier: Column, later: Column) -> Column:
+    """SET-06: two maps as one, the later's values winning; a null map counts as empty if the other is none."""
+    kept = F.map_filter(earlier, lambda k, _: ~F.map_contains_key(later, k))
+    return F.when(earlier.isNull(), later).when(later.isNull(), earlier).otherwise(F.map_concat(kept, later))

@@ -197,3 +197,71 @@ def act_parts(name: Column) -> dict[str, Column]:
         "act_number": F.regexp_extract(name, r"№\s*(\d+[-/]\d+)", 1),
         "act_object": F.trim(F.regexp_extract(name, r"«(.+)»", 1)),
     }
+
+
+def report_title(page: Column) -> dict[str, Column]:
+    """STR-17: fields of a report's title page as running text: title, town, author, permit, organisation, year, area; '' where missing."""
+    got = lambda pattern, k=1: F.trim(F.regexp_replace(F.regexp_extract(page, pattern, k), r"\s+", " "))
+    initials = r"(\p{Lu}\p{Ll}+\s+\p{Lu}\.\s*\p{Lu}\.|\p{Lu}\.\s*\p{Lu}\.\s+\p{Lu}\p{Ll}+)"
+    return {
+        "title": got(r"(?iu)(научный\s+отч[её]т[\s\S]*?\d{4}\s*г(?:\.|ода?)?)"),
+        "town": got(r"(?u)\bг\.\s*(\p{Lu}[\p{L}-]+)"),
+        "author": got(r"(?u)(?:[Вв]ыполнил|[Аа]втор):\s+" + initials),
+        "permit": got(r"(?iu)открыт\p{L}*\s+лист\p{L}*\s*№\s*(\d+(?:-\d+)*)"),
+        "organization": got(r"(?iu)((?:общество\s+с\s+ограниченной\s+ответственностью|ООО)\s*[«\"][^»\"]+[»\"])"),
+        "written": got(r"(?u)\p{Lu}\p{Ll}+,?\s+(\d{4})\s*$"),
+        "area": got(r"(?iu)площад\p{L}*[^\d]{0,80}?(\d+(?:[.,]\d+)?\s*(?:кв\.\s*м|м2|га))"),
+    }
+
+
+def object_sizes(text: Column) -> dict[str, Column]:
+    """STR-13: total area, length and linear area of an object, and the areas in reserve: those in square metres or without a
+    unit, taken where nothing better is found. null where missing."""
+    number = r"(\d+(?: \d{3})*(?:,\d+)?\s+"
+    found = lambda pattern: F.nullif(F.regexp_extract(text, "(?isu)" + pattern, 1), F.lit(""))
+    return {
+        "total": found(r"площад[\pL]*[^\d]{0,80}?" + number + "га)"),
+        "length": found(r"протяж[\pL]*[^\d]{0,80}?" + number + r"\pL+)"),
+        "linear": found(r"площ\pL+\s+лин[^\d]{0,80}?" + number + r"\pL+)"),
+        "reserve": F.regexp_extract_all(text, F.lit(r"(?isu)площад[\pL]*[^\d]{0,80}?" + number + r"кв\. м)"), F.lit(1)),
+    }
+
+
+def act_fields(sections_: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """STR-14: (doc, place, customer, experts, kind, permit) of acts from their sections(doc, section, body); '' where missing.
+
+    Place and customer lose the dashes and colons of their heading; experts are all full names or names with initials, in
+    order; kind is ЗУ, НПД or Док-я by what the object's section speaks of.
+    """
+    body = lambda name: F.coalesce(F.max(F.when(F.col("section") == name, F.col("body"))), F.lit(""))
+    held = sections_.groupBy(doc).agg(*[body(n).alias(n) for n in ("place", "customer", "expert", "object", "documents")])
+    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "[–:]", ""), r"\s+", " "))
+    names = F.regexp_extract_all("expert", F.lit(r"(?u)(\p{Lu}\p{Ll}+\s+(?:\p{Lu}\p{Ll}+\s+\p{Lu}\p{Ll}+|\p{Lu}\.\s*\p{Lu}\.))"), F.lit(1))
+    low = F.lower("object")
+    kind = F.when(F.contains(low, F.lit("земельн")) | F.contains(low, F.lit("участ")), "ЗУ").when(F.contains(low, F.lit("раздел")) | F.contains(low, F.lit("нпд")), "НПД").when(F.contains(low, F.lit("документац")), "Док-я").otherwise("")
+    return held.select(doc, clean(F.col("place")).alias("place"), clean(F.col("customer")).alias("customer"), F.array_join(F.array_distinct(names), ";\n").alias("experts"), kind.alias("kind"), F.regexp_extract("documents", r"(?iu)открыт\p{L}*\s+лист\p{L}*\s*№\s*(\d+(?:-\d+)*)", 1).alias("permit"))
+
+
+def by_contents(text: str | None) -> list[tuple[str, str]]:
+    """STR-18: (title, body) of a report split again by its own table of contents; titles that do not come back are left out."""
+    entries = contents(text)
+    if not entries:
+        return []
+    after = max(m.end() for m in re.finditer(r"^.*?\w.*?[ .…_]{3,}\d{1,4}\s*$", text, re.M))
+    low, at, places = text.lower(), after, []
+    for title, _ in entries:
+        m = re.compile(r"^[\d. ]*" + r"\s+".join(map(re.escape, re.sub(r"^[\d. ]+", "", title).lower().split())), re.M).search(low, at)
+        if m:
+            places.append((title, m.start(), m.end()))
+            at = m.end()
+    return [(title, text[end : places[k + 1][1] if k + 1 < len(places) else len(text)].strip()) for k, (title, _, end) in enumerate(places)]
+
+
+def split_by_contents(reports: DataFrame, key: str, text: str) -> DataFrame:
+    """STR-18 over a column: (key, pos, title, body); null texts and those without a table of contents have none."""
+
+    @F.pandas_udf("array<struct<title:string,body:string>>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"title": a, "body": b} for a, b in by_contents(t)])
+
+    return reports.select(F.col(key), F.posexplode(split(F.coalesce(text, F.lit("")))).alias("pos", "_s")).select(key, "pos", "_s.title", "_s.body")

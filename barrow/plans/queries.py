@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barrow.functions import geo, similarity, text
-from barrow.operators import changes, extraction, layout, matching, predicates, register, retrieval, snapshots, spatial
+from barrow.operators import catalog, changes, extraction, grids, layout, matching, predicates, register, retrieval, snapshots, spatial
 from barrow.operators.register import Register, Request, respond
 from barrow.session import table
 from barrow.sources import files as sources
@@ -182,11 +182,14 @@ def coalesce_precedence_join(spark: SparkSession, d: str) -> DataFrame:
     return cards.join(first("identified_archaeological_heritage_sites", "identified"), "id", "left").join(first("archaeological_heritage_sites", "site"), "id", "left").select("id", F.coalesce("identified", "site").alias("owner"))
 
 
-@query("""SELECT c.id AS card_id, min(s.id) AS site_id FROM object_account_cards c JOIN archaeological_heritage_sites s ON c.name = s.doc_name GROUP BY c.id""")
+@query("""WITH o AS (SELECT DISTINCT doc_name AS name FROM heritage_site_snapshots WHERE doc_name IS NOT NULL UNION SELECT name FROM identified_archaeological_heritage_sites WHERE name IS NOT NULL),
+i AS (SELECT name, min(id) AS i FROM identified_archaeological_heritage_sites GROUP BY name), r AS (SELECT doc_name AS name, min(id) AS r FROM archaeological_heritage_sites GROUP BY 1)
+SELECT o.name, CASE WHEN i IS NOT NULL THEN 'identified' ELSE 'registered' END AS owner_kind, coalesce(i, r) AS owner_id FROM o LEFT JOIN i USING (name) LEFT JOIN r USING (name) WHERE coalesce(i, r) IS NOT NULL""")
 def exact_name_link(spark: SparkSession, d: str) -> DataFrame:
-    """JOI-07: cards and sites of equal names, the first site of each."""
-    sites = table(spark, d, "archaeological_heritage_sites").where("doc_name is not null").groupBy(F.col("doc_name").alias("name")).agg(F.min("id").alias("site_id"))
-    return table(spark, d, "object_account_cards").select(F.col("id").alias("card_id"), "name").join(sites, "name").groupBy("card_id").agg(F.min("site_id").alias("site_id"))
+    """JOI-07: every name in the deliveries and lists with the site of exactly that name, identified sites first."""
+    identified, registered = table(spark, d, "identified_archaeological_heritage_sites").select("name", "id"), table(spark, d, "archaeological_heritage_sites").select(F.col("doc_name").alias("name"), "id")
+    objects = table(spark, d, "heritage_site_snapshots").select(F.col("doc_name").alias("name")).unionByName(identified.select("name"))
+    return catalog.owners_by_name(objects, identified, registered)
 
 
 @query("""WITH f AS (SELECT a.id, regexp_replace(json_extract_string(e.value, '$.path'), '/[^/]*$', '') AS dir FROM (SELECT id, source FROM acts UNION ALL SELECT id, source FROM scientific_reports) a, json_each(a.source) e)
@@ -391,7 +394,7 @@ def status_cascade(spark: SparkSession, d: str) -> DataFrame:
     return sources.status_cascade(items, known, ["Впервые сведения", "The inventory lists"], "2012-01-01", "2022-12-31").select("doc_id", "file_name", "reason", "status")
 
 
-@query()
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'скачан') AS downloaded, count(*) FILTER (WHERE status = 'пропущен') AS skipped, count(*) FILTER (WHERE status = 'в очереди на скачивание') AS queued, count(*) FILTER (WHERE status = 'ошибка') AS failed FROM ({SQL['status_cascade']})")
 def crawl_report(spark: SparkSession, d: str) -> DataFrame:
     """AGG-03 over the cascade."""
     return sinks.status_counts(status_cascade(spark, d))
@@ -683,12 +686,13 @@ def tick_cells(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", predicates.tick_cell(x, y, F.lit(50.0), F.lit(90.0), 2, 9).alias("cell"))
 
 
-@query("""SELECT DISTINCT id, 'act' AS report_type, json_extract_string(source, '$[0].origin_filename') AS shown FROM acts WHERE NOT coalesce(is_processing, false)
-UNION ALL SELECT DISTINCT id, 'report', json_extract_string(source, '$[0].origin_filename') FROM scientific_reports WHERE NOT coalesce(is_processing, false)""")
+@query("""SELECT DISTINCT 'act' AS report_type, id, coalesce(json_extract_string(source, '$[0].origin_filename'), 'Акт №' || id) AS shown FROM acts WHERE NOT coalesce(is_processing, false)
+UNION ALL SELECT DISTINCT 'report', id, coalesce(json_extract_string(source, '$[0].origin_filename'), 'Отчёт №' || id) FROM scientific_reports WHERE NOT coalesce(is_processing, false)
+UNION ALL SELECT DISTINCT 'card', id, 'Карта №' || id FROM object_account_cards WHERE NOT coalesce(is_processing, false)""")
 def reports_on_map(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ-06: all finished reports, tagged."""
-    one = lambda name, label: table(spark, d, name).where(~F.coalesce("is_processing", F.lit(False))).select("id", F.lit(label).alias("report_type"), F.get_json_object("source", "$[0].origin_filename").alias("shown")).distinct()
-    return one("acts", "act").unionByName(one("scientific_reports", "report"))
+    """PRJ-05, PRJ-06: all finished reports of three kinds, tagged and named."""
+    kinds = {"act": ("acts", "Акт"), "report": ("scientific_reports", "Отчёт"), "card": ("object_account_cards", "Карта")}
+    return catalog.map_of_reports({kind: (table(spark, d, name), called) for kind, (name, called) in kinds.items()})
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '№\\s*\\d+')) AS citations, contains(text, chr(10) || chr(10)) AS parted, length(regexp_replace(text, chr(10) || '{2,}', chr(10), 'g')) AS n FROM documents")
@@ -722,3 +726,203 @@ def keyword_sections(spark: SparkSession, d: str) -> DataFrame:
     """MAT-17: the section a card's text belongs to by its best keyword."""
     keywords = {"finds": ["находки", "инвентарь"], "layer": ["слой", "суглинок"], "state": ["состояние", "повреждений"]}
     return table(spark, d, "object_account_cards").dropDuplicates(["id"]).select("id", similarity.best_keyword(F.col("description"), keywords).alias("section"))
+
+
+# --- entities, grids, round trips -------------------------------------------------------------------------------------
+
+
+def _cards(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "object_account_cards")
+
+
+@query("""SELECT DISTINCT c.id, c.name FROM object_account_cards c LEFT JOIN users u ON c.user_id = u.id WHERE contains(lower(c.name), 'го') AND contains(lower(c.address), 'район') AND contains(lower(u.username), 'user00') AND coalesce(c.is_public, false)""")
+def card_named_filters(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-04, FLT-05 on the register of cards."""
+    cards = _cards(spark, d).join(_users(spark, d), "user_id", "left")
+    return catalog.named(cards, {"name": "ГО", "address": "район", "owner": "user00", "storage_type": "public", "unknown": "x", "usage": ""}).select("id", "name").distinct()
+
+
+@query("SELECT DISTINCT id, name, author FROM scientific_reports WHERE contains(lower(author), 'ов') AND contains(lower(organization), 'о') AND NOT coalesce(is_public, false) AND user_id IN (SELECT min(user_id) FROM (SELECT user_id, count(*) AS n FROM scientific_reports GROUP BY user_id QUALIFY rank() OVER (ORDER BY n DESC) = 1))")
+def report_named_filters(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-04, FLT-05 on the register of scientific reports: the private storage of the user with most reports."""
+    reports = table(spark, d, "scientific_reports")
+    most = reports.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.max_by("user_id", F.struct("n", -F.col("user_id")))).first()[0]
+    return catalog.named(reports, {"author": "ов", "organization": "О", "storage_type": "private"}, user_id=most).select("id", "name", "author").distinct()
+
+
+@query("SELECT DISTINCT id, register_num FROM archaeological_heritage_sites WHERE contains(lower(district), 'район') AND account_card_id IS NULL AND NOT coalesce(is_excluded, false)")
+def site_named_filters(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-04, FLT-06, FLT-07 on the register of sites."""
+    return catalog.named(table(spark, d, "archaeological_heritage_sites"), {"district": "РАЙОН", "account_card_filter": "not_available", "show_excluded": False}).select("id", "register_num").distinct()
+
+
+@query("SELECT DISTINCT id, account_card_id AS account_card, strftime(date_uploaded AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS date_uploaded, name, address, obj_info, document, is_excluded FROM identified_archaeological_heritage_sites")
+def entity_shape(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-03: identified sites as they are served."""
+    return catalog.shape(table(spark, d, "identified_archaeological_heritage_sites"), "identified_site").withColumn("date_uploaded", F.date_format("date_uploaded", "yyyy-MM-dd HH:mm:ss")).distinct()
+
+
+@query("SELECT event_id AS id, e.event_type AS chat, cast(e.user_id AS varchar) AS sender, u.username AS sender_name, e.event_type AS content FROM events e LEFT JOIN users u ON u.id = e.user_id")
+def message_senders(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-09: events as messages, the sender as stored beside the user's name."""
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("chat"), F.col("user_id").alias("sender"), F.col("event_type").alias("content"), F.col("ts").alias("sent_at"))
+    return catalog.messages(rows, table(spark, d, "users")).drop("sent_at")
+
+
+@query(f"""WITH f AS (SELECT DISTINCT id, path, regexp_replace(path, '/[^/]*$', '') AS dir FROM {FILES} WHERE path IS NOT NULL AND contains(path, '/'))
+SELECT a.path, min(b.id) AS id FROM (SELECT DISTINCT path, dir FROM f) a JOIN f b ON a.dir = b.dir GROUP BY a.path""")
+def card_of_folder(spark: SparkSession, d: str) -> DataFrame:
+    """JOI-08: each file with the first act that has a file in its folder."""
+    files = matching.files_of(table(spark, d, "acts"), "id").where(F.contains("path", F.lit("/")))
+    return catalog.card_of_folder(files, files)
+
+
+@query("SELECT DISTINCT id, CASE WHEN id % 5 = 0 THEN coalesce(json_array_length(source), 0) + 2 ELSE json_array_length(source) END AS files, CASE WHEN id % 5 = 0 THEN 'b' ELSE json_extract_string(source, '$[' || (json_array_length(source) - 1) || '].path') END AS last_path FROM acts")
+def appended_files(spark: SparkSession, d: str) -> DataFrame:
+    """DML-06: two files appended to the list of every fifth act."""
+    acts = table(spark, d, "acts").select("id", "source").distinct()
+    more = acts.where("id % 5 = 0").select("id", F.explode(F.array(F.lit('{"path": "a"}'), F.lit('{"path": "b"}'))).alias("element")).distinct()
+    out = changes.appended(acts, "id", "source", more)
+    files = F.from_json("source", "array<struct<path:string>>")
+    return out.select("id", F.json_array_length("source").cast("long").alias("files"), F.element_at(files, -1)["path"].alias("last_path"))
+
+
+@query("SELECT user_id, list_sort([e.key || '=' || e.value FOR e IN map_entries(m)]) AS merged FROM (SELECT user_id, map_from_entries(list((event_type, n))) AS m FROM (SELECT user_id, event_type, CASE WHEN event_type = 'click' THEN -1 ELSE count(*) END AS n FROM events GROUP BY user_id, event_type) GROUP BY user_id)")
+def merged_maps(spark: SparkSession, d: str) -> DataFrame:
+    """SET-06: each user's counts by type, the later map's clicks winning."""
+    counted = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    one = lambda df, c: df.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias(c))
+    both = one(counted, "a").join(one(counted.where("event_type = 'click'").withColumn("n", F.lit(-1).cast("long")), "b"), "user_id", "left")
+    entries = F.transform(F.map_entries(changes.merged(F.col("a"), F.col("b"))), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return both.select("user_id", F.sort_array(entries).alias("merged"))
+
+
+@query(f"""WITH c AS (SELECT id, row_number() OVER (PARTITION BY id, grp ORDER BY cast(point_name AS int)) AS k, id || grp AS g, lat, lon FROM {POINTS}), q AS (SELECT g, max(lat) FILTER (k = 1) AS a1, max(lon) FILTER (k = 1) AS b1, max(lat) FILTER (k = 2) AS a2, max(lon) FILTER (k = 2) AS b2, max(lat) FILTER (k = 3) AS a3, max(lon) FILTER (k = 3) AS b3, max(lat) FILTER (k = 4) AS a4, max(lon) FILTER (k = 4) AS b4 FROM c GROUP BY g HAVING max(k) >= 4),
+t AS (SELECT *, {_turned(('a1', 'b1'), ('a3', 'b3'), ('a4', 'b4'))} <> {_turned(('a2', 'b2'), ('a3', 'b3'), ('a4', 'b4'))} AND {_turned(('a1', 'b1'), ('a2', 'b2'), ('a3', 'b3'))} <> {_turned(('a1', 'b1'), ('a2', 'b2'), ('a4', 'b4'))} AS p, {_turned(('a2', 'b2'), ('a4', 'b4'), ('a1', 'b1'))} <> {_turned(('a3', 'b3'), ('a4', 'b4'), ('a1', 'b1'))} AND {_turned(('a2', 'b2'), ('a3', 'b3'), ('a4', 'b4'))} <> {_turned(('a2', 'b2'), ('a3', 'b3'), ('a1', 'b1'))} AS q FROM q)
+SELECT g, CASE WHEN p OR q THEN a4 ELSE a3 END AS third, CASE WHEN p OR q THEN a3 ELSE a4 END AS fourth FROM t""")
+def uncrossed_rings(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-12: the first four points of each ring, opposite sides uncrossed."""
+    rings = register.rings(_points(spark, d), "id").where(F.size("ring") >= 4)
+    done = rings.select(F.concat(F.col("id").cast("string"), "grp").alias("g"), geo.uncrossed(F.slice("ring", 1, 4)).alias("r"))
+    return done.select("g", F.col("r")[2]["lat"].alias("third"), F.col("r")[3]["lat"].alias("fourth"))
+
+
+@query(f"SELECT id, point_name, zone, round(lat, 7) AS lat, round(lon, 7) AS lon FROM (SELECT *, CASE WHEN lat BETWEEN 50 AND 60 AND lon >= 76.5 AND lon < 106.5 THEN 'мск' || cast(floor((lon - 76.5) / 3) + 162 AS int) WHEN lon >= 78 AND lon < 114 THEN 'мск24зона' || cast(floor((lon - 78) / 6) + 1 AS int) ELSE 'wgs84' END AS zone FROM {POINTS}) WHERE zone <> 'wgs84'")
+def regional_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-04, GEO-05: points to metres of their regional system and back."""
+    placed = _points(spark, d).withColumn("zone", geo.zone(F.col("lat"), F.col("lon"))).where("zone <> 'wgs84'").withColumn("p", geo.projected(F.col("lat"), F.col("lon"), F.col("zone")))
+    back = placed.withColumn("w", geo.unprojected(F.col("p.x"), F.col("p.y"), F.col("zone")))
+    return back.select("id", "point_name", "zone", F.round("w.lat", 7).alias("lat"), F.round("w.lon", 7).alias("lon"))
+
+
+@query(f"""SELECT id, grp, count(*) - 1 AS edges, true AS near FROM {POINTS} GROUP BY id, grp HAVING count(*) > 1""")
+def geodesic_against_sphere(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-14: edges on the ellipsoid are within six thousandths of those on the sphere."""
+    w = Window.partitionBy("id", "grp").orderBy("pos")
+    edges = _points(spark, d).select("id", "grp", "lat", "lon", F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2")).where("lat2 is not null")
+    at = [F.col(c) for c in ("lat", "lon", "lat2", "lon2")]
+    near = F.abs(geo.geodesic(*at) - geo.haversine(*at)) <= 0.006 * geo.haversine(*at) + 1e-9
+    return edges.withColumn("near", near).groupBy("id", "grp").agg(F.count("*").alias("edges"), F.bool_and("near").alias("near"))
+
+
+@query(f"""WITH p AS (SELECT *, CASE WHEN contains(grp, 'фотофиксации') THEN 'photos' WHEN contains(grp, 'Каталог') THEN 'catalog' WHEN contains(grp, 'Шурфы') THEN 'pits' WHEN contains(grp, 'Центр') THEN 'center' END AS style FROM {POINTS})
+SELECT id, 'Point' AS kind, point_name AS name, round(lat, 7) AS lat, round(lon, 7) AS lon FROM p WHERE style IS NOT NULL
+UNION ALL SELECT id, 'Polygon', 'Полигон', round(lat, 7), round(lon, 7) FROM p WHERE style = 'catalog'""")
+def kml_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-03, SRC-11, SRC-12: the cards as KML with styles and closed rings, read again."""
+    drawn = kml.kml_text(_points(spark, d).withColumn("style", register.group_style(F.col("grp"))), "id")
+    marks = kml.placemarks_of(drawn, "id", "kml").select("id", "kind", "name", F.explode("coords").alias("c"), F.size("coords").alias("n"))
+    return marks.select("id", "kind", "name", F.round("c.lat", 7).alias("lat"), F.round("c.lon", 7).alias("lon"))
+
+
+@query(f"SELECT CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, count(*) AS marks, count(DISTINCT id) AS folders FROM {POINTS} WHERE contains(grp, 'Каталог') GROUP BY 1")
+def kml_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-04: all cards' catalogues in one document for each kind, a folder for each card; counted."""
+    points = _points(spark, d).where(F.contains("grp", F.lit("Каталог"))).withColumn("style", F.lit("catalog")).withColumn("kind", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
+    told = kml.kml_of_all(points, "kind", "id")
+    count = lambda pattern: F.size(F.regexp_extract_all("kml", F.lit(pattern), F.lit(0))).cast("long")
+    return told.select("kind", count("<Point>").alias("marks"), count(r"<Folder><name>\d+</name>").alias("folders"))
+
+
+@query(f"SELECT id, 'Каталог координат [' || grp || ']' AS grp, 'wgs84' AS system, point_name, round(lat, 7) AS lat, round(lon, 7) AS lon FROM {POINTS}")
+def grid_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-07, GEO-08, SRC-08: the cards' points as a sheet with a title, blank rows and a part named once, read again."""
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("pos", "point_name", "lat", "lon"))), lambda p: F.array(F.lit(""), p["point_name"], F.replace(F.format_number(p["lat"], 7), F.lit("."), F.lit(",")), F.replace(F.format_number(p["lon"], 7), F.lit("."), F.lit(","))))
+    held = _points(spark, d).groupBy("id", "grp").agg(rows.alias("rows"))
+    first = F.transform("rows", lambda r, k: F.when(k == 0, F.concat(F.array("grp"), F.slice(r, 2, 3))).otherwise(r))
+    head = F.array(F.array(F.lit("Участок"), F.lit("№"), F.lit("Северная широта"), F.lit("Восточная долгота")))
+    blank = F.array(F.array(F.lit("Каталог"), F.lit(""), F.lit(""), F.lit("")), F.array(*[F.lit("")] * 4))
+    sheets = held.select("id", "grp", F.concat(blank, head, first, blank).alias("cells")).withColumn("key", F.concat_ws("|", F.col("id").cast("string"), "grp"))
+    tables = grids.sheet_tables(sheets, "key").withColumn("systems", F.lit("WGS-84"))
+    return grids.table_points(tables, "key").select(F.split("key", r"\|")[0].cast("long").alias("id"), "grp", "system", "point_name", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+
+
+@query(f"SELECT id, CASE WHEN k = 1 THEN 'Каталог координат' ELSE 'Шурфы' END AS grp, n AS point_no, round(lat, 7) AS lat, round(lon, 7) AS lon FROM (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY grp, pos) AS n FROM (SELECT *, cast(point_name AS int) AS pos, CASE WHEN cast(point_name AS int) % 2 = 1 THEN 1 ELSE 2 END AS k FROM {POINTS}))")
+def text_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-10, GEO-02: the cards' points written into a page in degrees, minutes and seconds under two headings, read again."""
+
+    def dms(v):
+        whole = F.floor(F.round(v * 3600, 5) / 60)
+        return F.concat(F.floor(whole / 60).cast("string"), F.lit("°"), (whole % 60).cast("string"), F.lit("'"), F.format_number(F.round(F.round(v * 3600, 5) - whole * 60, 5), 5), F.lit('"'))
+
+    line = lambda p: F.concat(F.lit("точка N "), dms(p["lat"]), F.lit(" E "), dms(p["lon"]))
+    points = F.sort_array(F.collect_list(F.struct("grp", "pos", "lat", "lon", "point_name")))
+    odd = lambda p: p["point_name"].cast("int") % 2 == 1
+    lines = lambda keep: F.array_join(F.transform(F.filter("p", keep), line), "\n")
+    pages = _points(spark, d).groupBy("id").agg(points.alias("p")).select("id", F.concat(F.lit("Каталог координат поворотных точек\n"), lines(odd), F.lit("\nСведения о шурфах\n"), lines(lambda p: ~odd(p))).alias("text"))
+    return grids.text_points(pages, "id").select("id", "grp", "point_no", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+
+
+@query(r"SELECT DISTINCT id, regexp_extract(expert, '[А-ЯЁ][а-яё]+\s+[А-ЯЁ][а-яё]+\s+[А-ЯЁ][а-яё]+') || ': ' || coalesce(trim(executioner), '') AS executors FROM acts WHERE regexp_matches(expert, '[А-ЯЁ][а-яё]+\s+[А-ЯЁ][а-яё]+\s+[А-ЯЁ][а-яё]+')")
+def executor_tables(spark: SparkSession, d: str) -> DataFrame:
+    """STR-19: experts as tables of executors."""
+    acts = table(spark, d, "acts").select("id", "expert", "executioner").distinct()
+    cells = F.array(F.array(F.lit("ФИО"), F.lit("Степень участия")), F.array(F.coalesce("expert", F.lit("")), F.coalesce("executioner", F.lit(""))))
+    return grids.executor_names(acts.select("id", cells.alias("cells")), "id")
+
+
+@query(f"SELECT a.id || '-' || a.point_name AS a_id, b.id || '-' || b.point_name AS b_id FROM {POINTS} a JOIN {POINTS} b ON abs(a.lat - (b.lat + 4e-7)) < 1e-6 AND abs(a.lon - b.lon) < 1e-6")
+def nearby_points(spark: SparkSession, d: str) -> DataFrame:
+    """MAT-22: points against the same points moved by less than the tolerance."""
+    key = F.concat_ws("-", F.col("id").cast("string"), "point_name")
+    points = _points(spark, d)
+    return matching.nearby(points.select(key.alias("a_id"), "lat", "lon"), points.select(key.alias("b_id"), (F.col("lat") + 4e-7).alias("lat"), "lon"))
+
+
+@query("SELECT DISTINCT id, CASE WHEN b IS NOT NULL AND trim(b) <> coalesce(name, '') THEN trim(b) WHEN address IS NOT NULL AND trim(address) <> coalesce(name, '') THEN trim(address) ELSE '' END AS picked FROM (SELECT *, CASE WHEN id % 3 = 0 THEN obj_info WHEN id % 3 = 1 THEN name END AS b FROM identified_archaeological_heritage_sites)")
+def picked_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """STR-29."""
+    rows = table(spark, d, "identified_archaeological_heritage_sites")
+    second = F.when(F.col("id") % 3 == 0, F.col("obj_info")).when(F.col("id") % 3 == 1, F.col("name"))
+    return rows.select("id", catalog.picked_address(F.col("address"), second, F.col("name")).alias("picked")).distinct()
+
+
+@query("SELECT page, total, page < total AS has_next, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, cast((row_number() OVER (ORDER BY doc_id) - 1) // 100 + 1 AS int) AS page, cast(ceil(count(*) OVER () / 100.0) AS int) AS total FROM documents) GROUP BY page, total")
+def document_pages(spark: SparkSession, d: str) -> DataFrame:
+    """LIM-04: all documents in pages of a hundred."""
+    told = register.numbered_pages(table(spark, d, "documents").select("doc_id"), "doc_id")
+    return told.groupBy("page", F.col("total_pages").alias("total"), "has_next").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@query("SELECT doc_id, ends_with(lower(n), '.pdf') AND NOT regexp_matches(lower(n), 'проверк.+подпис.+') AS good FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Проверка подписи.pdf' WHEN doc_id % 3 = 1 THEN 'Акт.PDF' ELSE 'акт.docx' END AS n FROM documents)")
+def document_names(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-17."""
+    name = F.when(F.col("doc_id") % 3 == 0, "Проверка подписи.pdf").when(F.col("doc_id") % 3 == 1, "Акт.PDF").otherwise("акт.docx")
+    return table(spark, d, "documents").select("doc_id", sources.is_document(name).alias("good"))
+
+
+@query("SELECT l_orderkey AS page, l_linenumber AS image_id, arg_min(s, (gap, s)) AS caption_id FROM (SELECT l_orderkey, l_linenumber, s, (o_custkey * s) % 300 + 200 - (l_partkey % 100 + 50) AS gap, least(l_suppkey % 50 + 60, 20 * s + 60) - greatest(l_suppkey % 50, 20 * s) AS across FROM lineitem JOIN orders ON l_orderkey = o_orderkey, (VALUES (1), (2)) v(s)) WHERE gap >= 0 AND gap < 400 AND across >= 0.3 * 60 GROUP BY ALL")
+def image_captions(spark: SparkSession, d: str) -> DataFrame:
+    """JOI-10 on boxes made of orders and their lines."""
+    y, x = F.col("l_partkey") % 100, F.col("l_suppkey") % 50
+    images = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("image_id"), x.alias("x1"), y.alias("y1"), (x + 60).alias("x2"), (y + 50).alias("y2"))
+    heads = table(spark, d, "orders").withColumn("s", F.explode(F.array(F.lit(1), F.lit(2))))
+    captions = heads.select(F.col("o_orderkey").alias("page"), F.col("s").alias("caption_id"), (20 * F.col("s")).alias("x1"), ((F.col("o_custkey") * F.col("s")) % 300 + 200).alias("y1"), (20 * F.col("s") + 60).alias("x2"), ((F.col("o_custkey") * F.col("s")) % 300 + 210).alias("y2"))
+    return layout.captions_of_images(images, captions)
+
+
+@query("SELECT id, work FROM (SELECT DISTINCT id, CASE WHEN contains(n, 'раскопки') THEN 'раскопки' WHEN contains(n, 'разведки') THEN 'разведки' ELSE 'наблюдения' END AS work FROM (SELECT id, CASE WHEN id % 3 = 0 THEN 'археологические раскопки на объекте' WHEN id % 3 = 1 THEN 'разведки и обследование' ELSE 'только наблюдения' END AS n FROM acts))")
+def work_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """MAT-18."""
+    name = F.when(F.col("id") % 3 == 0, "археологические раскопки на объекте").when(F.col("id") % 3 == 1, "разведки и обследование").otherwise("только наблюдения")
+    return table(spark, d, "acts").select("id").distinct().select("id", similarity.work_kind(name).alias("work"))

@@ -87,15 +87,21 @@ def xlsx_grid(body: bytes) -> list[list[str]]:
 
 
 def pdf_pages(body: bytes) -> list[str]:
-    """SRC-04: text of each page of a PDF, if a PDF library is installed; no pages otherwise."""
-    try:
-        import pdfplumber
-    except ImportError:
-        return []
+    """SRC-04: text of each page of a PDF. Without a PDF library this is an error, not a file without pages."""
+    import pdfplumber
+
     with pdfplumber.open(io.BytesIO(body)) as pdf:
         return [page.extract_text() or "" for page in pdf.pages]
 
 
+def pdf_tables(body: bytes) -> list[tuple[int, list[list[str]]]]:
+    """SRC-05: (page number, cells) of the tables of all pages of a PDF; an error without a PDF library."""
+    import pdfplumber
+
+    with pdfplumber.open(io.BytesIO(body)) as pdf:
+        return [(n, [[c or "" for c in row] for row in t]) for n, page in enumerate(pdf.pages, 1) for t in page.extract_tables()]
+
+
 def page_count(body: bytes) -> int | None:
     """SRC-19: pages of a PDF, a .docx (as its properties state) or an image (1); null if unknown."""
     if body[:5] == b"%PDF-":
@@ -164,6 +170,12 @@ def html_links(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(F.col(key), F.posexplode(found(F.col(html))).alias("pos", "l")).select(key, "pos", "l.title", "l.href")
 
 
+def is_document(name: Column) -> Column:
+    """FLT-17: a PDF that is no check of a signature."""
+    low = F.lower(name)
+    return F.coalesce(low.endswith(".pdf") & ~low.rlike(r"проверк[\s\S]+подпис\S+"), F.lit(False))
+
+
 def status_cascade(items: DataFrame, known: DataFrame, excluded: list[str], start: str, end: str) -> DataFrame:
     """FLT-14..17: crawl items(title, href) with (status, reason); the first rule that applies decides.
 

@@ -15,16 +15,19 @@ def encoded(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.to_json(c) for c in columns})
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """SNK-02 at scale: a register as CSV parts with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, headers: dict[str, str] | None = None) -> None:
+    """SNK-02 at scale: a register as CSV parts, each with the header row."""
+    df.withColumnsRenamed(headers or {}).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_xlsx(df: DataFrame, path: str, most: int = 1_048_575) -> int:
+def write_xlsx(df: DataFrame, path: str, most: int = 1_048_575, headers: dict[str, str] | None = None, widths: dict[str, float] | None = None) -> int:
     """SNK-02: a register as one .xlsx sheet, streamed row by row to the driver's disk; returns the number of rows.
 
-    A sheet holds `most` rows; a longer register is an error, not a cut one.
+    headers: what is shown over a column (its name if missing); widths: by column. A sheet holds `most` rows; a longer
+    register is an error, not a cut one. write_csv is the way at scale.
     """
+    headers, widths = headers or {}, widths or {}
+    cols = "".join(f'<col min="{k}" max="{k}" width="{widths[c]}" customWidth="1"/>' for k, c in enumerate(df.columns, 1) if c in widths)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
         z.writestr("_rels/.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
@@ -32,9 +35,8 @@ def write_xlsx(df: DataFrame, path: str, most: int = 1_048_575) -> int:
         z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
         n = 0
         with z.open("xl/worksheets/sheet1.xml", "w") as sheet:
-            sheet.write(b'<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
-            for row in [df.columns, *[]]:
-                sheet.write(_row(row))
+            sheet.write(b'<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">' + (f"<cols>{cols}</cols>" if cols else "").encode() + b"<sheetData>")
+            sheet.write(_row([headers.get(c, c) for c in df.columns]))
             for row in df.toLocalIterator():
                 n += 1
                 if n > most:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,6 +28,30 @@ def crawl(spark: SparkSession, folder: str, schema: str, known: DataFrame, repor
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+COUNTS = ("total", "downloaded", "skipped", "queued", "failed")
+
+
+def cumulative(spark: SparkSession, folder: str, schema: str, known: DataFrame, states: str, checkpoint: str, *, excluded: list[str], start: str, end: str) -> StreamingQuery:
+    """STM-01, STM-02, STM-03, STM-07: the crawl with its state over all pages so far, written after each batch.
+
+    states is a folder of Parquet, one part for each batch: a batch that is run again after a failure overwrites its own
+    part, so nothing is counted twice; progress() adds the parts up.
+    """
+    items = spark.readStream.schema(schema).json(folder)
+
+    def batch(df: DataFrame, number: int) -> None:
+        status_counts(status_cascade(df, known, excluded, start, end)).write.mode("overwrite").parquet(f"{states}/batch={number}")
+
+    return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress(spark: SparkSession, states: str) -> DataFrame:
+    """STM-03: the counts of a crawl after each batch, cumulative: (batch, total, downloaded, skipped, queued, failed)."""
+    told = spark.read.option("basePath", states).parquet(states)
+    # One small row for each batch.
+    return told.select("batch", *[F.sum(c).over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in COUNTS])
+
+
 def state(query: StreamingQuery) -> str:
     """STM-06: PENDING, PROGRESS, SUCCESS or FAILURE of a crawl."""
     if query.exception() is not None:
