@@ -65,3 +65,8 @@ def merged(earlier: Column, later: Column) -> Column:
     """SET-06: two maps as one, the later's values winning; a null map counts as empty if the other is none."""
     kept = F.map_filter(earlier, lambda k, _: ~F.map_contains_key(later, k))
     return F.when(earlier.isNull(), later).when(later.isNull(), earlier).otherwise(F.map_concat(kept, later))
+
+
+def upserted(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """SNK-01: stored rows with those of rows in place of theirs, by key, and the new ones beside; both of one shape."""
+    return stored.join(rows.select(key), key, "left_anti").select(*stored.columns).unionByName(rows.select(*stored.columns))

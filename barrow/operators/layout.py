@@ -83,3 +83,13 @@ def companions(pdfs: DataFrame, kmls: DataFrame) -> DataFrame:
     right = kmls.select(F.col("path").alias("kml"), stem(F.col("path")).alias("stem"), folder(F.col("path")).alias("dir"))
     offered = right.select("kml", F.explode(F.array(F.concat_ws("|", "dir", "stem"), F.col("dir"))).alias("k"))
     return wanted.join(offered, "k").groupBy("pdf").agg(F.min(F.struct("rank", "kml")).alias("m")).select("pdf", "m.kml")
+
+
+def companions_by_part(pdfs: DataFrame, kmls: DataFrame) -> DataFrame:
+    """JOI-13: PDFs with the first KML of their folder whose stem holds theirs, or is held by it: (pdf, kml)."""
+    stem = lambda path: F.lower(F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]+$", ""))
+    folder = lambda path: F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    left = pdfs.select(F.col("path").alias("pdf"), stem(F.col("path")).alias("a"), folder(F.col("path")).alias("dir"))
+    right = kmls.select(F.col("path").alias("kml"), stem(F.col("path")).alias("b"), folder(F.col("path")).alias("dir"))
+    both = left.join(right, "dir").where(F.contains("a", F.col("b")) | F.contains("b", F.col("a")))
+    return both.groupBy("pdf").agg(F.min("kml").alias("kml"))

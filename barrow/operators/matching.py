@@ -28,6 +28,31 @@ def duplicates(files: DataFrame, hashed: str, key: str) -> DataFrame:
     return files.where(F.col(hashed).isNotNull()).groupBy(hashed).agg(F.min(key).alias("kept"), F.countDistinct(key).alias("copies")).where("copies > 1")
 
 
+def refuse_duplicates(files: DataFrame, stored: DataFrame, hashed: str = "file_hash") -> DataFrame:
+    """MAT-03: files as they are if none is stored already by its content; ValueError with one of them if any is."""
+    again = files.where(F.col(hashed).isNotNull()).join(stored.select(hashed), hashed, "left_semi").limit(1).collect()
+    if again:
+        raise ValueError(f"already stored: {again[0][hashed]}")
+    return files
+
+
+#: Fixed value: the source of what a user uploaded.
+USER_FILE = "Пользовательский файл"
+
+
+def downloaded(rows: DataFrame, key: str = "id") -> DataFrame:
+    """MAT-07: (origin_filename) of the files of crawled rows, each once: rows(key, upload_source, source) whose source is no user's file."""
+    crawled = rows.where(F.get_json_object("upload_source", "$.source") != USER_FILE)
+    return files_of(crawled, key).where("origin_filename is not null").select("origin_filename").distinct()
+
+
+def file_news(found: DataFrame, known: DataFrame) -> DataFrame:
+    """AGG-04: one row (new_files, existing_files) of found(path, file_hash) against known, each path once."""
+    paths = found.select("path", "file_hash").where("path is not null").distinct()
+    fresh = new_files(paths, known).select("path").distinct().withColumn("_new", F.lit(1))
+    return paths.select("path").distinct().join(fresh, "path", "left").agg(F.count("_new").alias("new_files"), (F.count("*") - F.count("_new")).alias("existing_files"))
+
+
 def new_files(found: DataFrame, known: DataFrame) -> DataFrame:
     """MAT-04, MAT-05: found(path, file_hash) that are neither known by path nor, failing that, by hash.
 

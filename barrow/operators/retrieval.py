@@ -8,9 +8,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barrow.session import cut
+
 
 #: Bytes of query vectors that every task keeps at once; more queries are asked in several passes.
 QUERY_BYTES = 64 << 20
@@ -90,8 +92,6 @@ def _asking(held, k: int):
 
 def best_of(scored: DataFrame, group: str, key: str, score: str, k: int) -> DataFrame:
     """The k best of each group, with their rank: a filter that Spark pushes below the shuffle as a group limit."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(group).orderBy(F.desc(score), F.asc(key))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -111,10 +111,28 @@ def run_sql(spark: SparkSession, sql: str) -> DataFrame:
 
 
 def histories(messages: DataFrame, chat: str, order: str, columns: list[str]) -> DataFrame:
-    """JOI-05: each chat's messages in order as one array, by one aggregate instead of a query per chat."""
+    """JOI-05: each chat's messages in order as one array, by one aggregate instead of a query per chat.
+
+    A row holds a whole chat; numbered() gives the same order without that.
+    """
     return messages.groupBy(chat).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("messages"))
 
 
+def numbered(messages: DataFrame, chat: str, order: list[str]) -> DataFrame:
+    """JOI-05 without an array: messages with their place in their chat, from 1, by `order`, which tells a chat's messages apart.
+
+    Range partitions by chat and order cut a chat of very many messages into many parts; the parts' counts are summed, so no
+    task holds a chat. Null chats are one chat.
+    """
+    parted = cut(messages.repartitionByRange(chat, *order).withColumn("_part", F.spark_partition_id()))
+    held = parted.groupBy("_part", chat).agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(chat).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    counts = held.select(F.col("_part").alias("_p"), F.col(chat).alias("_k"), before.alias("_before"))
+    joined = parted.join(counts, (F.col("_part") == F.col("_p")) & F.col(chat).eqNullSafe(F.col("_k")))
+    place = F.row_number().over(Window.partitionBy("_part", chat).orderBy(*order)) + F.col("_before")
+    return joined.withColumn("place", place).drop("_part", "_p", "_k", "_before")
+
+
 def without_last_exchange(messages: DataFrame, chat: str, sender: str, order: str) -> DataFrame:
     """RET-07: the messages of each chat without the last one of each sender."""
     last = messages.groupBy(chat, sender).agg(F.max(order).alias(order))

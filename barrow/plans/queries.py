@@ -926,3 +926,32 @@ def work_kinds(spark: SparkSession, d: str) -> DataFrame:
     """MAT-18."""
     name = F.when(F.col("id") % 3 == 0, "археологические раскопки на объекте").when(F.col("id") % 3 == 1, "разведки и обследование").otherwise("только наблюдения")
     return table(spark, d, "acts").select("id").distinct().select("id", similarity.work_kind(name).alias("work"))
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events")
+def chat_numbered_messages(spark: SparkSession, d: str) -> DataFrame:
+    """JOI-05: messages by their place in their history, none of which is held in one row."""
+    return retrieval.numbered(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"]).select("event_id", "user_id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT DISTINCT json_extract_string(e.value, '$.origin_filename') AS origin_filename FROM acts a, json_each(a.source) e WHERE json_extract_string(a.upload_source, '$.source') <> 'Пользовательский файл' AND json_extract_string(e.value, '$.origin_filename') IS NOT NULL")
+def downloaded_files(spark: SparkSession, d: str) -> DataFrame:
+    """MAT-07."""
+    return matching.downloaded(table(spark, d, "acts"))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT path FROM {FILES} WHERE id % 2 = 0 AND path IS NOT NULL), n AS (SELECT DISTINCT path FROM {FILES} WHERE id % 2 = 0 AND path IS NOT NULL AND file_hash IS NOT NULL
+AND path NOT IN (SELECT path FROM {FILES} WHERE id % 2 = 1 AND path IS NOT NULL) AND file_hash NOT IN (SELECT file_hash FROM {FILES} WHERE id % 2 = 1 AND file_hash IS NOT NULL))
+SELECT (SELECT count(*) FROM n) AS new_files, (SELECT count(*) FROM p) - (SELECT count(*) FROM n) AS existing_files""")
+def file_news(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-04."""
+    files = matching.files_of(table(spark, d, "acts"), "id")
+    return matching.file_news(files.where("id % 2 = 0"), files.where("id % 2 = 1"))
+
+
+@query("SELECT DISTINCT id, CASE WHEN id % 4 = 0 THEN 'новое' ELSE username END AS username FROM users UNION ALL SELECT 1000000, 'новый'")
+def upserted_rows(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-01: every fourth user again under another name, and a new one."""
+    users = table(spark, d, "users").select("id", "username").distinct()
+    rows = users.where("id % 4 = 0").select("id", F.lit("новое").alias("username")).unionByName(spark.range(1).select(F.lit(1000000).cast("long").alias("id"), F.lit("новый").alias("username")))
+    return changes.upserted(users, rows, "id")

@@ -34,6 +34,12 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("bytes"), "modificationTime")
 
 
+def manifest_updated(entries: DataFrame, prefix: str, path: str) -> DataFrame:
+    """SRC-22: a manifest (prefix, path) in which the list of a prefix is replaced by a newer one; other lists stay."""
+    fresh = entries.sparkSession.createDataFrame([(prefix, path)], "prefix string, path string")
+    return entries.where(F.col("prefix") != prefix).select("prefix", "path").unionByName(fresh)
+
+
 def digests(spark: SparkSession, folder: str, algorithm: str = "sha256") -> DataFrame:
     """MAT-01: (path, file_hash) with sha256, sha1 or md5; any other algorithm is an error."""
     make = {"sha256": lambda c: F.sha2(c, 256), "sha1": F.sha1, "md5": F.md5}
