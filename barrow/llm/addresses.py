@@ -2,8 +2,8 @@
 
 Each address is parsed into components and expanded into all its plausible normalised forms: misspelt names take every
 more frequent name one slip away, a missing district every district that has the settlement, an ambiguous street type
-every type it may stand for. The components of each form are hashed, forms are exploded, and records that share any hash
-are candidates; candidates whose house letters or blocks conflict are rejected.
+every type it may stand for. Combinations of the components of each form are hashed, exploded, and records that share any
+hash are candidates; candidates whose house letters or blocks conflict are rejected.
 """
 
 from __future__ import annotations
@@ -153,8 +153,8 @@ def _place(tokens: list[str], used: list[bool], i: int) -> str:
     return name
 
 
-_FIELDS = ("kind", "district", "settlement", "settlement_type", "street", "street_type", "house", "letter", "block", "metres", "degrees")
-_SCHEMA = "rec string, raw string, kind string, district string, settlement string, settlement_type string, street string, street_type string, house string, letter string, block string, metres int, degrees int"
+_FIELDS = ("kind", "post", "district", "settlement", "settlement_type", "street", "street_type", "house", "letter", "block", "metres", "degrees")
+_SCHEMA = "rec string, raw string, kind string, post string, district string, settlement string, settlement_type string, street string, street_type string, house string, letter string, block string, metres int, degrees int"
 
 #: A settlement within one district is a plausible reading of another one slip away at this ratio of frequencies.
 RATIO_WITHIN = 1.5
@@ -184,7 +184,7 @@ def components(records: DataFrame) -> DataFrame:
 
 
 def forms(parsed: DataFrame) -> DataFrame:
-    """(rec, form, letter, block): the hash of every plausible normalised form of each record's address."""
+    """(rec, form, letter, block): hashes of the component combinations of every plausible form of each record's address."""
     places = parsed.where("raw is null")
     streets = places.where("street is not null").groupBy(F.col("street").alias("name")).agg(F.count("*").alias("n"))
     districts = places.where("district is not null").groupBy(F.col("district").alias("name")).agg(F.count("*").alias("n"))
@@ -211,9 +211,11 @@ def forms(parsed: DataFrame) -> DataFrame:
     types = F.when(F.col("street_type") == "пр", F.array(F.lit("пр-т"), F.lit("пр-д"))).when(F.col("street_type").isNull() & F.col("street").isNotNull(), F.array(*[F.lit(t) for t in STREETS if t != "пр"])).otherwise(F.array("street_type"))
     # A street has one name, whatever the gender of its type: the ending goes once the spelling is settled.
     opened = both.withColumn("street_type", F.explode(types)).withColumn("street", F.regexp_replace("street", "(?<=..)(?:ий|ый|ой|ая|яя|ое|ее)$", ""))
-    parts = ["kind", "district", "settlement_read", "street_type", "street", "house", "metres", "degrees"]
-    text = F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("-")) for p in parts])
-    hashed = opened.select("rec", F.xxhash64(text, F.lit(1)).alias("form"), "letter", "block")
+    # Each form counts by its components together: with the district, and with the post code where there is one.
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    place = [part(c) for c in ("kind", "settlement_read", "street_type", "street", "house", "metres", "degrees")]
+    combinations = F.array_compact(F.array(F.xxhash64(F.lit("district"), part("district"), *place), F.when(F.col("post").isNotNull(), F.xxhash64(F.lit("post"), F.col("post"), *place))))
+    hashed = opened.select("rec", F.explode(combinations).alias("form"), "letter", "block")
     itself = parsed.where("raw is not null").select("rec", F.xxhash64("raw", F.lit(2)).alias("form"), F.lit(None).cast("string").alias("letter"), F.lit(None).cast("string").alias("block"))
     return hashed.unionByName(itself).distinct()
 
