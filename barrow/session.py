@@ -59,14 +59,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_cuts: list[str] = []
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the tables that cut() has written in this process, once nothing reads them any more; returns their number."""
+    done = 0
+    while _cuts:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def cut(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     Lineage ends here, the data survives the loss of executors, and the result is compressed and columnar,
-    unlike the serialised rows of checkpoint().
+    unlike the serialised rows of checkpoint(). The table stays until discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/barrow/{uuid.uuid4().hex}"
+    _cuts.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

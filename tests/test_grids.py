@@ -1,12 +1,15 @@
 import io
 import json
+import os
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barrow import session
 from barrow.functions import geo, similarity
-from barrow.operators import catalog, changes, extraction, grids, register
+from barrow.operators import catalog, changes, extraction, grids, layout, matching, register, retrieval
 from barrow.sources import files, kml, sinks
 from barrow.streaming import crawl
 
@@ -138,3 +141,46 @@ def test_cumulative_crawl(spark, tmp_path):
         q.awaitTermination(120)
     told = crawl.progress(spark, str(tmp_path / "states")).orderBy("batch").collect()
     assert [(r.total, r.queued, r.skipped) for r in told] == [(2, 1, 1), (4, 2, 2)]
+
+
+def test_cut_tables_are_discarded(spark):
+    df = session.cut(spark.range(5))
+    path = df.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path) and session.discard(spark) >= 1 and not os.path.exists(path) and session.discard(spark) == 0
+
+
+def test_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c")], "id int, t string").repartition(3).write.parquet(str(tmp_path / "x.parquet"))
+    assert sorted(map(str, ((r.id, r.t) for r in session.once(spark, str(tmp_path), "x", ["id"], ["t"]).collect()))) == ["(1, 'a')", "(2, 'b')", "(None, 'c')"]
+
+
+def test_numbered_and_upserted(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2), (None, 5), ("a", 2)], "chat string, at int")
+    assert sorted((str(r.chat), r.at, r.place) for r in retrieval.numbered(df, "chat", ["at"]).collect()) == [("None", 5, 1), ("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 2, 1)]
+    assert retrieval.numbered(df.limit(0), "chat", ["at"]).count() == 0
+    pdfs = spark.createDataFrame([("/a/akt.pdf",), ("/b/x.pdf",)], "path string")
+    kmls = spark.createDataFrame([("/a/akt_points.kml",), ("/b/other.kml",)], "path string")
+    assert [tuple(r) for r in layout.companions_by_part(pdfs, kmls).collect()] == [("/a/akt.pdf", "/a/akt_points.kml")]
+
+
+def test_files(spark):
+    stored = spark.createDataFrame([("h",)], "file_hash string")
+    with pytest.raises(ValueError):
+        matching.refuse_duplicates(stored, stored)
+    assert matching.refuse_duplicates(spark.createDataFrame([(None,), ("g",)], "file_hash string"), stored).count() == 2
+    lists = spark.createDataFrame([("a", "1"), ("b", "2")], "prefix string, path string")
+    assert sorted(map(tuple, files.manifest_updated(lists, "b", "3").collect())) == [("a", "1"), ("b", "3")]
+
+
+def test_vector_search_against_brute_force(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in draw.integers(-2, 3, 4)]) for i in range(300)] + [(900, None), (901, []), (902, [0.0] * 4), (903, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "k int, v array<double>").repartition(7)
+    asking = spark.createDataFrame(rows[:5] + rows[-1:], "query_id int, vector array<double>")
+    want = set()
+    for q, v in rows[:5] + rows[-1:]:
+        found = [(-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 9), k) for k, w in rows if w and len(w) == len(v) and np.linalg.norm(w) and np.linalg.norm(v)]
+        want |= {(q, k, r) for r, (_, k) in enumerate(sorted(found)[:3], 1)}
+    for size in (64 << 20, 64):
+        monkeypatch.setattr(retrieval, "QUERY_BYTES", size)
+        assert {(r.query_id, r.k, r["rank"]) for r in retrieval.top_k(df, asking, "k", "v", 3).collect()} == want
