@@ -21,11 +21,11 @@ def sections(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text:
     """STR-11, AGG-09: (doc, section, body) of documents given as pages: the text from each heading to the next found.
 
     Headings are looked for in their order over the joined pages; one that is missing is skipped, and a heading counts at
-    a line's start, a number before it allowed. Documents without any heading have no sections.
+    a line's start, a number before it allowed; it goes up to its colon, if it has one. Documents without any heading have no sections.
     """
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(page, text))), lambda p: p[text]), "\n")
     joined = pages.groupBy(doc).agg(whole.alias("_whole"))
-    compiled = [(name, re.compile(rf"^[\d. ]*{pattern}[^\n]*?:?", re.I | re.M)) for name, pattern in headings]
+    compiled = [(name, re.compile(rf"^[\d. ]*{pattern}(?:[^\n:]{{0,60}}:)?", re.I | re.M)) for name, pattern in headings]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -336,6 +336,15 @@ def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     return extraction.chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query(r"SELECT doc_id, true AS fits, true AS in_place FROM documents WHERE regexp_matches(text, '\S')")
+def chunks_checked(spark: SparkSession, d: str) -> DataFrame:
+    """STR-05: every chunk is within its size and stands in its text where it says."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    chunks = extraction.chunks(docs, "doc_id", "text").join(docs, "doc_id")
+    there = F.substring("text", F.col("start_index") + 1, F.length("chunk")) == F.col("chunk")
+    return chunks.groupBy("doc_id").agg(F.bool_and(F.length("chunk").between(1, 750)).alias("fits"), F.bool_and(there).alias("in_place"))
+
+
 @query("""SELECT DISTINCT id, replace(replace(upper(open_list), 'О', '0'), 'З', '3') AS list_number, translate(open_list, '/!|Г[ОЗбБ', '111110366') AS digits FROM acts WHERE open_list IS NOT NULL AND NOT contains(open_list, '()')""")
 def scanner_confusions(spark: SparkSession, d: str) -> DataFrame:
     """STR-21."""
@@ -367,17 +376,25 @@ def stated_areas(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "acts").where("conclusion is not null").select("id", parts["area"].alias("area"), parts["area_unit"].alias("area_unit")).distinct()
 
 
-@query()
-def section_split(spark: SparkSession, d: str) -> DataFrame:
-    """STR-11, AGG-09: acts put together as pages with headings, taken apart again."""
+def _act_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Acts put together as three pages with headings."""
     acts = table(spark, d, "acts").dropDuplicates(["id"])
     head = F.concat(F.lit("Акт\nДата начала экспертизы: "), F.coalesce("start_date", F.lit("")), F.lit("\nДата окончания экспертизы: "), F.coalesce("finish_date", F.lit("")), F.lit("\n4. Место проведения экспертизы: "), F.coalesce("place", F.lit("")))
     body = F.concat(F.lit("Сведения о проведенных исследованиях:\n"), F.coalesce("exp_info", F.lit("")), F.lit("\nФакты и сведения, выявленные в результате исследований:\n"), F.coalesce("exp_facts", F.lit("")))
     tail = F.concat(F.lit("Вывод экспертизы:\n"), F.coalesce("conclusion", F.lit("")))
-    pages = acts.select(F.col("id").alias("doc_id"), F.posexplode(F.array(head, body, tail)).alias("page_no", "text"))
-    return extraction.sections(pages)
+    return acts.select(F.col("id").alias("doc_id"), F.posexplode(F.array(head, body, tail)).alias("page_no", "text"))
 
 
+@query(" UNION ALL ".join(f"SELECT DISTINCT id AS doc_id, {k} AS pos, '{name}' AS section, trim(coalesce({field}, ''), ' :' || chr(10)) AS body FROM acts" for k, (name, field) in enumerate((("start_date", "start_date"), ("end_date", "finish_date"), ("place", "place"), ("research", "exp_info"), ("facts", "exp_facts"), ("conclusion", "conclusion")))))
+def section_split(spark: SparkSession, d: str) -> DataFrame:
+    """STR-11, AGG-09: acts put together as pages with headings, taken apart again."""
+    return extraction.sections(_act_pages(spark, d))
+
+
+@query(r"SELECT DISTINCT id AS doc_id, trim(regexp_replace(regexp_replace(trim(coalesce(place, ''), ' :' || chr(10)), '[–:]', '', 'g'), '\s+', ' ', 'g')) AS place FROM acts")
+def act_places(spark: SparkSession, d: str) -> DataFrame:
+    """STR-14, UDF-09: places out of the sections of acts put together as pages."""
+    return extraction.act_fields(extraction.sections(_act_pages(spark, d))).select("doc_id", "place")
 
 
 @query(r"""WITH items AS (SELECT doc_id, text AS title, url || '/upload/' || coalesce(doc_type, 'x') || CASE WHEN doc_id % 7 = 0 THEN '.png' ELSE '.pdf' END AS href FROM documents),
@@ -715,10 +732,12 @@ def in_list_and_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return kept.join(table(spark, d, "users").where("is_superuser").select(F.col("id").alias("user_id")), "user_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("top"))
 
 
-@query()
+@query(f"SELECT id, count(*) AS marks, count(DISTINCT grp) AS folders, count(DISTINCT CASE WHEN contains(grp, 'Каталог') THEN grp END) AS polygons FROM {POINTS} WHERE contains(grp, 'Каталог') OR contains(grp, 'фотофиксации') OR contains(grp, 'Шурфы') OR contains(grp, 'Центр') GROUP BY id")
 def kml_export(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-03: the coordinates of each card as KML."""
-    return kml.kml_text(_points(spark, d).withColumn("style", register.group_style(F.col("grp"))), "id")
+    """SNK-03: the coordinates of each card as KML: its marks, folders and polygons."""
+    told = kml.kml_text(_points(spark, d).withColumn("style", register.group_style(F.col("grp"))), "id")
+    count = lambda pattern: F.size(F.regexp_extract_all("kml", F.lit(pattern), F.lit(0))).cast("long")
+    return told.select("id", count("<Point>").alias("marks"), count("<Folder>").alias("folders"), count("<Polygon>").alias("polygons"))
 
 
 @query()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,12 +67,24 @@ _cuts: list[str] = []
 def discard(spark: SparkSession) -> int:
     """Delete the tables that cut() has written in this process, once nothing reads them any more; returns their number."""
     done = 0
+    _cached.clear()
     while _cuts:
         path = spark._jvm.org.apache.hadoop.fs.Path(_cuts.pop())
         done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return done
 
 
+_cached: dict[str, tuple[float, DataFrame]] = {}
+
+
+def cached(name: str, build: Callable[[], DataFrame], seconds: float = 3600.0) -> DataFrame:
+    """MAT-24, STM-04: a named table that is built, written and read back, and built anew once it is older than `seconds`."""
+    held = _cached.get(name)
+    if held is None or time.monotonic() - held[0] > seconds:
+        held = _cached[name] = time.monotonic(), cut(build())
+    return held[1]
+
+
 def cut(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 

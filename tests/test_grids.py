@@ -184,3 +184,16 @@ def test_vector_search_against_brute_force(spark, monkeypatch):
     for size in (64 << 20, 64):
         monkeypatch.setattr(retrieval, "QUERY_BYTES", size)
         assert {(r.query_id, r.k, r["rank"]) for r in retrieval.top_k(df, asking, "k", "v", 3).collect()} == want
+
+
+def test_cached_tables_grow_old(spark):
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(3)
+
+    assert session.cached("t", build).count() == session.cached("t", build).count() == 3 and len(made) == 1
+    assert session.cached("t", build, seconds=-1).count() == 3 and len(made) == 2
+    session.discard(spark)
+    assert session.cached("t", build).count() == 3 and len(made) == 3
