@@ -54,7 +54,8 @@ def tokens(text: str) -> tuple[list[str], int]:
     """(words, numbers) of a page: words in lower case, ё as е, numbers as a count.
 
     A link is LINK as often as its address has parts, a tag TAG as often as it has words. Words of up to four letters in
-    front of a number and three after it are its unit or the name of its column and go with it.
+    front of a number and three after it are its unit or the name of its column and go with it, unless they stand again and
+again beside the same few numbers, as units do not.
     """
     text = text.lower().replace("ё", "е")
     marks: list[str] = []
@@ -74,12 +75,16 @@ def tokens(text: str) -> tuple[list[str], int]:
     at = [k for k, w in enumerate(found) if w.isdigit()]
     if not at:
         return found + marks, 0
-    gone = set(at)
+    beside: dict[str, list[tuple[int, str]]] = {}
     for k in at:
-        if k and len(found[k - 1]) <= 4:
-            gone.add(k - 1)
-        if k + 1 < len(found) and len(found[k + 1]) <= 3:
-            gone.add(k + 1)
+        if k and len(found[k - 1]) <= 4 and not found[k - 1].isdigit():
+            beside.setdefault(found[k - 1], []).append((k - 1, found[k]))
+        if k + 1 < len(found) and len(found[k + 1]) <= 3 and not found[k + 1].isdigit():
+            beside.setdefault(found[k + 1], []).append((k + 1, found[k]))
+    gone = set(at)
+    for places in beside.values():
+        if len(places) < 4 or 4 * len({number for _, number in places}) > len(places):
+            gone.update(k for k, _ in places)
     return [w for k, w in enumerate(found) if k not in gone] + marks, len(at)
 
 

@@ -55,6 +55,7 @@ def test_whole_page_decides_language(spark):
 
 def test_tokens():
     assert stuffing.tokens("1; кв. 44; гл. 15 см; бусины; 15 экз.\n2; кв. 5") == (["бусины"], 6)
+    assert stuffing.tokens("top 10 buy " * 8) == (["top", "buy"] * 8, 8)
     assert stuffing.tokens("термос https://a.test/12 #карта_кладов")[0].count(stuffing.LINK) == 4
     assert stuffing.tokens("термос #карта_кладов")[0].count(stuffing.TAG) == 2
 
