@@ -14,6 +14,7 @@ import re
 import textwrap
 from collections import ChainMap, Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -71,6 +72,11 @@ _LOST = re.compile(r"\?\d|\d\?+(?=[\d.,;:)]|\s+[а-яa-z])|(?<=[а-яё])['’](
 
 _HYPHENS = frozenset(HYPHENS)
 _RIGHT = re.compile(r"\s*([а-яёa-z]+(?:-[а-яёa-z]+)*)")
+_RIGHT_CAPITALS = re.compile(r"\s*([А-ЯЁA-Z]+(?:-[А-ЯЁA-Z]+)*)(?![а-яёa-z])")
+#: The left part of a word parted by a hyphen, its right part ahead; SEAM stands where it is open what they make.
+_JOINT = re.compile(rf"([^\W\d_]+)[{HYPHENS}]\s+(?=([^\W\d_]+(?:-[^\W\d_]+)*))")
+SEAM = "\ue000"
+_SEAMED = re.compile(rf"[^\W\d_]+(?:[-{SEAM}][^\W\d_]+)*")
 _PARTED_ANYHOW = re.compile(rf"[{HYPHENS}]\s")
 _PARTED = re.compile(rf"[{HYPHENS}][ \t]")
 _LATIN = re.compile("[A-Za-z]")
@@ -252,15 +258,18 @@ def furniture(texts: list[str], models: tuple[boosting.Boosted, boosting.Boosted
 
 
 def breaks(lines: list[str], kinds: np.ndarray) -> list[tuple[int, int, str, str, str]]:
-    """(line, next text line, left part, hyphen, right part) of words divided at a line end, furniture skipped."""
+    """(line, next text line, left part, hyphen, right part) of words divided at a line end, furniture and blank lines skipped.
+
+    The right part is small, or as the left one in capitals.
+    """
     out = []
-    rows = [i for i, ln in enumerate(lines) if kinds[i] == 0]
+    rows = [i for i, ln in enumerate(lines) if kinds[i] == 0 and ln.strip()]
     for a, b in zip(rows, rows[1:], strict=False):
         if lines[a].rstrip(" \t")[-1:] not in _HYPHENS:
             continue
         m = _BREAK.search(lines[a])
-        right = _RIGHT.match(lines[b])
-        if m and right:
+        right = m and (_RIGHT.match(lines[b]) or len(m.group(1)) > 1 and m.group(1).isupper() and _RIGHT_CAPITALS.match(lines[b]))
+        if right:
             out.append((a, b, m.group(1), lines[a].rstrip()[-1], right.group(1)))
     return out
 
@@ -357,6 +366,33 @@ def inline_breaks(text: str) -> list[tuple[str, str, str]]:
     return [(m.group(1), m.group()[len(m.group(1))], _TOKEN.match(text, m.end()).group()) for m in _INLINE.finditer(text)]
 
 
+def sewn(text: str, told: dict[tuple[str, str], bool | None]) -> str:
+    """A text whose words parted by a hyphen are put together.
+
+    told has their (left, right) parts in small letters: true makes one word of them, false a compound, null leaves SEAM
+    between them; parts it does not know make one word.
+    """
+    if not _PARTED_ANYHOW.search(text):
+        return text
+    return _JOINT.sub(lambda m: m.group(1) + {True: "", False: "-", None: SEAM}[told.get((m.group(1).lower(), m.group(2).lower()), True)], text)
+
+
+def words_of(text: str) -> dict[str, bool]:
+    """Words of a text in small letters, and whether each stands with a capital."""
+    out: dict[str, bool] = {}
+    for w in set(_SEAMED.findall(text)):
+        low = w.lower()
+        out[low] = out.get(low, False) or w[0].isupper() and not w.isupper()
+    return out
+
+
+def seams(word: str) -> Iterator[tuple[str, str, str]]:
+    """(left part, right part, word) for each SEAM of a word, the word's other seams closed."""
+    for m in re.finditer(SEAM, word):
+        before, after = word[: m.start()], word[m.end() :]
+        yield re.split(f"[-{SEAM}]", before)[-1], after.split(SEAM)[0], before.replace(SEAM, "") + SEAM + after.replace(SEAM, "")
+
+
 def plain_misreadings(text: str) -> bool:
     """Whether a stray sign, a look-alike of the other script or a digit stands inside a word, or a letter in a number."""
     if _ANY_STRAY.search(text) and _STRAY.search(text) or _LATIN.search(text) and _MIXED.search(text) or _ANY_LOST.search(text) and _LOST.search(text):
@@ -485,23 +521,27 @@ def _grams(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(edged) - (Q - 1)), lambda k: F.struct(F.substring(edged, k, F.lit(Q)).alias("gram"), k.alias("place")))
 
 
-def candidates(vocabulary: DataFrame) -> DataFrame:
+def candidates(vocabulary: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(word, other, n, m, capital): words beside those at least TIMES as frequent of which they may be a misreading.
 
+    With `words`, a table like the vocabulary of words it lacks, only these are asked for.
+
     The inverted index holds the overlapping q-grams of the words' shapes, in which letters that print alike count as one:
     a misreading of any number of such letters has all grams of the right word. Words of LEAST_SLIP letters and more may be
     one slip apart besides (a letter wrong, added, lost, two swapped). Pairs so close share one of the SLIP + 1 rarest grams
     of each at places at most one apart, so the index holds no others, and common grams, which could make a hot key, only
     for words that have no rarer ones. Compounds are words, their hyphens letters; short words must be TIMES more frequent.
     """
-    letters = vocabulary.where(F.col("word").rlike("^(?:[а-яё]+(?:-[а-яё]+)*|[a-z]+(?:-[a-z]+)*)$") & (F.length("word") > 1))
-    letters = letters.select("word", "n", "capital", F.translate("word", CLASS_FROM, CLASS_TO).alias("shape"))
+    of = vocabulary.withColumn("asked", F.lit(words is None))
+    of = of if words is None else of.unionByName(words.withColumn("asked", F.lit(True)))
+    letters = of.where(F.col("word").rlike("^(?:[а-яё]+(?:-[а-яё]+)*|[a-z]+(?:-[a-z]+)*)$") & (F.length("word") > 1))
+    letters = letters.select("word", "n", "capital", "asked", F.translate("word", CLASS_FROM, CLASS_TO).alias("shape"))
     opened = letters.select("word", F.inline(_grams(F.col("shape"))))
     spread = opened.groupBy("gram").agg(F.count("*").alias("df"))
     rarest = F.slice(F.sort_array(F.collect_list(F.struct("df", "gram", "place"))), 1, SLIP + 1)
     index = cut(opened.join(spread, "gram").groupBy("word").agg(rarest.alias("g")).join(letters, "word"))
     near = F.explode(F.array(*[F.col("g.place") + k for k in (-1, 0, 1)]))
-    left = index.select("word", "shape", "n", "capital", F.explode("g").alias("g")).select("word", "shape", "n", "capital", "g.gram", near.alias("place"))
+    left = index.where("asked").select("word", "shape", "n", "capital", F.explode("g").alias("g")).select("word", "shape", "n", "capital", "g.gram", near.alias("place"))
     right = index.where(F.col("n") >= TIMES).select(F.col("word").alias("other"), F.col("shape").alias("o_shape"), F.col("n").alias("m"), F.explode("g").alias("g")).select("other", "o_shape", "m", "g.gram", "g.place")
     needed = F.when(F.length("word") <= 3, 10 * TIMES).otherwise(TIMES)
     close = (F.col("shape") == F.col("o_shape")) | (F.least(F.length("word"), F.length("other")) >= LEAST_SLIP) & spelling.one_slip(F.col("shape"), F.col("o_shape"))
@@ -509,8 +549,11 @@ def candidates(vocabulary: DataFrame) -> DataFrame:
     return pairs.select("word", "other", "n", "m", "capital").distinct()
 
 
-def misread(vocabulary: DataFrame, model: boosting.Boosted) -> DataFrame:
-    """(word, reading, p): words that are a misreading of a more frequent one, with the candidate the model ranks first."""
+def misread(vocabulary: DataFrame, model: boosting.Boosted, words: DataFrame | None = None) -> DataFrame:
+    """(word, reading, p): words that are a misreading of a more frequent one, with the candidate the model ranks first.
+
+    Asked for the vocabulary's own words, or for `words` that it lacks.
+    """
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -524,7 +567,7 @@ def misread(vocabulary: DataFrame, model: boosting.Boosted) -> DataFrame:
                 out = pdf.iloc[keep][["word", "other"]].rename(columns={"other": "reading"})
                 yield out.assign(p=model.probability(np.array(rows)))
 
-    ranked = candidates(vocabulary).mapInPandas(rank, "word string, reading string, p double").where(F.col("p") >= MISREAD)
+    ranked = candidates(vocabulary, words).mapInPandas(rank, "word string, reading string, p double").where(F.col("p") >= MISREAD)
     return ranked.groupBy("word").agg(F.max(F.struct("p", "reading")).alias("best")).select("word", F.col("best.reading").alias("reading"), F.col("best.p").alias("p"))
 
 
@@ -570,16 +613,30 @@ class Models:
         total = max(1, sum(words.values()))
         everything = self.vocabulary.agg(F.sum("n")).first()[0] or 0
         self.joins = join_model(sample, words, max(1.0, everything / total))
-        self.bad = cut(misread(self.vocabulary, pair_model(words, total, everything)))
+        self.pairs = pair_model(words, total, everything)
+        self.bad = cut(misread(self.vocabulary, self.pairs))
         self.counts = self.vocabulary.join(self.bad.select("word"), "word", "left_anti").select("word", "n")
         least, self.whole = _common(self.counts)
         self.common = {r["word"]: r["n"] for r in self.counts.where(F.col("n") >= least).collect()}
 
 
+    def misreadings(self, words: DataFrame) -> DataFrame:
+        """(word, reading): those of words(word, capital), a row for each text they stand in, that are misread.
+
+        The vocabulary has the words that stand whole somewhere; those that it lacks, as every text has them divided or with
+        a stray sign inside, are held against it besides.
+        """
+        lacking = words.join(self.vocabulary.select("word"), "word", "left_anti").groupBy("word")
+        lacking = cut(lacking.agg(F.count("*").alias("n"), F.sum(F.col("capital").cast("long")).alias("capital")))
+        return cut(self.bad.unionByName(misread(self.vocabulary, self.pairs, lacking))).select("word", "reading")
+
+
 def findings(fields: DataFrame, keys: list[str], models: Models) -> DataFrame:
-    """(keys, noise, token, pair): noise found in each text, and what the common words cannot decide (noise null).
+    """(keys, noise, token, capital, pair): noise found in each text, and what the common words cannot decide (noise null).
 
-    token is a word not among the common ones; pair a word parted by a hyphen (left, right, fill), token then null.
+    token is a word not among the common ones, capital whether it stands with one; pair a word parted by a hyphen (left,
+    right, fill), token then null or a word with SEAM for that hyphen. A text whose misreadings show without any count
+    ('char' by plain_misreadings) gives no tokens: they could only say the same again.
     """
     common, lines_of, joins, whole = models.common, models.lines, models.joins, models.whole
     kinds_of = dict(fields.dtypes)
@@ -588,8 +645,11 @@ def findings(fields: DataFrame, keys: list[str], models: Models) -> DataFrame:
         for pdf in batches:
             rows: list[tuple] = []
             texts = pdf["text"].tolist()
-            asked: list[tuple[tuple, tuple[str, str, str, int]]] = []
-            for key, text, (lines, kinds) in zip(pdf[keys].itertuples(index=False, name=None), texts, furniture(texts, lines_of), strict=True):
+            of = list(pdf[keys].itertuples(index=False, name=None))
+            asked: list[tuple[int, tuple[str, str, str, int]]] = []
+            bodies: dict[int, tuple[str, dict[tuple[str, str], bool | None], dict[tuple[str, str], bool]]] = {}
+            fills: dict[int, dict[tuple[str, str], int]] = {}
+            for n, (key, text, (lines, kinds)) in enumerate(zip(of, texts, furniture(texts, lines_of), strict=True)):
                 found: set[str] = set()
                 if (kinds & 1).any():
                     found.add("header")
@@ -599,28 +659,46 @@ def findings(fields: DataFrame, keys: list[str], models: Models) -> DataFrame:
                 pairs = breaks(lines, kinds)
                 width = _width([ln.strip() for ln in lines]) if pairs else 0
                 divided = {(a.lower(), h, b.lower(), fullness(lines[at], width)) for at, _, a, h, b in pairs} | {(a.lower(), h, b.lower(), 5) for a, h, b in inline_breaks(text)}
+                told_of: dict[tuple[str, str], bool | None] = {}
                 for d in divided:
                     if whole or d[1] in SOFT or all(w in common for w in parts_asked(d[0], d[2])):
-                        asked.append((key, d))
+                        asked.append((n, d))
                     else:
-                        rows.append((*key, None, None, {"left": d[0], "right": d[2], "fill": d[3]}))
+                        rows.append((*key, None, None, None, {"left": d[0], "right": d[2], "fill": d[3]}))
+                        told_of[d[0], d[2]] = None
+                        fills.setdefault(n, {})[d[0], d[2]] = d[3]
                 if plain_misreadings(body):
                     found.add("char")
-                rows += [(*key, n, None, None) for n in found]
-                if "char" not in found:
-                    run_on = re.sub(rf"(?<=[^\W\d_])[{HYPHENS}]\s+(?=[^\W\d_])", "", body) if _PARTED_ANYHOW.search(body) else body
-                    rows += [(*key, None, w, None) for w in set(_TOKEN.findall(run_on.lower())) if w not in common]
+                else:
+                    bodies[n] = body, told_of, {}
+                rows += [(*key, x, None, None, None) for x in found]
             # The pairs of a batch are classified together, as its lines are.
-            told = joined([d for _, d in asked], common, joins)
-            rows += [(*key, "hyphen", None, None) for key in {k for (k, _), yes in zip(asked, told, strict=True) if yes}]
-            yield pd.DataFrame(rows, columns=[*keys, "noise", "token", "pair"])
-
-    schema = ", ".join(f"{k} {kinds_of[k]}" for k in keys) + ", noise string, token string, pair struct<left:string,right:string,fill:int>"
+            hyphens = set()
+            for (n, d), yes in zip(asked, joined([d for _, d in asked], common, joins), strict=True):
+                if yes:
+                    hyphens.add(n)
+                if n in bodies and bodies[n][1].setdefault((d[0], d[2]), yes) is not None and d[1] not in SOFT and not common.get(d[0] + d[2] if yes else f"{d[0]}-{d[2]}"):
+                    bodies[n][2][d[0], d[2]] = not yes
+            rows += [(*of[n], "hyphen", None, None, None) for n in hyphens]
+            for n, (body, told_of, unsure) in bodies.items():
+                held = words_of(sewn(body, told_of))
+                # What a pair makes may be misread and so unknown: then it is looked for either way.
+                for w, capital in (words_of(sewn(body, {**told_of, **unsure})) | held if unsure else held).items():
+                    if SEAM not in w:
+                        if w not in common:
+                            rows.append((*of[n], None, w, capital, None))
+                        continue
+                    for a, b, one in seams(w):
+                        if (a, b) in fills.get(n, ()):
+                            rows.append((*of[n], None, one, capital, {"left": a, "right": b, "fill": fills[n][a, b]}))
+            yield pd.DataFrame(rows, columns=[*keys, "noise", "token", "capital", "pair"])
+
+    schema = ", ".join(f"{k} {kinds_of[k]}" for k in keys) + ", noise string, token string, capital boolean, pair struct<left:string,right:string,fill:int>"
     return fields.select(*keys, "text").mapInPandas(run, schema)
 
 
 def _decided(pairs: DataFrame, models: Models) -> DataFrame:
-    """Of pairs(left, right, fill) those that are divided words, by the counts of the whole vocabulary."""
+    """pairs(left, right, fill), whether each is a divided word, and whether what it makes stands in the whole vocabulary."""
     model = models.joins
     names = ("whole", "parted", "left", "right")
     wanted = pairs.withColumns({"w_whole": F.concat("left", "right"), "w_parted": F.concat_ws("-", "left", "right"), "w_left": F.col("left"), "w_right": F.col("right")})
@@ -634,7 +712,8 @@ def _decided(pairs: DataFrame, models: Models) -> DataFrame:
             out += joined([(a, "-", b, int(f))], dict(zip(parts_asked(a, b), map(int, n), strict=True)), model)
         return pd.Series(out, dtype=bool)
 
-    return wanted.where(yes("left", "right", "fill", *[f"n_{n}" for n in names])).select("left", "right", "fill")
+    told = wanted.withColumn("divided", yes("left", "right", "fill", *[f"n_{n}" for n in names]))
+    return told.select("left", "right", "fill", "divided", F.when(F.col("divided"), F.col("n_whole") > 0).otherwise(F.col("n_parted") > 0).alias("sure"))
 
 
 def noise(fields: DataFrame, keys: list[str]) -> DataFrame:
@@ -647,18 +726,21 @@ def noise(fields: DataFrame, keys: list[str]) -> DataFrame:
     own = fields.select(*keys, "text").where(F.length("text") > 0)
     models = Models(own)
     found = cut(findings(own, keys, models))
-    plain = found.where("noise is not null").select(*keys, "noise")
-    words = found.where("token is not null").select(*keys, F.col("token").alias("word")).distinct().join(models.bad.select("word"), "word", "left_semi")
-    all_found = plain.unionByName(words.select(*keys, F.lit("char").alias("noise")))
+    all_found = found.where("noise is not null").select(*keys, "noise")
+    words = found.where("token is not null and pair is null").select(*keys, F.col("token").alias("word"), "capital")
     if not models.whole:
-        parted = found.where("pair is not null").select(*keys, "pair.*")
-        divided = parted.join(_decided(parted.select("left", "right", "fill").distinct(), models), ["left", "right", "fill"], "left_semi")
-        all_found = all_found.unionByName(divided.select(*keys, F.lit("hyphen").alias("noise")))
-    return all_found.distinct()
-
-
-def repair(lines: list[str], kinds: np.ndarray, known: dict[str, int], fixes: dict[str, str], model: boosting.Boosted) -> str:
-    """Continuous paragraphs: furniture out, divided words joined, wrapped lines run on, misread words put right."""
+        parted = found.where("pair is not null").select(*keys, "token", "capital", "pair.*")
+        parted = parted.join(cut(_decided(parted.select("left", "right", "fill").distinct(), models)), ["left", "right", "fill"])
+        all_found = all_found.unionByName(parted.where("token is null and divided").select(*keys, F.lit("hyphen").alias("noise")))
+        one, two = F.translate("token", SEAM, ""), F.translate("token", SEAM, "-")
+        forms = F.when(~F.coalesce("sure", F.lit(False)), F.array(one, two)).when(F.col("divided"), F.array(one)).otherwise(F.array(two))
+        words = words.unionByName(parted.where("token is not null").select(*keys, F.explode(forms).alias("word"), "capital"))
+    misread_words = words.join(models.misreadings(words).select("word"), "word", "left_semi")
+    return all_found.unionByName(misread_words.select(*keys, F.lit("char").alias("noise"))).distinct()
+
+
+def repair(lines: list[str], kinds: np.ndarray, known: dict[str, int], model: boosting.Boosted) -> str:
+    """Continuous paragraphs: furniture out, divided words joined, wrapped lines run on, strays and letters of the other script out."""
     pairs = breaks(lines, kinds)
     width = _width([ln.strip() for ln in lines]) if pairs else 0
     told = joined([(x, h, y, fullness(lines[a], width)) for a, _, x, h, y in pairs], known, model)
@@ -690,14 +772,18 @@ def repair(lines: list[str], kinds: np.ndarray, known: dict[str, int], fixes: di
 
     out = _INLINE.sub(one_line, out) if _PARTED.search(out) else out
     out = re.sub(r"(?<=[а-яё])['’](?=[а-яё])", "", _STRAY.sub("", out))
-    out = re.sub(r"[^\W_]*(?:[а-яё][A-Za-z0-9]|[A-Za-z0-9][а-яё])[^\W_]*", lambda m: _one_script(m.group(), known), out, flags=re.I)
+    return re.sub(r"[^\W_]*(?:[а-яё][A-Za-z0-9]|[A-Za-z0-9][а-яё])[^\W_]*", lambda m: _one_script(m.group(), known), out, flags=re.I)
+
+
+def corrected(text: str, fixes: dict[str, str]) -> str:
+    """A repaired text with its misread words put right."""
 
     def fix(m: re.Match) -> str:
         w = m.group()
         good = fixes.get(w.lower())
         return w if good is None else good.upper() if w.isupper() and len(w) > 1 else good.capitalize() if w[0].isupper() else good
 
-    return _TOKEN.sub(fix, out)
+    return _TOKEN.sub(fix, text)
 
 
 def _one_script(word: str, known: dict[str, int]) -> str:
@@ -708,38 +794,50 @@ def _one_script(word: str, known: dict[str, int]) -> str:
 def repaired(fields: DataFrame, keys: list[str]) -> DataFrame:
     """fields(keys, text) with each text repaired; null stays null, empty stays empty. Keys are unique, equal rows count each.
 
-    The texts stay where they are: what a text needs of the corpus (readings of its misread words, counts of its rare words)
-    is gathered by key and joined to it, as a broadcast where the written table is small.
+    The texts stay where they are: what a text needs of the corpus (counts of its rare words, readings of its misread words)
+    is gathered by key and joined to it, as a broadcast where the written table is small. Misread words are looked for in the
+    repaired texts, after divided words are joined and strays are out, and whatever other noise a text has.
     """
     own = fields.select(*keys, "text")
     models = Models(own.where(F.length("text") > 0))
-    found = findings(own.where(F.length("text") > 0), keys, models)
-    words = found.where("token is not null").select(*keys, F.col("token").alias("word")).distinct().join(models.bad, "word")
-    fixes = cut(words.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("word", "reading"))).alias("fixes")))
     lines_of, common, joins = models.lines, models.common, models.joins
 
-    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(keys, word): words beyond the common ones on whose counts the repair of a text depends."""
-        for pdf in batches:
-            rows: list[tuple] = []
-            for key, (lines, kinds) in zip(pdf[keys].itertuples(index=False, name=None), furniture(pdf["text"].tolist(), lines_of), strict=True):
-                asking.lacking.clear()
-                repair(lines, kinds, asking, {}, joins)
-                rows += [(*key, w) for w in asking.lacking]
-            yield pd.DataFrame(rows, columns=[*keys, "word"])
+    def to_own(table: DataFrame, other: DataFrame) -> DataFrame:
+        """table with other's columns by key, null keys equal."""
+        named = other.withColumnsRenamed({k: f"_{k}" for k in keys})
+        return table.join(named, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left").drop(*[f"_{k}" for k in keys])
+
+    @F.pandas_udf("array<string>")
+    def asked(texts: pd.Series) -> pd.Series:
+        """Words beyond the common ones on whose counts the repair of each text depends."""
+        out = []
+        for lines, kinds in furniture(texts.tolist(), lines_of):
+            asking.lacking.clear()
+            repair(lines, kinds, asking, joins)
+            out.append(list(asking.lacking))
+        return pd.Series(out, dtype=object)
 
     asking = Asking(common)
-    whole = own.join(fixes, keys, "left").withColumn("counts", F.lit(None).cast("map<string,bigint>"))
+    whole = own.withColumn("counts", F.lit(None).cast("map<string,bigint>"))
     if not models.whole:
-        kinds_of = dict(own.dtypes)
-        wanted = own.where(F.length("text") > 0).mapInPandas(asked, ", ".join(f"{k} {kinds_of[k]}" for k in keys) + ", word string")
-        counts = cut(wanted.distinct().join(models.counts, "word").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts")))
-        whole = whole.drop("counts").join(counts, keys, "left")
+        wanted = own.where(F.length("text") > 0).select(*keys, F.explode(asked("text")).alias("word"))
+        counts = wanted.distinct().join(models.counts, "word").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
+        whole = to_own(own, cut(counts))
+
+    @F.pandas_udf("text string, words array<struct<word:string,capital:boolean>>")
+    def put(texts: pd.Series, counts: pd.Series) -> pd.DataFrame:
+        rows: list[tuple] = []
+        for text, c, lk in zip(texts, counts, furniture([t or "" for t in texts], lines_of), strict=True):
+            out = repair(*lk, common if c is None else ChainMap(dict(c), common), joins) if text else text
+            rows.append((out, [{"word": w, "capital": capital} for w, capital in words_of(out).items() if w not in common] if out else []))
+        return pd.DataFrame(rows, columns=["text", "words"])
+
+    done = cut(whole.select(*keys, put("text", "counts").alias("r")).select(*keys, "r.*"))
+    words = done.select(*keys, F.inline("words"))
+    fixes = words.join(models.misreadings(words), "word").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("word", "reading"))).alias("fixes"))
 
     @F.pandas_udf("string")
-    def fixed(texts: pd.Series, fix: pd.Series, counts: pd.Series) -> pd.Series:
-        told = furniture([t or "" for t in texts], lines_of)
-        held = [common if c is None else ChainMap(dict(c), common) for c in counts]
-        return pd.Series([repair(*lk, c, dict(f) if f is not None else {}, joins) if t else t for t, f, c, lk in zip(texts, fix, held, told, strict=True)], dtype=object)
+    def fixed(texts: pd.Series, fix: pd.Series) -> pd.Series:
+        return pd.Series([corrected(t, dict(f)) if f is not None else t for t, f in zip(texts, fix, strict=True)], dtype=object)
 
-    return whole.select(*keys, fixed("text", "fixes", "counts").alias("text"))
+    return to_own(done.drop("words"), cut(fixes)).select(*keys, fixed("text", "fixes").alias("text"))
