@@ -198,13 +198,14 @@ def template_windows(df: DataFrame, key: str, text: str, lex: Lexicon, width: in
     return picked.mapInPandas(run, f"_key {kind}, template long, slots long, place int, pattern long, codes array<long>").withColumnRenamed("_key", key)
 
 
-def leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", item: str = "item_id", text: str = "text", width: int = WINDOW) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", item: str = "item_id", text: str = "text", width: int = WINDOW, every: bool = False) -> DataFrame:
     """What documents have of test items: (doc, item, exact, windows), no (doc, item, exact) twice.
 
     exact is true where the slots agree too: the document holds `width` consecutive words of the item. Where it is false
     the document puts the item again with other values: it has windows of its template, and along one alignment each slot
-    word of the item always is the same word of the document. Of the items that have a window in
-    common but for its values only the least is named, so a form shared by many items makes one row for a document.
+    word of the item, single letters aside, always is the same word of the document. With `every` all such items are named, wherever in an item
+    the window stands. Without it only the least is named of the items that have a window in common but for its values, so
+    a form shared by many items makes one row for a document.
     windows counts the windows that show it. Null and empty texts, and texts of fewer than `width` words, match nothing;
     equal documents under several ids are found one by one; repeated rows give no further rows. Other columns are not read.
 
@@ -225,14 +226,18 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", item:
     found = cut(found if small else found.join(own.select("template").distinct(), "template", "left_semi"))
     same = found.select("_doc", "template", "slots").distinct().join(own.select("_item", "template", "slots").distinct(), ["template", "slots"])
     same = same.groupBy("_doc", "_item").agg(F.lit(True).alias("exact"), F.countDistinct("template", "slots").alias("windows"))
-    # Windows put again: not those that the test set has as they are, and one item for each form (template and pattern) of
-    # a window. A window meets the forms of its template with other patterns too: they tear the alignment they stand in.
-    forms = own.where("pattern is not null").groupBy("template", "pattern").agg(F.min(F.struct("_item", "place", "codes")).alias("i"))
+    # Windows put again: not those that the test set has as they are, and with all items or one for each form (template and
+    # pattern) of a window. A window meets the forms of its template with other patterns too: they tear the alignment they stand in.
+    forms = own.where("pattern is not null").select("template", "pattern", F.struct("_item", "place", "codes").alias("i")).distinct()
+    if not every:
+        forms = forms.groupBy("template", "pattern").agg(F.min("i").alias("i"))
     other = found.where("pattern is not null").join(own.select("template", "slots").distinct(), ["template", "slots"], "left_anti")
     other = other.select("_doc", "template", "place", "codes").distinct().join(forms.drop("pattern"), "template")
+    # A single letter is a preposition here and an initial there: it need not always be the same.
+    letters = [int(np.uint64(_hash(w)).view(np.int64)) for w in sorted(lex.known) if len(w) == 1 and not w.isdigit()]
     pairs = other.select("_doc", F.col("i._item").alias("_item"), (F.col("place") - F.col("i.place")).alias("line"), "place", F.arrays_zip(F.col("i.codes").alias("a"), F.col("codes").alias("b")).alias("s"))
     runs = pairs.groupBy("_doc", "_item", "line").agg(F.countDistinct("place").alias("windows"))
-    mapped = pairs.select("_doc", "_item", "line", F.explode("s").alias("s")).where("s.a <> 0").groupBy("_doc", "_item", "line", "s.a").agg((F.min("s.b") != F.max("s.b")).alias("torn"))
+    mapped = pairs.select("_doc", "_item", "line", F.explode("s").alias("s")).where(F.col("s.a").isin([0, *letters]) == F.lit(False)).groupBy("_doc", "_item", "line", "s.a").agg((F.min("s.b") != F.max("s.b")).alias("torn"))
     again = runs.join(mapped.where("torn").select("_doc", "_item", "line").distinct(), ["_doc", "_item", "line"], "left_anti")
     again = again.groupBy("_doc", "_item").agg(F.lit(False).alias("exact"), F.sum("windows").alias("windows"))
     return same.unionByName(again).withColumnsRenamed({"_doc": doc, "_item": item})
